@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeresolve.llm import bpe, mix, split, unify
+from citeresolve.llm import bpe, mix, names, split, unify
 from citeresolve.session import table
 
 
@@ -18,6 +18,16 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify(table(spark, d, "txt").select("trecho_id", "trecho").distinct(), "trecho_id", "trecho")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    e = names.entities(table(spark, d, "records"), table(spark, d, "apelidos"))
+    return names.entity_pairs(e, "relator_a", "relator_b")
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the entity it is linked to (the parts of its fullest spelling)."""
+    return names.entities(table(spark, d, "records"), table(spark, d, "apelidos")).select(F.col("raw").alias("relator"), F.col("centre").alias("entidade"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split.split_items(table(spark, d, "txt"), "trecho_id", "trecho", with_text=False)
     return pieces.where("pieces > 1").select("trecho_id").distinct()
@@ -44,7 +54,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(spark, d).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p4_found, p4_entities, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
 ORACLE = {
     "p5_found": "SELECT DISTINCT trecho_id FROM txt WHERE length(trecho) > 3000",
     "p1_found": f"""
