@@ -225,6 +225,8 @@ class Model:
                     e.append(math.log((self.counts[s].get(k[:3], 0) + SMOOTH * (NEW_GARBLED * u + 1e-12)) / (n + SMOOTH)))
                 elif k[1] in UNSEEN:
                     e.append(math.log(RARE))
+                elif k[1] == "\xa0":  # a space like any other
+                    e.append(math.log(RARE * 10))
                 else:
                     e.append(math.log((self.counts[s].get((k[3], k[1], k[4]) if len(k) > 3 else k, 0) + SMOOTH * NEW_CLEAN * max(u, RARE)) / (n + SMOOTH)))
             e.append(0.0 if k[1] == LOST else -60.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeresolve.llm import bpe, mix, mojibake, names, split, unify
+from citeresolve.llm import bpe, mix, mojibake, names, scans, split, unify
 from citeresolve.session import table
 
 
@@ -18,6 +18,16 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify.unify(table(spark, d, "txt").select("trecho_id", "trecho").distinct(), "trecho_id", "trecho")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.read(table(spark, d, "txt"), "trecho_id", "trecho", with_text=False).where("size(traces) > 0").select("trecho_id").distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage with traces of a page once, as continuous paragraphs, with the traces found."""
+    r = scans.read(table(spark, d, "txt"), "trecho_id", "trecho").where("size(traces) > 0")
+    return r.select("trecho_id", "repaired", F.array_join("traces", ", ").alias("traces")).distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(table(spark, d, "txt"), "trecho_id", "trecho").where("size(states) > 0").select("trecho_id").distinct()
 
@@ -64,7 +74,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(spark, d).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_restored, p4_found, p4_entities, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_repaired, p3_found, p3_restored, p4_found, p4_entities, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
 ORACLE = {
     "p5_found": "SELECT DISTINCT trecho_id FROM txt WHERE length(trecho) > 3000",
     "p1_found": f"""
