@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeresolve.llm import bpe, mix, mojibake, names, scans, split, unify
+from citeresolve.llm import abuse, bpe, mix, mojibake, names, scans, split, unify
 from citeresolve.session import table
 
 
@@ -74,7 +74,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(spark, d).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_repaired, p3_found, p3_restored, p4_found, p4_entities, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "rotulos")).where("passages > 0").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its calibrated score, its significant passages and the worst of them."""
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "rotulos"), ["source"])
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_repaired, p3_found, p3_restored, p4_found, p4_entities, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLE = {
     "p5_found": "SELECT DISTINCT trecho_id FROM txt WHERE length(trecho) > 3000",
     "p1_found": f"""
