@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeresolve import dims
 
@@ -136,32 +137,32 @@ def names_match(cited: list[str] | None, record: list[str] | None) -> bool:
     return all(any(c == r or similarity(c, r) >= 0.75 for r in record) for c in cited)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def name_matches(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([names_match(list(x) if x is not None else None, list(y) if y is not None else None) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(a: pd.Series) -> pd.Series:
     return pd.Series([canonical_words(x) if x is not None else None for x in a])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def numbers_in(a: pd.Series) -> pd.Series:
     return pd.Series([number_groups(x) if x is not None else None for x in a])
 
 
-@F.pandas_udf("struct<s:int,e:int>")
+@F.pandas_udf(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 def aligned(t: pd.Series, p: pd.Series) -> pd.DataFrame:
     got = [align(x, y) if x is not None and y is not None else None for x, y in zip(t, p)]
     return pd.DataFrame({"s": pd.array([g[0] if g else None for g in got], "Int32"), "e": pd.array([g[1] if g else None for g in got], "Int32")})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def skeleton_of(a: pd.Series) -> pd.Series:
     return pd.Series([skeleton(x)[0] if x is not None else None for x in a])

@@ -13,6 +13,13 @@ from citeresolve import dims
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 CNJ = r"([0-9OolIS]{1,7})\s*-\s*([0-9OolIS]{2})\.([0-9OolIS]{4})\.([0-9OolIS])\.([0-9OolIS]{2})\.([0-9OolIS]{4})"
 SHORT = r"([0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})+|[0-9]{2,8})"
+LONG_NAMES = {
+    "superior  tribunal  de  justica": "STJ", "supremo  tribunal  federal": "STF", "tribunal  superior  do  trabalho": "TST",
+    "tribunal  superior  eleitoral": "TSE", "superior  tribunal  militar": "STM",
+}
+COURT_NAMES = " (stj|stf|tst|tse|stm|" + "|".join(LONG_NAMES) + ") "
+ARTICLE = r"(?i)art(?:igo|s|\.)?\.?\s*([0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})|[0-9OolIS]{1,5}?)(?:[ºo°](?:[^A-Za-z0-9]|$)|[^A-Za-z0-9]|$)"
+LAW = r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|, de .* de )([0-9]{4}|[0-9]{2})"
 UF_END = r"[/(–-]\s*([A-Z]{2})\s*\)?\s*$"
 
 
@@ -149,27 +156,34 @@ def is_year(c: Column) -> Column:
 
 def article_number(c: Column) -> Column:
     """Number of an article: 373, 1º, l5O -> 150."""
-    n = F.regexp_extract(c, r"(?i)art(?:igo|s|\.)?\.?\s*([0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})|[0-9OolIS]{1,5}?)(?:[ºo°](?:[^A-Za-z0-9]|$)|[^A-Za-z0-9]|$)", 1)
+    n = F.regexp_extract(c, ARTICLE, 1)
     return F.nullif(F.regexp_replace(F.translate(n, "OolIS", "00115"), r"\.", ""), F.lit("")).try_cast("int")
 
 
+ALIASES = {a: (k, y) for k, (y, names) in dims.DIPLOMAS.items() for a in names}
+STATUTE = "(?:^|[^a-z])(" + "|".join(sorted(ALIASES, key=lambda a: (-len(a), a))) + ")(?:[^a-z]|$)"
+CITED_YEAR = r"(?:/ ?|,? de )([0-9]{4}|[0-9]{2})$"
+
+
+def lookup(table: dict, c: Column) -> Column:
+    """Value of a small literal table; null for other keys."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+
+
+def year_text(c: Column) -> Column:
+    """Four digits, as text, of a year text of two or four digits."""
+    return F.when(F.length(c) == 4, c).when(c.between("00", "30"), F.concat(F.lit("20"), c)).when(F.length(c) == 2, F.concat(F.lit("19"), c))
+
+
 def diploma_key(folded: Column) -> Column:
-    """Key of the statute named in a folded text: by law number, else by its longest name; another year than that in force gives KEY/YEAR, an unknown law LEI:number/year."""
-    law = F.regexp_extract(folded, r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|, de .* de )([0-9]{4}|[0-9]{2})", 1)
-    raw = F.regexp_extract(folded, r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|, de .* de )([0-9]{4}|[0-9]{2})", 2)
-    lawyear = year4(F.nullif(raw, F.lit("")).try_cast("int"))
-    number = F.when(law != "", F.concat(F.replace(law, F.lit("."), F.lit("")), F.lit("/"), lawyear.cast("string")))
-    known = F.lit(None).cast("string")
-    for n, k in dims.LAW_NUMBERS.items():
-        known = F.coalesce(known, F.when(number == n, F.lit(k)))
-    by_number = F.coalesce(known, F.concat(F.lit("LEI:"), number))
-    names = sorted(((a, k, y) for k, (y, names_) in dims.DIPLOMAS.items() for a in names_), key=lambda x: (-len(x[0]), x[0]))
-    by_name = F.lit(None).cast("string")
-    cited = year4(F.nullif(F.regexp_extract(folded, r"(?:/ ?|,? de )([0-9]{4}|[0-9]{2})$", 1), F.lit("")).try_cast("int"))
-    for a, k, y in names:
-        hit = folded.rlike(rf"(?:^|[^a-z]){a}(?:[^a-z]|$)")
-        by_name = F.coalesce(by_name, F.when(hit, F.when(cited.isNull() | (cited == y), F.lit(k)).otherwise(F.concat(F.lit(k + "/"), cited.cast("string")))))
-    return F.coalesce(by_number, by_name)
+    """Key of the statute named in a folded text: by law number, else by its name; another year than that in force gives KEY/YEAR, an unknown law LEI:number/year."""
+    number = F.concat(F.nullif(F.replace(F.regexp_extract(folded, LAW, 1), F.lit("."), F.lit("")), F.lit("")), F.lit("/"), year_text(F.regexp_extract(folded, LAW, 2)))
+    name = F.regexp_extract(folded, STATUTE, 1)
+    key = lookup({a: k for a, (k, _) in ALIASES.items()}, name)
+    force = lookup({a: str(y) for a, (_, y) in ALIASES.items()}, name)
+    cited = year_text(F.regexp_extract(folded, CITED_YEAR, 1))
+    by_name = F.when(cited.isNull() | (cited == force), key).otherwise(F.concat(key, F.lit("/"), cited))
+    return F.coalesce(lookup(dims.LAW_NUMBERS, number), F.concat(F.lit("LEI:"), number), by_name)
 
 
 def appeal_chain(folded: Column) -> Column:
@@ -195,7 +209,8 @@ def class_code(text: Column) -> Column:
     f = fold(text)
     for code, name, _ in dims.CLASSES:
         named = F.coalesce(named, F.when(f.contains(name), F.lit(code)))
-    short = F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(rf"[^A-Za-z]({codes})(?=[^A-Za-z])"), F.lit(1))
+    spread = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[^A-Za-z]+", "  ")
+    short = F.regexp_extract_all(spread, F.lit(rf" ({codes}) "), F.lit(1))
     return F.coalesce(F.try_element_at(short, F.lit(-1)), named)
 
 
@@ -222,16 +237,11 @@ def content_terms(c: Column) -> Column:
 
 def courts_in(c: Column) -> Column:
     """Courts named in a text, in order, with repeats."""
-    found = F.regexp_extract_all(
-        F.concat(F.lit(" "), fold(c), F.lit(" ")),
-        F.lit(r"[^a-z](stj|stf|tst|tse|stm|superior tribunal de justica|supremo tribunal federal|tribunal superior do trabalho|tribunal superior eleitoral|superior tribunal militar)(?=[^a-z])"),
-        F.lit(1),
-    )
-    names = {"superior tribunal de justica": "STJ", "supremo tribunal federal": "STF", "tribunal superior do trabalho": "TST", "tribunal superior eleitoral": "TSE", "superior tribunal militar": "STM"}
-
+    spread = F.regexp_replace(F.concat(F.lit(" "), fold(c), F.lit(" ")), "[^a-z]+", "  ")
+    found = F.regexp_extract_all(spread, F.lit(COURT_NAMES), F.lit(1))
     def code(x: Column) -> Column:
         out = F.upper(x)
-        for n, k in names.items():
+        for n, k in LONG_NAMES.items():
             out = F.when(x == n, F.lit(k)).otherwise(out)
         return out
 
@@ -244,23 +254,15 @@ def find_spans(text: Column, pattern: str) -> Column:
     The matches and the texts between them alternate, so running lengths give the offsets.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    step = lambda acc, i: F.struct(
-        (acc["p"] + F.length(F.element_at(gaps, i + 1)) + F.length(F.element_at(hits, i + 1))).cast("int").alias("p"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["p"] + F.length(F.element_at(gaps, i + 1))).cast("int").alias("s"),
-                    (acc["p"] + F.length(F.element_at(gaps, i + 1)) + F.length(F.element_at(hits, i + 1))).cast("int").alias("e"),
-                    F.element_at(hits, i + 1).alias("x"),
-                )
-            ),
-        ).alias("out"),
-    )
+    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("n"), h.alias("x")))
     start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int,x:string>>").alias("out"))
-    idx = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(idx, start, step, lambda acc: acc["out"])
+
+    def step(acc: Column, z: Column) -> Column:
+        s = (acc["p"] + z["g"]).cast("int")
+        e = (acc["p"] + z["g"] + z["n"]).cast("int")
+        return F.struct(e.alias("p"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), z["x"].alias("x")))).alias("out"))
+
+    return F.aggregate(F.filter(pairs, lambda z: z["x"].isNotNull()), start, step, lambda acc: acc["out"])
 
 
 def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -13,7 +13,7 @@ from citeresolve.functions import text as X
 
 HEADER_CNJ = r"([0-9]{1,7})\s*-\s*([0-9]{2})\.\s?([0-9]{4})\.([0-9])\.([0-9]{2})\.([0-9]{4})"
 HEADER_SHORT = r"(?:N[º°o]\.?\s*|RECLAMAÇÃO\s+|EXTRAORDINÁRIO\s+(?:COM\s+AGRAVO\s+)?|HABEAS\s+CORPUS\s+|AGRAVO\s+|RESCISÓRIA\s+|SEGURANÇA\s+|ESPECIAL\s+)([0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{2,8})(?:[^0-9.-]|$|\s)"
-SUMULA = r"(?i)^\s*Súmula\s+(Vinculante\s+)?n\.?\s*([0-9]+)\s+d[oa]\s+([A-Za-z]+)"
+SUMULA = r"(?iu)^\s*Súmula\s+(Vinculante\s+)?n\.?\s*([0-9]+)\s+d[oa]\s+([A-Za-z]+)"
 SUMULA_ANY = r"SÚMULA\s+([0-9]+)"
 ARTICLE = r"^\s*Artigo\s+([0-9]+)\S*\s+d[oa]\s+([^\n]+)"
 
@@ -35,9 +35,9 @@ def sumulas(docs: DataFrame) -> DataFrame:
 
 def dispositivos(docs: DataFrame) -> DataFrame:
     """(diploma, artigo, doc_id): statute articles; the last record of a key wins."""
-    d = docs.where("natureza = 'dispositivo'")
+    d = docs.where("natureza = 'dispositivo'").withColumn("f", X.fold(F.regexp_extract("texto", ARTICLE, 2)))
     k = d.select(
-        X.diploma_key(X.fold(F.regexp_extract("texto", ARTICLE, 2))).alias("diploma"),
+        X.diploma_key(F.col("f")).alias("diploma"),
         F.nullif(F.regexp_extract("texto", ARTICLE, 1), F.lit("")).try_cast("int").alias("artigo"),
         "id",
     )
@@ -95,5 +95,6 @@ def unindexed(docs: DataFrame) -> DataFrame:
     r = rulings(docs).where("seq IS NULL AND numero IS NULL").select(F.col("doc_id").cast("bigint").alias("id"))
     n = F.regexp_extract("texto", SUMULA, 2)
     s = docs.where("natureza = 'sumula'").where((n == "") & ((F.regexp_extract("texto", SUMULA_ANY, 1) == "") | F.col("tribunal").isNull())).select("id")
-    d = docs.where("natureza = 'dispositivo'").where((F.regexp_extract("texto", ARTICLE, 1) == "") | X.diploma_key(X.fold(F.regexp_extract("texto", ARTICLE, 2))).isNull()).select("id")
+    d = docs.where("natureza = 'dispositivo'").withColumn("f", X.fold(F.regexp_extract("texto", ARTICLE, 2)))
+    d = d.where((F.regexp_extract("texto", ARTICLE, 1) == "") | X.diploma_key(F.col("f")).isNull()).select("id")
     return docs.select("id", "natureza").join(r.unionByName(s).unionByName(d), "id")

@@ -1,10 +1,564 @@
-"""Registered queries of the engine's own operators and their SQL."""
+"""Registered queries of the engine's operators over whole tables, each with equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from citeresolve import dims
+from citeresolve.functions import fuzzy
+from citeresolve.functions import text as X
+from citeresolve.operators import canon, contract, extract, resolve, review, spans
+from citeresolve.plans import sqltext as S
+from citeresolve.session import materialize, shared_dir, table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def cits(spark: SparkSession, d: str) -> DataFrame:
+    """The latest row of each span of `citacoes`, with its key."""
+    c = contract.rows_latest(table(spark, d, "citacoes"))
+    return c.withColumn("cit", F.concat_ws(":", "documento_id", F.col("inicio").cast("string"), F.col("fim").cast("string")))
+
+
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("documento_id", "text")
+    c = cits(spark, d).join(docs, "documento_id", "left")
+    return c.select("cit", "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"))
+
+
+def keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, d, "documentos")
+    return canon.rulings(docs), canon.sumulas(docs), canon.dispositivos(docs)
+
+
+def joined(c) -> F.Column:
+    return F.array_join(c, " ")
+
+
+# ---- scans and cleaning
+
+
+@query("SELECT source, count(*) AS docs, count(text) AS with_text, sum(n_chars)::BIGINT AS chars, count(DISTINCT lang) AS langs, max(length(text))::BIGINT AS longest FROM documents GROUP BY source")
+def scan_documents_profile(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(
+        F.count("*").alias("docs"), F.count("text").alias("with_text"), F.sum("n_chars").alias("chars"), F.count_distinct("lang").alias("langs"), F.max(F.length("text")).cast("bigint").alias("longest")
+    )
+
+
+@query(f"SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS hash FROM (SELECT doc_id, {S.clean('text')} AS t FROM documents)")
+def clean_text(spark, d):
+    t = table(spark, d, "documents").select("doc_id", X.clean(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("hash"))
+
+
+@query(f"SELECT DISTINCT trecho_id, md5(t) AS hash FROM (SELECT trecho_id, trecho, {S.mojibake('trecho')} AS t FROM txt) WHERE t <> trecho")
+def mojibake_text(spark, d):
+    t = table(spark, d, "txt").select("trecho_id", "trecho", X.repair_mojibake(F.col("trecho")).alias("t"))
+    return t.where("t <> trecho").select("trecho_id", F.md5("t").alias("hash")).distinct()
+
+
+@query(r"""
+WITH l AS (SELECT trecho_id, unnest(string_split(trecho, chr(10))) AS line, generate_subscripts(string_split(trecho, chr(10)), 1) AS pos FROM (SELECT DISTINCT trecho_id, trecho FROM txt WHERE trecho IS NOT NULL)),
+n AS (SELECT trecho_id, pos, try_cast(regexp_extract(line, '^\s*([0-9]{1,3})(?:[^0-9]|$)', 1) AS INT) AS k FROM l WHERE regexp_matches(line, '^\s*[0-9]{1,3}(?:[^0-9]|$)')),
+g AS (SELECT trecho_id, k, lag(k) OVER (PARTITION BY trecho_id ORDER BY pos) AS before FROM n)
+SELECT trecho_id, count(*) AS lines, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN CASE WHEN k > before THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS rising FROM g GROUP BY trecho_id HAVING count(*) >= 5""")
+def margin_number_rows(spark, d):
+    t = table(spark, d, "txt").where("trecho IS NOT NULL").select("trecho_id", "trecho").distinct()
+    n = t.select("trecho_id", F.posexplode(F.split("trecho", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*[0-9]{1,3}(?:[^0-9]|$)"))
+    n = n.withColumn("k", F.regexp_extract("line", r"^\s*([0-9]{1,3})(?:[^0-9]|$)", 1).try_cast("int"))
+    g = n.withColumn("before", F.lag("k").over(Window.partitionBy("trecho_id").orderBy("pos")))
+    up = F.when(F.col("before").isNotNull(), F.when(F.col("k") > F.col("before"), 1.0).otherwise(0.0))
+    return g.groupBy("trecho_id").agg(F.count("*").alias("lines"), F.round(F.coalesce(F.avg(up), F.lit(0.0)), 6).alias("rising")).where("lines >= 5")
+
+
+@query(f"SELECT doc_id, md5({S.fold('text')}) AS hash, len({S.terms('text')})::BIGINT AS terms FROM documents WHERE text IS NOT NULL")
+def fold_terms(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", F.md5(X.fold(F.col("text"))).alias("hash"), F.size(X.content_terms(F.col("text"))).cast("bigint").alias("terms"))
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT trecho_id, trecho FROM txt WHERE trecho IS NOT NULL), w AS (SELECT unnest(regexp_extract_all(trecho, '[0-9A-Za-z|]+', 0)) AS w FROM t)
+SELECT {S.ocr_digits('w')} AS digits, count(*) AS n FROM w WHERE regexp_matches(w, '^[0-9OoQlIi|SsLgqGbBZz]+$') AND regexp_matches(w, '[0-9]') AND length(regexp_replace(w, '[0-9]', '', 'g')) * 2 <= length(w)
+  AND length(regexp_replace(w, '[0-9]', '', 'g')) > 0 GROUP BY 1""")
+def ocr_digit_repair(spark, d):
+    t = table(spark, d, "txt").where("trecho IS NOT NULL").select("trecho_id", "trecho").distinct()
+    w = t.select(F.explode(F.regexp_extract_all("trecho", F.lit(r"[0-9A-Za-z|]+"), F.lit(0))).alias("w"))
+    w = w.where(X.is_numeric_token(F.col("w")) & F.col("w").rlike("[^0-9]"))
+    return w.groupBy(X.ocr_digits(F.col("w")).alias("digits")).agg(F.count("*").alias("n"))
+
+
+# ---- keys of citations
+
+
+@query(f"""
+WITH {S.CIT}, n AS (SELECT cit, {S.raw_number('trecho')} AS raw, {S.uf('trecho')} AS uf FROM cit), g AS (SELECT *, {S.ocr_digits('raw')} AS dg, length(regexp_replace(raw, '[^A-Za-z|]', '', 'g'))::BIGINT AS fixes FROM n)
+SELECT cit, dg AS digits, fixes, {S.seq('dg')} AS seq, {S.tail('dg')} AS tail, CASE substr({S.tail('dg')}, 7, 1) WHEN '5' THEN 'TST' WHEN '6' THEN 'TSE' WHEN '7' THEN 'STM' END AS justice, CASE WHEN {S.seq('dg')} IS NULL THEN {S.short('dg')} END AS numero, uf FROM g""")
+def number_keys(spark, d):
+    n = cits(spark, d).select("cit", X.locate_number(F.col("trecho")).alias("n"), X.trailing_uf(F.col("trecho")).alias("uf"))
+    dg = F.col("n.digits")
+    return n.select("cit", dg.alias("digits"), F.col("n.fixes").cast("bigint").alias("fixes"), X.cnj_seq(dg).alias("seq"), X.cnj_tail(dg).alias("tail"), X.cnj_justice(X.cnj_tail(dg)).alias("justice"), F.when(X.cnj_seq(dg).isNull(), X.short_key(dg)).alias("numero"), "uf")
+
+
+@query(f"SELECT id, ano, {S.year4('ano')} AS ano4 FROM documentos")
+def year_pivot(spark, d):
+    return table(spark, d, "documentos").select("id", "ano", X.year4(F.col("ano")).alias("ano4"))
+
+
+@query(f"WITH {S.CIT} SELECT cit, {S.article('trecho')} AS artigo, {S.diploma(S.fold('trecho'))} AS diploma FROM cit WHERE tipo = 'lei'")
+def article_keys(spark, d):
+    c = cits(spark, d).where("tipo = 'lei'").withColumn("f", X.fold(F.col("trecho")))
+    return c.select("cit", X.article_number(F.col("trecho")).alias("artigo"), X.diploma_key(F.col("f")).alias("diploma"))
+
+
+@query(f"WITH {S.CIT} SELECT cit, {S.class_code('trecho')} AS classe, array_to_string({S.chain(S.fold('trecho'))}, ' ') AS chain, array_to_string({S.courts('trecho')}, ' ') AS courts FROM cit")
+def class_chain_court(spark, d):
+    t = F.col("trecho")
+    return cits(spark, d).select("cit", X.class_code(t).alias("classe"), joined(X.appeal_chain(X.fold(t))).alias("chain"), joined(X.courts_in(t)).alias("courts"))
+
+
+@query(f"WITH x AS (SELECT doc_id, {S.courts('text')} AS c FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(c) AS court FROM x) SELECT court, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM e GROUP BY court")
+def court_mentions(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(X.courts_in(F.col("text"))).alias("court"))
+    return t.groupBy("court").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+
+
+PROCESS = r"(?:REsp|AREsp|RHC|RMS|HC|ARE|RE|Rcl|AR) (?:n\.?[º°]? ?)?[0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})+(?:/[A-Z]{2})?"
+
+
+@query(rf"""
+WITH x AS (SELECT doc_id, regexp_extract_all(text, {S.rx(PROCESS)}, 0) AS h, regexp_split_to_array(text, {S.rx(PROCESS)}) AS g FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(h) AS x, unnest(list_transform(range(1, len(h) + 1), lambda i: list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i-1], lambda y: length(y))), 0))) AS s FROM x WHERE len(h) > 0)
+SELECT doc_id, s::INT AS inicio, (s + length(x))::INT AS fim, x AS trecho FROM e""")
+def process_spans(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(X.find_spans(F.col("text"), PROCESS)).alias("m"))
+    return t.select("doc_id", F.col("m.s").alias("inicio"), F.col("m.e").alias("fim"), F.col("m.x").alias("trecho"))
+
+
+# ---- interval operators
+
+
+@query(f"""
+WITH {S.CIT}, k AS (SELECT cit, fim, max(fim) OVER (PARTITION BY documento_id ORDER BY inicio, fim DESC, cit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM cit)
+SELECT cit FROM k WHERE m IS NULL OR fim > m""")
+def span_containment(spark, d):
+    return spans.contained_out(cits(spark, d), "documento_id", "inicio", "fim", ["cit"]).select("cit")
+
+
+@query(f"""
+WITH {S.CIT} SELECT a.cit FROM cit a WHERE a.regra IS NULL AND NOT EXISTS (SELECT 1 FROM cit b WHERE b.documento_id = a.documento_id AND b.regra IS NOT NULL AND a.inicio < b.fim AND b.inicio < a.fim)""")
+def span_overlap_anti(spark, d):
+    c = cits(spark, d)
+    a = c.where("regra IS NULL").select("documento_id", F.col("inicio").alias("a_s"), F.col("fim").alias("a_e"), "cit")
+    b = c.where("regra IS NOT NULL").select("documento_id", F.col("inicio").alias("b_s"), F.col("fim").alias("b_e"))
+    return spans.overlap_anti(a, b, "documento_id").select("cit")
+
+
+@query(f"""
+WITH {S.CIT} SELECT a.cit, max(b.fim) AS floor FROM cit a LEFT JOIN cit b ON b.documento_id = a.documento_id AND b.tipo = 'lei' AND b.fim <= a.inicio WHERE a.tipo <> 'lei' GROUP BY a.cit""")
+def asof_floor(spark, d):
+    c = cits(spark, d)
+    b = c.where("tipo = 'lei'").select("documento_id", F.col("inicio").alias("b_s"), F.col("fim").alias("b_e"))
+    return spans.floor_end(c.where("tipo <> 'lei'"), b, "documento_id", "inicio").select("cit", "floor")
+
+
+@query(f"""
+WITH {S.CIT}, a AS (SELECT DISTINCT documento_id, inicio, fim FROM cit WHERE regra LIKE '%descritiva%'), b AS (SELECT documento_id, inicio AS bs, fim AS be FROM cit WHERE tipo = 'lei'),
+j AS (SELECT a.documento_id, a.inicio, a.fim, bs, be, greatest(0, bs - a.fim, a.inicio - be) AS gap FROM a JOIN b USING (documento_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY documento_id, inicio, fim ORDER BY gap, bs, be) AS k FROM j WHERE gap <= 500)
+SELECT documento_id, inicio, fim, bs, be, gap FROM r WHERE k = 1""")
+def nearest_span(spark, d):
+    c = cits(spark, d)
+    a = c.where("regra LIKE '%descritiva%'").select("documento_id", F.col("inicio").alias("a_s"), F.col("fim").alias("a_e"))
+    b = c.where("tipo = 'lei'").select("documento_id", F.col("inicio").alias("b_s"), F.col("fim").alias("b_e"))
+    n = spans.nearest(a, b, "documento_id", 500)
+    return n.select("documento_id", F.col("a_s").alias("inicio"), F.col("a_e").alias("fim"), F.col("b_s").alias("bs"), F.col("b_e").alias("be"), "gap")
+
+
+@query(f"""
+WITH {S.CIT} SELECT a.cit AS a, b.cit AS b, round({S.iou('a.inicio', 'a.fim', 'b.inicio', 'b.fim')}, 6) AS iou FROM cit a JOIN cit b ON a.documento_id = b.documento_id AND a.cit < b.cit AND a.inicio < b.fim AND b.inicio < a.fim
+WHERE {S.iou('a.inicio', 'a.fim', 'b.inicio', 'b.fim')} >= 0.5""")
+def iou_pairs(spark, d):
+    p = spans.iou_pairs(cits(spark, d), "documento_id", "inicio", "fim", "cit")
+    return p.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("iou", 6).alias("iou"))
+
+
+@query(f"""
+WITH RECURSIVE {S.CIT}, o AS (SELECT documento_id, cit, inicio, fim, row_number() OVER (PARTITION BY documento_id ORDER BY -coalesce(confianca, 0.0), inicio - fim, inicio, cit) AS k FROM cit),
+f AS (SELECT documento_id, k, [{{'i': inicio, 'f': fim, 'c': cit}}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.documento_id, o.k, CASE WHEN len(list_filter(f.kept, lambda y: {S.iou('y.i', 'y.f', 'o.inicio', 'o.fim')} >= 0.5)) > 0 THEN f.kept ELSE list_append(f.kept, {{'i': o.inicio, 'f': o.fim, 'c': o.cit}}) END FROM f JOIN o ON o.documento_id = f.documento_id AND o.k = f.k + 1),
+l AS (SELECT documento_id, max(k) AS k FROM f GROUP BY documento_id)
+SELECT unnest(kept).c AS cit FROM f JOIN l USING (documento_id, k)""")
+def iou_nms(spark, d):
+    return spans.suppress(cits(spark, d), "documento_id", "inicio", "fim", "confianca", "cit").select("cit")
+
+
+@query(f"WITH {S.CIT}, x AS (SELECT a.cit, a.inicio, a.fim FROM cit a) SELECT cit, (fim - inicio)::INT AS n FROM x")
+def latest_spans(spark, d):
+    return cits(spark, d).select("cit", (F.col("fim") - F.col("inicio")).cast("int").alias("n"))
+
+
+# ---- key tables
+
+
+@query(f"WITH {S.RULINGS} SELECT doc_id, tribunal, ano, relator, seq, tail, numero, uf, array_to_string(chain, ' ') AS chain, classe FROM rulings")
+def canon_rulings(spark, d):
+    r = canon.rulings(table(spark, d, "documentos"))
+    return r.select("doc_id", "tribunal", "ano", "relator", "seq", "tail", "numero", "uf", joined("chain").alias("chain"), "classe")
+
+
+SUM_SQL = f"""sk AS (SELECT coalesce(CASE WHEN n <> '' THEN upper(t) END, CASE WHEN o <> '' THEN tribunal END) AS tribunal, try_cast(coalesce(nullif(n, ''), nullif(o, '')) AS INT) AS numero, v <> '' AS vinculante, id
+  FROM (SELECT *, regexp_extract(texto, {S.rx(canon.SUMULA)}, 2) AS n, regexp_extract(texto, {S.rx(canon.SUMULA)}, 3) AS t, regexp_extract(texto, {S.rx(canon.SUMULA)}, 1) AS v, regexp_extract(texto, {S.rx(canon.SUMULA_ANY)}, 1) AS o FROM documentos WHERE natureza = 'sumula')),
+sumulas_k AS (SELECT tribunal, numero, vinculante, cast(max(id) AS VARCHAR) AS doc_id FROM sk WHERE tribunal IS NOT NULL AND numero IS NOT NULL GROUP BY 1, 2, 3)"""
+ART_SQL = f"""dk AS (SELECT {S.diploma(S.fold(f"regexp_extract(texto, {S.rx(canon.ARTICLE)}, 2)"))} AS diploma, try_cast(nullif(regexp_extract(texto, {S.rx(canon.ARTICLE)}, 1), '') AS INT) AS artigo, id FROM documentos WHERE natureza = 'dispositivo'),
+dispositivos_k AS (SELECT diploma, artigo, cast(max(id) AS VARCHAR) AS doc_id FROM dk WHERE diploma IS NOT NULL AND artigo IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SUM_SQL} SELECT * FROM sumulas_k")
+def canon_sumulas(spark, d):
+    return canon.sumulas(table(spark, d, "documentos"))
+
+
+@query(f"WITH {ART_SQL} SELECT * FROM dispositivos_k")
+def canon_dispositivos(spark, d):
+    return canon.dispositivos(table(spark, d, "documentos"))
+
+
+@query(f"WITH {S.RULINGS} SELECT doc_id::BIGINT AS id, 'ruling' AS kind FROM rulings WHERE seq IS NULL AND numero IS NULL")
+def canon_unindexed(spark, d):
+    u = canon.unindexed(table(spark, d, "documentos"))
+    return u.select("id", F.when(F.col("natureza").isin("sumula", "dispositivo"), F.col("natureza")).otherwise("ruling").alias("kind"))
+
+
+@query(f"WITH {S.RULINGS} SELECT DISTINCT array_to_string({S.name_tokens('relator')}, ' ') AS tokens FROM rulings WHERE len({S.name_tokens('relator')}) >= 2")
+def canon_relators(spark, d):
+    return canon.relators(canon.rulings(table(spark, d, "documentos"))).select(joined("tokens").alias("tokens"))
+
+
+# ---- resolution
+
+NUM = f"""p0 AS (SELECT cit, contexto, trecho, f, {S.raw_number('trecho')} AS raw FROM m WHERE familia = 'processos'),
+p1 AS (SELECT *, {S.ocr_digits('raw')} AS dg, coalesce(length(regexp_replace(raw, '[^A-Za-z|]', '', 'g')), 0) AS fixes FROM p0),
+p AS (SELECT cit, contexto, dg, fixes, {S.seq('dg')} AS seq, {S.tail('dg')} AS tail, CASE WHEN {S.seq('dg')} IS NULL THEN {S.short('dg')} END AS numero, {S.uf('trecho')} AS uf, {S.chain('f')} AS chain, {S.class_courts(S.class_code('trecho'))} AS courts, {S.courts('trecho')} AS named,
+  {S.name_tokens("regexp_extract(regexp_extract(trecho, '[0-9](?:[^0-9]*)$', 0), " + S.rx(resolve.RELATOR_AFTER) + ", 1)")} AS rel FROM p1),
+c0 AS (SELECT p.*, r.doc_id, r.tribunal AS r_court, r.uf AS r_uf, r.chain AS r_chain, r.relator AS r_rel, r.inicio_texto FROM p JOIN rulings r ON p.seq = r.seq AND p.tail = r.tail
+    WHERE r.tribunal IS NULL OR r.tribunal IS NOT DISTINCT FROM CASE substr(p.tail, 7, 1) WHEN '5' THEN 'TST' WHEN '6' THEN 'TSE' WHEN '7' THEN 'STM' END
+  UNION ALL SELECT p.*, r.doc_id, r.tribunal, r.uf, r.chain, r.relator, r.inicio_texto FROM p JOIN rulings r ON p.numero = r.numero),
+c1 AS (SELECT cit, contexto, fixes, doc_id, inicio_texto, {S.chain_distance('chain', 'r_chain')} AS dist, CASE WHEN len(rel) > 0 THEN coalesce(len(list_filter(rel, lambda x: NOT list_contains({S.name_tokens('r_rel')}, x))) > 0, TRUE) ELSE FALSE END AS other
+  FROM c0 WHERE (courts IS NULL OR r_court IS NULL OR list_contains(courts, r_court)) AND (uf IS NULL OR r_uf IS NULL OR uf = r_uf) AND (len(named) = 0 OR list_contains(named, r_court))),
+c2 AS (SELECT *, rank() OVER (PARTITION BY cit ORDER BY dist, other) AS k FROM c1), c3 AS (SELECT *, count(*) OVER (PARTITION BY cit) AS ties FROM c2 WHERE k = 1),
+c4 AS (SELECT *, CASE WHEN ties > 1 THEN len(list_intersect({S.terms('contexto')}, {S.terms('inicio_texto')})) ELSE 0 END AS common FROM c3),
+c5 AS (SELECT *, row_number() OVER (PARTITION BY cit ORDER BY common DESC, cast(doc_id AS BIGINT)) AS kk FROM c4),
+pj AS (SELECT p.cit, p.dg, p.fixes, b.doc_id, b.dist, b.other, b.ties FROM p LEFT JOIN (SELECT * FROM c5 WHERE kk = 1) b USING (cit))"""
+RULE_P = "CASE WHEN coalesce(length(dg), 0) = 0 THEN 'incompleta_sem_numero' WHEN doc_id IS NULL THEN CASE WHEN fixes > 0 THEN 'inventada_ocr' ELSE 'inventada' END WHEN other THEN 'real_atributo_divergente' WHEN fixes > 0 THEN 'real_ocr' WHEN ties > 1 THEN 'real_duplicata' WHEN dist > 0 THEN 'real_cadeia_divergente' ELSE 'real_exato' END"
+PROC_SQL = S.labelled(RULE_P, "doc_id", "pj")
+_RAWS = "regexp_extract(f, '(?:sumula|sum\\.|enunciado)[^0-9]{0,30}?([0-9oli]{1,3}(?:\\.[0-9oli]{3})+|[0-9oli]*[0-9][0-9oli]*)', 1)"
+_CL = f"regexp_replace(translate({_RAWS}, 'oli', '011'), '\\.', '', 'g')"
+SUMJ = f"""s0 AS (SELECT cit, CASE WHEN length({_CL}) BETWEEN 1 AND 4 THEN try_cast({_CL} AS INT) END AS numero, length(regexp_replace({_RAWS}, '[0-9.]', '', 'g')) AS fixes, contains(f, 'vinculante') AS vinculante,
+  CASE WHEN len({S.courts('trecho')}) > 0 THEN list_extract({S.courts('trecho')}, -1) WHEN contains(f, 'vinculante') THEN 'STF' END AS tribunal FROM m WHERE familia = 'sumulas'),
+alone AS (SELECT numero, count(*) AS n, min(doc_id) AS one FROM sumulas_k WHERE NOT vinculante GROUP BY numero),
+sj AS (SELECT s0.cit, s0.numero, fixes, k.doc_id, s0.tribunal, 0 AS n FROM s0 LEFT JOIN sumulas_k k USING (tribunal, numero, vinculante) WHERE s0.tribunal IS NOT NULL
+  UNION ALL SELECT s0.cit, s0.numero, fixes, CASE WHEN n = 1 THEN one END, NULL, coalesce(n, 0) FROM s0 LEFT JOIN alone USING (numero) WHERE s0.tribunal IS NULL)"""
+RULE_S = "CASE WHEN numero IS NULL OR (tribunal IS NULL AND n <> 1) THEN 'incompleta_sem_numero' WHEN doc_id IS NULL THEN CASE WHEN fixes > 0 THEN 'inventada_ocr' ELSE 'inventada' END WHEN fixes > 0 THEN 'real_ocr' ELSE 'real_exato' END"
+SUMQ = S.labelled(RULE_S, "doc_id", "sj")
+ARTJ = f"""a0 AS (SELECT cit, {S.diploma('f')} AS diploma, {S.article('trecho')} AS artigo FROM m WHERE familia = 'artigos'), aj AS (SELECT a0.*, k.doc_id FROM a0 LEFT JOIN dispositivos_k k USING (diploma, artigo))"""
+RULE_A = "CASE WHEN diploma IS NULL OR artigo IS NULL THEN 'incompleta_sem_numero' WHEN doc_id IS NULL THEN 'inventada' ELSE 'real_exato' END"
+ARTQ = S.labelled(RULE_A, "doc_id", "aj")
+_BYCLASS = f"CASE {S.class_code('trecho')} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.CLASS_COURT.items()) + " END"
+_NAME = "regexp_extract(trecho, '(?:relatoria d[aeo]s?|Rel\\.|Relatora?:?)\\s+(.+)$', 1)"
+DESJ = f"""d0 AS (SELECT cit, coalesce(list_extract({S.courts('trecho')}, 1), {_BYCLASS}) AS tribunal, try_cast(regexp_extract(trecho, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) AS INT) AS ano, {S.name_tokens(_NAME)} AS nome FROM m WHERE familia = 'descritivos'),
+dr AS (SELECT tribunal, ano, doc_id, {S.name_tokens('relator')} AS r_nome FROM rulings WHERE relator IS NOT NULL),
+dn AS (SELECT cit, count(DISTINCT doc_id) AS n, min(doc_id) AS doc_id FROM d0 JOIN dr USING (tribunal, ano) WHERE len(nome) > 0 AND len(list_filter(nome, lambda x: NOT list_contains(r_nome, x))) = 0 GROUP BY cit),
+dj AS (SELECT d0.*, dn.n, dn.doc_id FROM d0 LEFT JOIN dn USING (cit))"""
+RULE_D = "CASE WHEN tribunal IS NULL OR ano IS NULL OR len(nome) < 1 THEN 'incompleta_sem_numero' WHEN n IS NULL THEN 'incompleta_descritiva_sem_registro' WHEN n = 1 THEN 'real_descritiva' ELSE 'incompleta_descritiva' END"
+DESQ = S.labelled(RULE_D, "doc_id", "dj")
+TOPQ = S.labelled("'inventada'", "CAST(NULL AS VARCHAR)", "(SELECT cit FROM m WHERE familia = 'temas')")
+ALL_WITH = f"WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS}, {SUM_SQL}, {ART_SQL}, {NUM}, {SUMJ}, {ARTJ}, {DESJ}"
+RESOLVED = f"SELECT * FROM ({PROC_SQL}) UNION ALL SELECT * FROM ({SUMQ}) UNION ALL SELECT * FROM ({ARTQ}) UNION ALL SELECT * FROM ({DESQ}) UNION ALL SELECT * FROM ({TOPQ})"
+
+
+@query(f"WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS}, {NUM} {PROC_SQL}")
+def resolve_process(spark, d):
+    return resolve.processes(resolve.family(mentions(spark, d)), keys(spark, d)[0])
+
+
+@query(f"WITH {S.CIT}, {S.MENTIONS}, {SUM_SQL}, {SUMJ} {SUMQ}")
+def resolve_sumula(spark, d):
+    return resolve.sumula_mentions(resolve.family(mentions(spark, d)), keys(spark, d)[1])
+
+
+@query(f"WITH {S.CIT}, {S.MENTIONS}, {ART_SQL}, {ARTJ} {ARTQ}")
+def resolve_article(spark, d):
+    return resolve.article_mentions(resolve.family(mentions(spark, d)), keys(spark, d)[2])
+
+
+@query(f"WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS}, {DESJ} {DESQ}")
+def resolve_descriptive(spark, d):
+    return resolve.descriptive_mentions(resolve.family(mentions(spark, d)), keys(spark, d)[0])
+
+
+@query(f"WITH {S.CIT}, {S.MENTIONS} {TOPQ}")
+def resolve_topic(spark, d):
+    return resolve.topic_mentions(resolve.family(mentions(spark, d)))
+
+
+@query(f"{ALL_WITH}, r AS ({RESOLVED}) SELECT classificacao, regra, count(*) AS n, count(DISTINCT id_canonico) AS records FROM r GROUP BY ROLLUP (classificacao, regra)")
+def resolve_summary(spark, d):
+    r = resolve.resolve(mentions(spark, d), *keys(spark, d))
+    return r.rollup("classificacao", "regra").agg(F.count("*").alias("n"), F.count_distinct("id_canonico").alias("records"))
+
+
+@query(f"""
+WITH {S.CIT}, {S.RULINGS}, n0 AS (SELECT cit, list_distinct(list_filter(list_transform(regexp_extract_all(trecho, '[0-9OolIS]{{1,3}}(?:\\.[0-9OolIS]{{3}})+|[0-9]{{3,8}}', 0), lambda x: {S.ocr_digits('x')}), lambda x: NOT regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) AS nums FROM cit WHERE regra IS NULL OR regra LIKE 'inventada%')
+SELECT n0.cit, min(r.doc_id) AS doc_id, count(*) AS n FROM n0 JOIN rulings r ON r.numero = try_cast(list_extract(nums, -1) AS BIGINT) WHERE len(nums) = 1 GROUP BY n0.cit""")
+def resolve_retry(spark, d):
+    return resolve.retry(cits(spark, d).where("regra IS NULL OR regra LIKE 'inventada%'"), keys(spark, d)[0])
+
+
+@query(f"""
+WITH {S.CIT}, {S.RULINGS} SELECT c.cit, {S.chain_distance(S.chain(S.fold('c.trecho')), 'r.chain')}::INT AS dist FROM cit c JOIN rulings r ON c.id_canonico = r.doc_id""")
+def chain_distances(spark, d):
+    r = keys(spark, d)[0].select(F.col("doc_id").alias("id_canonico"), F.col("chain").alias("r_chain"))
+    return cits(spark, d).join(r, "id_canonico").select("cit", X.chain_distance(X.appeal_chain(X.fold(F.col("trecho"))), F.col("r_chain")).cast("int").alias("dist"))
+
+
+@query(f"""
+WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS} SELECT m.cit, len(list_intersect({S.terms('m.contexto')}, {S.terms('r.inicio_texto')}))::BIGINT AS common FROM m JOIN cit USING (cit) JOIN rulings r ON cit.id_canonico = r.doc_id WHERE m.contexto IS NOT NULL""")
+def context_overlap(spark, d):
+    c = cits(spark, d).where("id_canonico IS NOT NULL").select("cit", "id_canonico")
+    m = mentions(spark, d).where("contexto IS NOT NULL").select("cit", "contexto")
+    r = keys(spark, d)[0].select(F.col("doc_id").alias("id_canonico"), "inicio")
+    j = m.join(c, "cit").join(r, "id_canonico")
+    return j.select("cit", F.size(F.array_intersect(X.content_terms(F.col("contexto")), X.content_terms(F.col("inicio")))).cast("bigint").alias("common"))
+
+
+@query(f"""
+WITH {S.CIT}, {S.RULINGS}, n AS (SELECT DISTINCT {S.name_tokens(_NAME)} AS nome FROM cit WHERE regra LIKE '%descritiva%'), k AS (SELECT DISTINCT {S.name_tokens('relator')} AS tok FROM rulings WHERE len({S.name_tokens('relator')}) >= 2)
+SELECT array_to_string(nome, ' ') AS nome, count(*) AS relators FROM n JOIN k ON len(list_filter(nome, lambda x: NOT list_contains(tok, x))) = 0 WHERE len(nome) >= 2 GROUP BY 1""")
+def relator_subset(spark, d):
+    """Names whose words are all in a known rapporteur's: joined on each name's rarest word, then checked."""
+    name = F.regexp_extract("trecho", r"(?:relatoria d[aeo]s?|Rel\.|Relatora?:?)\s+(.+)$", 1)
+    n = cits(spark, d).where("regra LIKE '%descritiva%'").select(X.name_tokens(name).alias("nome")).where("size(nome) >= 2").distinct()
+    k = canon.relators(keys(spark, d)[0]).select("tokens", F.explode("tokens").alias("w"))
+    freq = k.groupBy("w").agg(F.count("*").alias("f"))
+    rare = n.select("nome", F.explode("nome").alias("w")).join(freq, "w").groupBy("nome").agg(F.min_by("w", F.struct("f", "w")).alias("w"))
+    hit = rare.join(k, "w").where("size(array_except(nome, tokens)) = 0")
+    return hit.groupBy(joined("nome").alias("nome")).agg(F.count("*").alias("relators"))
+
+
+# ---- readings of models
+
+
+@query("""
+WITH i AS (SELECT DISTINCT documento_id, trecho, coalesce(numero, '') AS numero, coalesce(tribunal, '') AS tribunal FROM llm_items)
+SELECT documento_id, trecho, min(numero) AS numero FROM i GROUP BY documento_id, trecho HAVING count(DISTINCT numero) = 1""")
+def unanimity_vote(spark, d):
+    i = table(spark, d, "llm_items").select("documento_id", "trecho", F.coalesce("numero", F.lit("")).alias("numero"))
+    g = i.groupBy("documento_id", "trecho").agg(F.count_distinct("numero").alias("k"), F.min("numero").alias("numero"))
+    return g.where("k = 1").select("documento_id", "trecho", "numero")
+
+
+@query(f"""
+WITH {S.CIT}, {S.RULINGS}, i AS (SELECT DISTINCT documento_id, modelo, trecho, {S.ocr_digits('numero')} AS dg FROM llm_items WHERE tipo = 'processo'),
+p AS (SELECT i.documento_id, i.trecho, r.doc_id FROM i JOIN rulings r ON r.numero = CASE WHEN length(dg) <= 8 THEN try_cast(dg AS BIGINT) END)
+SELECT documento_id, trecho, count(DISTINCT doc_id) AS n_proposals, CASE WHEN count(DISTINCT doc_id) = 1 THEN min(doc_id) END AS id_canonico FROM p GROUP BY 1, 2""")
+def ensemble_conflict(spark, d):
+    dg = X.ocr_digits(F.col("numero"))
+    i = table(spark, d, "llm_items").where("tipo = 'processo'").select("documento_id", "trecho", X.short_key(dg).alias("numero"))
+    p = i.join(keys(spark, d)[0].where("numero IS NOT NULL").select("numero", F.col("doc_id").alias("id_canonico")), "numero")
+    v = review.vote(p.withColumn("cit", F.struct("documento_id", "trecho")), "cit")
+    return v.select("cit.documento_id", "cit.trecho", "n_proposals", "id_canonico")
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, n_chars / 80.0 AS spent FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL),
+w AS (SELECT *, count(*) OVER o AS n, coalesce(sum(spent) OVER o, 0.0) AS s, first_value(spent) OVER o AS f FROM r WINDOW o AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, CASE WHEN (n > 3 AND (s - f) / (n - 1) > 25.0) OR s > 10800.0 THEN 1 ELSE 0 END AS over FROM w)
+SELECT source, doc_id, max(over) OVER (PARTITION BY source ORDER BY doc_id) = 0 AS active FROM k""")
+def budget_cutoff(spark, d):
+    r = table(spark, d, "documents").where("source IS NOT NULL AND n_chars IS NOT NULL").select("source", "doc_id", (F.col("n_chars") / 80.0).alias("spent"))
+    return review.within_budget(r, "doc_id", "spent", mean=25.0, by="source").select("source", "doc_id", "active")
+
+
+@query("""
+WITH i AS (SELECT DISTINCT documento_id, modelo, trecho FROM llm_items WHERE trecho IS NOT NULL AND documento_id IS NOT NULL)
+SELECT documento_id, trecho FROM i WHERE modelo = 'leitor-a' EXCEPT SELECT documento_id, trecho FROM i WHERE modelo = 'leitor-b'""")
+def cache_misses(spark, d):
+    i = review.items(table(spark, d, "llm_items")).withColumn("key", review.cache_key(F.col("documento_id"), F.col("trecho")))
+    return review.misses(i.where("modelo = 'leitor-a'"), i.where("modelo = 'leitor-b'")).select("documento_id", "trecho").distinct()
+
+
+@query("""
+WITH i AS (SELECT DISTINCT documento_id, trecho FROM llm_items WHERE trecho IS NOT NULL)
+SELECT i.documento_id, i.trecho, (strpos(d.text, i.trecho) - 1)::INT AS inicio, (strpos(d.text, i.trecho) - 1 + length(i.trecho))::INT AS fim FROM i JOIN documents d USING (documento_id) WHERE strpos(d.text, i.trecho) > 0""")
+def align_exact(spark, d):
+    i = table(spark, d, "llm_items").where("trecho IS NOT NULL").select("documento_id", "trecho").distinct()
+    j = i.join(table(spark, d, "documents").select("documento_id", "text"), "documento_id").withColumn("p", F.expr("locate(trecho, text)")).where("p > 0")
+    return j.select("documento_id", "trecho", (F.col("p") - 1).cast("int").alias("inicio"), (F.col("p") - 1 + F.length("trecho")).cast("int").alias("fim"))
+
+
+@query()
+def llm_review(spark, d):
+    """Readings placed, guarded, matched to citations, resolved anew and settled by the vote."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("documento_id", "text")
+    i = review.items(table(spark, d, "llm_items"))
+    i = i.where(review.grounded(i)).withColumn("reading", F.concat_ws(":", "documento_id", "modelo", "trecho"))
+    at = materialize(review.placed(i, docs), "review-placed")
+    c = cits(spark, d)
+    hit = review.matched(at, c)
+    m = at.select(F.col("reading").alias("cit"), "trecho", F.when(F.col("tipo") == "artigo", "lei").otherwise("jurisprudencia").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
+    r = resolve.resolve(m, *keys(spark, d)).where("classificacao = 'real'").select(F.col("cit").alias("reading"), "id_canonico")
+    return review.settle(c, review.vote(hit.join(r, "reading")))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(substr(text, 1, 1500), chr(10))) AS line, generate_subscripts(string_split(substr(text, 1, 1500), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l)
+SELECT doc_id, coalesce(min(CASE WHEN length(line) >= 70 THEN at END), 0)::BIGINT AS header_end FROM a GROUP BY doc_id""")
+def header_end(spark, d):
+    return review.header_end(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+
+
+@query()
+def chunk_documents(spark, d):
+    return extract.chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+# ---- output
+
+
+@query(f"""
+WITH {S.CIT}, g AS (SELECT documento_id, string_agg(inicio || ',' || fim || ',' || classificacao || ',' || coalesce(id_canonico, '-') || ',' || coalesce(printf('%.4f', confianca), '-'), '|' ORDER BY inicio, fim) AS c FROM cit GROUP BY documento_id)
+SELECT DISTINCT d.documento_id, coalesce(c, '-') AS citacoes FROM documents d LEFT JOIN g USING (documento_id)""")
+def submission_rows(spark, d):
+    return contract.packed(cits(spark, d), table(spark, d, "documents"))
+
+
+@query()
+def contract_json(spark, d):
+    return contract.nested(cits(spark, d))
+
+
+@query(f"""
+WITH {S.CIT}, j AS (SELECT c.*, d.text AS t, d.documento_id IS NOT NULL AS known FROM cit c LEFT JOIN documents d USING (documento_id)), b AS (SELECT DISTINCT cast(id AS VARCHAR) AS i FROM documentos),
+v AS (SELECT d.documento_id, NULL::INT AS inicio, NULL::INT AS fim, 'V1' AS r FROM documents d WHERE text IS NOT NULL AND documento_id NOT IN (SELECT documento_id FROM cit)
+UNION ALL SELECT documento_id, inicio, fim, 'V3' FROM cit WHERE inicio IS NULL OR fim IS NULL OR trecho IS NULL OR tipo IS NULL OR classificacao IS NULL OR confianca IS NULL
+UNION ALL SELECT documento_id, inicio, fim, 'V4' FROM j WHERE t IS NOT NULL AND (inicio < 0 OR inicio >= fim OR fim > length(t))
+UNION ALL SELECT documento_id, inicio, fim, 'V5' FROM j WHERE t IS NOT NULL AND substr(t, inicio + 1, fim - inicio) <> trecho
+UNION ALL SELECT documento_id, inicio, fim, 'V6' FROM cit WHERE tipo NOT IN ('lei', 'jurisprudencia')
+UNION ALL SELECT documento_id, inicio, fim, 'V7' FROM cit WHERE classificacao NOT IN ('real', 'inventada', 'incompleta')
+UNION ALL SELECT documento_id, inicio, fim, 'V8' FROM cit LEFT JOIN b ON b.i = id_canonico WHERE classificacao = 'real' AND (id_canonico IS NULL OR b.i IS NULL)
+UNION ALL SELECT documento_id, inicio, fim, 'V9' FROM cit WHERE classificacao <> 'real' AND id_canonico IS NOT NULL
+UNION ALL SELECT documento_id, inicio, fim, 'V10' FROM cit WHERE NOT confianca BETWEEN 0.0 AND 1.0
+UNION ALL SELECT documento_id, inicio, fim, 'V12' FROM j WHERE t IS NULL
+UNION ALL SELECT a.documento_id, b.inicio, b.fim, 'V11' FROM cit a JOIN cit b ON a.documento_id = b.documento_id AND (a.inicio < b.inicio OR (a.inicio = b.inicio AND a.fim < b.fim)) AND a.inicio < b.fim AND b.inicio < a.fim WHERE {S.iou('a.inicio', 'a.fim', 'b.inicio', 'b.fim')} >= 0.5)
+SELECT r AS rule, count(*) AS n, count(DISTINCT documento_id) AS docs FROM v GROUP BY r""")
+def contract_violations(spark, d):
+    v = contract.violations(cits(spark, d), table(spark, d, "documents"), table(spark, d, "documentos"))
+    return v.groupBy(F.col("regra_violada").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct("documento_id").alias("docs"))
+
+
+@query(f"WITH {S.CIT} SELECT documento_id, count(*) AS n, count_if(classificacao = 'real') AS n_real, count_if(classificacao = 'inventada') AS n_inventada, count_if(classificacao = 'incompleta') AS n_incompleta FROM cit GROUP BY ROLLUP (documento_id)")
+def class_counts(spark, d):
+    n = lambda k: F.count_if(F.col("classificacao") == k)
+    return cits(spark, d).rollup("documento_id").agg(F.count("*").alias("n"), n("real").alias("n_real"), n("inventada").alias("n_inventada"), n("incompleta").alias("n_incompleta"))
+
+
+# ---- extraction and fuzzy functions
+
+
+@query()
+def extract_citations(spark, d):
+    return extract.extract(table(spark, d, "documents"), "documento_id", "text")
+
+
+@query()
+def extract_and_resolve(spark, d):
+    """Every citation found in the documents, resolved."""
+    docs = table(spark, d, "documents").select("documento_id", "text")
+    s = materialize(extract.extract(docs, "documento_id", "text"), "spans")
+    cit = F.concat_ws(":", "documento_id", F.col("inicio").cast("string"), F.col("fim").cast("string"))
+    m = s.join(docs, "documento_id").select(cit.alias("cit"), "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"))
+    r = resolve.resolve(m, *keys(spark, d))
+    return s.withColumn("cit", cit).join(r, "cit").drop("cit")
+
+
+@query()
+def extraction_recall(spark, d):
+    """Listed citations whose span was found, by kind."""
+    s = extract.extract(table(spark, d, "documents"), "documento_id", "text").select("documento_id", "inicio", "fim", F.lit(1).alias("hit"))
+    j = cits(spark, d).join(s, ["documento_id", "inicio", "fim"], "left")
+    return j.groupBy("tipo").agg(F.count("*").alias("listed"), F.count("hit").alias("found"))
+
+
+@query()
+def fuzzy_name_match(spark, d):
+    """Descriptive citations whose rapporteur resembles one of a ruling of that court and year."""
+    r = keys(spark, d)[0].where("relator IS NOT NULL").select("tribunal", "ano", "doc_id", X.name_tokens(F.col("relator")).alias("r"))
+    m = resolve.family(cits(spark, d)).where("familia = 'descritivos'")
+    name = F.regexp_extract("trecho", r"(?:relatoria d[aeo]s?|Rel\.|Relatora?:?)\s+(.+)$", 1)
+    year = F.regexp_extract("trecho", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int")
+    m = m.select("cit", F.try_element_at(X.courts_in(F.col("trecho")), F.lit(1)).alias("tribunal"), year.alias("ano"), X.name_tokens(name).alias("c"))
+    return m.join(r, ["tribunal", "ano"]).where(fuzzy.name_matches("c", "r")).groupBy("cit").agg(F.count("*").alias("records"), F.min("doc_id").alias("doc_id"))
+
+
+@query()
+def vocab_repair(spark, d):
+    """First lines of rulings with words repaired and abbreviations expanded."""
+    return table(spark, d, "documentos").select("id", fuzzy.canonical(F.regexp_extract("texto", r"^[^\n]*", 0)).alias("titulo"))
+
+
+@query()
+def number_groups(spark, d):
+    return cits(spark, d).select("cit", F.array_join(fuzzy.numbers_in("trecho"), " ").alias("numeros"))
+
+
+@query()
+def skeleton_match(spark, d):
+    """Readings and citations of a document that are equal up to shapes taken for each other: an equi join on skeletons."""
+    i = table(spark, d, "llm_items").where("trecho IS NOT NULL").select("documento_id", "trecho").distinct().withColumn("sk", fuzzy.skeleton_of("trecho"))
+    c = cits(spark, d).select("documento_id", "cit", fuzzy.skeleton_of("trecho").alias("sk"))
+    return i.join(c, ["documento_id", "sk"]).select("documento_id", "cit", "trecho")
+
+
+# ---- stream
+
+
+@query("""
+WITH f AS (SELECT documento_id, text FROM documents WHERE recebido_em IS NOT NULL)
+SELECT documento_id, length(text)::BIGINT AS n FROM f""")
+def stream_documents(spark, d):
+    """The documents read as a stream with repeated deliveries dropped by watermark, written by foreachBatch and read back."""
+    import uuid
+
+    from citeresolve.streaming import files
+
+    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "documents").schema
+    s = files.fresh(files.document_stream(spark, f"{d}/documents.parquet*", schema), ["documento_id"], "recebido_em", "3650 days")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.select("documento_id", F.length("text").cast("bigint").alias("n")).write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+
+    q = s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("documento_id", "n")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Citations found in the documents and resolved, counted by class and rule."""
+    r = extract_and_resolve(spark, d)
+    return r.groupBy("tipo", "classificacao", "regra").agg(F.count("*").alias("n"), F.avg("confianca").alias("confianca"))
