@@ -23,6 +23,11 @@ LAW = r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|, de
 UF_END = r"[/(–-]\s*([A-Z]{2})\s*\)?\s*$"
 
 
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once: the plan holds a variable where f uses it, not copies of c."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip_accents(c: Column) -> Column:
     """Plain letters for accented ones; combining marks and ordinal signs included."""
     return F.regexp_replace(F.translate(c, dims.ACCENTED, dims.PLAIN), r"[̀-ͯ]", "")
@@ -106,7 +111,7 @@ def is_subsequence(short: Column, long: Column) -> Column:
 def locate_number(c: Column) -> Column:
     """(raw, digits, fixes) of the first case number of a citation: the long form, else the short one."""
     raw = F.coalesce(F.nullif(F.regexp_extract(c, CNJ, 0), F.lit("")), F.nullif(F.regexp_extract(c, SHORT, 0), F.lit("")))
-    return F.struct(raw.alias("raw"), ocr_digits(raw).alias("digits"), F.length(F.regexp_replace(raw, r"[^A-Za-z|]", "")).alias("fixes"))
+    return let(raw, lambda r: F.struct(r.alias("raw"), ocr_digits(r).alias("digits"), F.length(F.regexp_replace(r, r"[^A-Za-z|]", "")).alias("fixes")))
 
 
 def cnj_seq(d: Column) -> Column:
@@ -141,8 +146,7 @@ def format_short(n: Column) -> Column:
 
 def trailing_uf(c: Column) -> Column:
     """The state at the end of a citation, if it is one."""
-    uf = F.regexp_extract(c, UF_END, 1)
-    return F.when(uf.isin(dims.UFS), uf)
+    return let(F.regexp_extract(c, UF_END, 1), lambda uf: F.when(uf.isin(dims.UFS), uf))
 
 
 def year4(y: Column) -> Column:
@@ -177,13 +181,16 @@ def year_text(c: Column) -> Column:
 
 def diploma_key(folded: Column) -> Column:
     """Key of the statute named in a folded text: by law number, else by its name; another year than that in force gives KEY/YEAR, an unknown law LEI:number/year."""
-    number = F.concat(F.nullif(F.replace(F.regexp_extract(folded, LAW, 1), F.lit("."), F.lit("")), F.lit("")), F.lit("/"), year_text(F.regexp_extract(folded, LAW, 2)))
-    name = F.regexp_extract(folded, STATUTE, 1)
-    key = lookup({a: k for a, (k, _) in ALIASES.items()}, name)
-    force = lookup({a: str(y) for a, (_, y) in ALIASES.items()}, name)
-    cited = year_text(F.regexp_extract(folded, CITED_YEAR, 1))
-    by_name = F.when(cited.isNull() | (cited == force), key).otherwise(F.concat(key, F.lit("/"), cited))
-    return F.coalesce(lookup(dims.LAW_NUMBERS, number), F.concat(F.lit("LEI:"), number), by_name)
+    number = F.concat(F.nullif(F.replace(F.regexp_extract(folded, LAW, 1), F.lit("."), F.lit("")), F.lit("")), F.lit("/"), let(F.regexp_extract(folded, LAW, 2), year_text))
+    cited = let(F.regexp_extract(folded, CITED_YEAR, 1), year_text)
+
+    def named(name: Column) -> Column:
+        key = lookup({a: k for a, (k, _) in ALIASES.items()}, name)
+        force = lookup({a: str(y) for a, (_, y) in ALIASES.items()}, name)
+        return let(cited, lambda c: F.when(c.isNull() | (c == force), key).otherwise(F.concat(key, F.lit("/"), c)))
+
+    by_number = let(number, lambda n: F.coalesce(lookup(dims.LAW_NUMBERS, n), F.concat(F.lit("LEI:"), n)))
+    return F.coalesce(by_number, let(F.regexp_extract(folded, STATUTE, 1), named))
 
 
 def appeal_chain(folded: Column) -> Column:
@@ -194,32 +201,28 @@ def appeal_chain(folded: Column) -> Column:
 
 def chain_distance(a: Column, b: Column) -> Column:
     """10 for each marker only one chain has, 1 for each difference in count."""
-    sets = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    bags = None
-    for k, _ in dims.MARKERS:
-        n = F.abs(F.size(F.filter(a, lambda x: x == k)) - F.size(F.filter(b, lambda x: x == k)))
-        bags = n if bags is None else bags + n
-    return 10 * sets + bags
+    def of(x: Column, y: Column) -> Column:
+        out = 10 * (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+        for k, _ in dims.MARKERS:
+            out = out + F.abs(F.size(F.filter(x, lambda z: z == k)) - F.size(F.filter(y, lambda z: z == k)))
+        return out
+
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
 def class_code(text: Column) -> Column:
     """Class of a citation: of the abbreviations and names in it the last one that isn't an appeal marker."""
     codes = "|".join(c for c, _, _ in sorted(dims.CLASSES, key=lambda c: -len(c[0])))
-    named = F.lit(None).cast("string")
-    f = fold(text)
-    for code, name, _ in dims.CLASSES:
-        named = F.coalesce(named, F.when(f.contains(name), F.lit(code)))
     spread = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[^A-Za-z]+", "  ")
     short = F.regexp_extract_all(spread, F.lit(rf" ({codes}) "), F.lit(1))
+    named = let(fold(text), lambda f: F.coalesce(*[F.when(f.contains(name), F.lit(code)) for code, name, _ in dims.CLASSES]))
     return F.coalesce(F.try_element_at(short, F.lit(-1)), named)
 
 
 def class_courts(code: Column) -> Column:
     """Courts that have a class; null for an unknown class."""
-    out = F.lit(None).cast("array<string>")
-    for c, _, courts in dims.CLASSES:
-        out = F.coalesce(out, F.when(code == c, F.array(*map(F.lit, courts))))
-    return out
+    table = [x for c, _, courts in dims.CLASSES for x in (F.lit(c), F.array(*map(F.lit, courts)))]
+    return F.try_element_at(F.create_map(*table), code)
 
 
 def name_tokens(c: Column) -> Column:

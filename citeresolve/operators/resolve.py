@@ -30,9 +30,7 @@ def family(m: DataFrame) -> DataFrame:
 
 def labelled(df: DataFrame, rule: Column, doc_id: Column) -> DataFrame:
     """The rule as classification, record and confidence."""
-    conf = F.lit(None).cast("double")
-    for k, v in dims.CONFIDENCE.items():
-        conf = F.coalesce(conf, F.when(F.col("regra") == k, F.lit(v)))
+    conf = X.lookup(dims.CONFIDENCE, F.col("regra"))
     df = df.withColumn("regra", rule)
     cls = F.when(F.col("regra").startswith("real"), "real").when(F.col("regra").startswith("inventada"), "inventada").otherwise("incompleta")
     return df.select("cit", cls.alias("classificacao"), F.when(F.col("regra").startswith("real"), doc_id).alias("id_canonico"), conf.alias("confianca"), "regra")
@@ -132,9 +130,7 @@ def descriptive_mentions(m: DataFrame, rulings: DataFrame) -> DataFrame:
     """Court, year and rapporteur: all words of the name cited must be in the record's; one record is real, none or several are incomplete."""
     d = m.where("familia = 'descritivos'")
     court = F.try_element_at(X.courts_in(F.col("trecho")), F.lit(1))
-    by_class = F.lit(None).cast("string")
-    for k, v in dims.CLASS_COURT.items():
-        by_class = F.coalesce(by_class, F.when(X.class_code(F.col("trecho")) == k, F.lit(v)))
+    by_class = X.lookup(dims.CLASS_COURT, X.class_code(F.col("trecho")))
     name = F.regexp_extract("trecho", r"(?:relatoria d[aeo]s?|Rel\.|Relatora?:?)\s+(.+)$", 1)
     d = d.select("cit", F.coalesce(court, by_class).alias("tribunal"), F.regexp_extract("trecho", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int").alias("ano"), X.name_tokens(name).alias("nome"))
     r = rulings.where("relator IS NOT NULL").select("tribunal", "ano", "doc_id", X.name_tokens(F.col("relator")).alias("r_nome"))
