@@ -426,8 +426,8 @@ def llm_review(spark, d):
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(substr(text, 1, 1500), chr(10))) AS line, generate_subscripts(string_split(substr(text, 1, 1500), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
-a AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l)
-SELECT doc_id, coalesce(min(CASE WHEN length(line) >= 70 THEN at END), 0)::BIGINT AS header_end FROM a GROUP BY doc_id""")
+a AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l)
+SELECT doc_id, coalesce(min(CASE WHEN length(line) >= 70 THEN pos END), 0)::BIGINT AS header_end FROM a GROUP BY doc_id""")
 def header_end(spark, d):
     return review.header_end(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
 

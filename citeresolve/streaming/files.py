@@ -19,7 +19,8 @@ def document_stream(spark: SparkSession, folder: str, schema, glob: str | None =
 
 def fresh(stream: DataFrame, key: list[str], time: str, delay: str = "30 days") -> DataFrame:
     """First delivery of each key; state older than the watermark is dropped."""
-    return stream.where(F.col(time).isNotNull()).withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    timed = stream.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
 def mentions(docs: DataFrame, id_col: str = "documento_id", text_col: str = "text") -> DataFrame:
