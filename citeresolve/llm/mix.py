@@ -150,7 +150,7 @@ class Mixture:
         tokens = F.coalesce("tokens", F.lit(0))
         return j.select(
             F.col("source").alias("fonte"), "peso", (F.col("peso") / all_w).alias("target_share"),
-            F.coalesce(tokens / F.sum(tokens).over(Window.partitionBy()), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.try_divide(tokens, F.sum(tokens).over(Window.partitionBy())), F.lit(0.0)).alias("actual_share"),
             tokens.alias("tokens"), F.round("wanted").cast("long").alias("wanted_tokens"), F.col("supply").alias("supply_tokens"),
             F.col("docs").alias("documents"), F.coalesce("documents_used", F.lit(0)).alias("documents_used"), F.coalesce("copies", F.lit(0)).alias("copies"),
             F.coalesce("most_used", F.lit(0)).alias("most_used"), "max_repeticoes", F.col("blank").alias("documents_without_tokens"),
