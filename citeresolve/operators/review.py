@@ -82,19 +82,25 @@ def shrunk(rule_len: Column, model_len: Column) -> Column:
     return (rule_len > LONG) & (rule_len > TIMES * model_len)
 
 
-def within_budget(df: DataFrame, order: str, spent: str, warmup: int = 3, mean: float = 40.0, total: float = 10_800.0, by: str | None = None) -> DataFrame:
+def within_budget(df: DataFrame, order: str, spent: str, warmup: int = 3, mean: float = 40.0, total: float = 10_800.0, by: str | None = None, block: int = 10_000) -> DataFrame:
     """Rows with `active`: false from the row on whose predecessors' mean cost (the first left out, from the fourth on) or total passes the budget.
 
-    The order of a run is total, so the running sums are windows over each run (`by`): rows of one run, not of a table.
+    `order` is a whole number. The running sums are two-level - blocks of the order, then rows within a block - so that a
+    long run isn't summed in one task.
     """
-    p = [by] if by else []
-    w = Window.partitionBy(*p).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count("*").over(w)
-    s = F.coalesce(F.sum(spent).over(w), F.lit(0.0))
-    first = F.first(spent).over(w)
-    over = ((n > warmup) & ((s - first) / (n - 1) > mean)) | (s > total)
-    d = df.withColumn("_o", over.cast("int"))
-    return d.withColumn("active", F.coalesce(F.max("_o").over(Window.partitionBy(*p).orderBy(order)), F.lit(0)) == 0).drop("_o")
+    run = F.col(by) if by else F.lit(0)
+    d = df.withColumn("_r", run).withColumn("_b", F.floor(F.col(order) / block))
+    sums = d.groupBy("_r", "_b").agg(F.count("*").alias("c"), F.sum(spent).alias("s"))
+    w = Window.partitionBy("_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_r", "_b", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("s0"))
+    first = d.groupBy("_r").agg(F.min_by(spent, order).alias("f"))
+    w = Window.partitionBy("_r", "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("n1", F.count("*").over(w)).withColumn("s1", F.coalesce(F.sum(spent).over(w), F.lit(0.0)))
+    j = d.join(sums, ["_r", "_b"]).join(first, "_r")
+    n, s = F.col("n0") + F.col("n1"), F.col("s0") + F.col("s1")
+    over = F.when(n > warmup, (s - F.col("f")) / F.greatest(n - 1, F.lit(1)) > mean).otherwise(F.lit(False)) | (s > total)
+    end = j.where(over).groupBy("_r").agg(F.min(order).alias("_end"))
+    return d.join(end, "_r", "left").withColumn("active", F.col("_end").isNull() | (F.col(order) < F.col("_end"))).select(*df.columns, "active")
 
 
 def cache_key(model: Column, prompt: Column) -> Column:
