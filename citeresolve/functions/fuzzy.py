@@ -130,6 +130,52 @@ def align(text: str, piece: str) -> tuple[int, int] | None:
     return (at[best[1]], at[best[2] - 1] + 1) if best[0] >= 0.86 else None
 
 
+def fuzzy_in(word: str, text: str, least: float = 0.8) -> bool:
+    """Whether some stretch of `text` as long as `word` is at least `least` similar to it."""
+    w, t = fold(word), fold(text)
+    n = len(w)
+    return bool(w) and (w in t or any(similarity(w, t[i : i + n]) >= least for i in range(max(0, len(t) - n) + 1)))
+
+
+#: Word stems that speak for a class or a statute in a stretch of text.
+STEMS = {
+    "REsp": ("resp", "recurso esp", "rec. esp"), "AREsp": ("aresp", "agravo em rec"), "RHC": ("rhc", "recurso em habeas", "recurso ordinario em habeas"), "HC": ("hc", "habeas"), "RMS": ("rms", "recurso em mandado"),
+    "Rcl": ("rcl", "recl"), "RE": ("re ", "recurso extraord"), "ARE": ("are ", "extraordinario com agravo"), "RR": ("rr", "recurso de revista"), "AIRR": ("airr",), "CPC": ("cpc", "processo civil"), "CPP": ("cpp", "processo penal"),
+    "CF": ("cf", "constituicao"), "CLT": ("clt", "leis do trabalho"), "CC": ("cc", "codigo civil"), "CDC": ("cdc", "consumidor"), "CPM": ("cpm", "penal militar"), "CE": ("codigo eleitoral",),
+}
+
+
+def evidence(text: str, code: str) -> int:
+    """Length of the longest stem in `text` that speaks for `code`; 0 without any."""
+    t = fold(text) + " "
+    return max((len(s) for s in STEMS.get(code, (code.lower(),)) if s in t), default=0)
+
+
+def best_evidence(text: str, codes: list[str]) -> str | None:
+    """The code with the longest evidence; None without any and for a tie."""
+    e = sorted(((evidence(text, c), c) for c in codes), reverse=True)
+    return e[0][1] if e and e[0][0] and (len(e) == 1 or e[1][0] < e[0][0]) else None
+
+
+#: Words after which a number is no case number, and words that lead to one.
+BLOCKERS = frozenset("fls fl folha folhas pagina oab cpf cnpj rg valor protocolo matricula cep telefone item anexo r$".split())
+LEADING = frozenset("n no nr numero autos processo recurso agravo embargos habeas corpus reclamacao resp aresp rhc rms hc re are rcl ar rr airr arr ro ai apl rse respe agint agrg edcl edv".split())
+
+
+def cited_number(before: str, unknown: int = 3) -> bool:
+    """Whether the words before a number lead to a citation: backwards, a leading word comes before a blocking one and before more than `unknown` others."""
+    n = 0
+    for w in reversed(re.findall(r"[a-z$]+", fold(before))):
+        if w in BLOCKERS:
+            return False
+        if w in LEADING and w not in ("n", "no", "nr", "numero"):
+            return True
+        n += w not in ("n", "no", "nr", "numero", "o", "a", "do", "da", "de", "em")
+        if n > unknown:
+            return False
+    return False
+
+
 def names_match(cited: list[str] | None, record: list[str] | None) -> bool:
     """Whether every word cited has a word of the record at least 0.75 similar."""
     if not cited or not record:

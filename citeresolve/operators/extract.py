@@ -169,6 +169,42 @@ def join_split(s: str, at: list[int], vocabulary: frozenset[str]) -> tuple[str,
     return s, at
 
 
+def split_names(s: str, at: list[int], names: frozenset[str]) -> tuple[str, list[int]]:
+    """A space between two known names of at least four letters run together."""
+    cuts = []
+    for m in re.finditer(r"[^\W\d_]{8,}", s):
+        w = m.group().lower()
+        if w not in names:
+            k = next((k for k in range(4, len(w) - 3) if w[:k] in names and w[k:] in names), 0)
+            if k:
+                cuts.append(m.start() + k)
+    for k in reversed(cuts):
+        s = s[:k] + " " + s[k:]
+        at.insert(k, at[k])
+    return s, at
+
+
+def own_numbers(text: str, header: int = 1500) -> list[str]:
+    """Digits of the case numbers a document gives itself in its header: they are no citations of others."""
+    found = re.findall(rf"(?:[Aa]utos|[Pp]rocesso|[Ff]eito)\s+(?:de\s+)?{MARK}({NUM_LONG}|{NUM_SHORT})", text[:header])
+    return sorted({re.sub(r"\D", "", x.translate(str.maketrans(dims.OCR_LETTERS, dims.OCR_DIGITS))) for x in found})
+
+
+def relator_mentions(text: str, known: frozenset[frozenset[str]] = frozenset()) -> list[tuple[int, int, str]]:
+    """(start, end, how) of rapporteurs: named after a cue, or names whose words all belong to a known one."""
+    out = [(m.start(1), m.end(1), "cue") for m in re.finditer(rf"(?:[Rr]elatoria\s+d[aeo]s?|[Rr]el(?:ator[a]?)?\.?:?\s+(?:[Mm]in\.?)?)\s*({PERSON})", text)]
+    if known:
+        for m in re.finditer(PERSON, text):
+            words = {w for w in re.findall(r"[a-z]{3,}", _plain(m.group())) if w not in dims.NAME_STOP}
+            if len(words) >= 2 and any(words <= k for k in known) and all(m.end() <= a or b <= m.start() for a, b, _ in out):
+                out.append((m.start(), m.end(), "known"))
+    return sorted(out)
+
+
+def _plain(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+
+
 def to_original(at: list[int], s: int, e: int) -> tuple[int, int]:
     """A span of the cleaned text in the original: up to what follows the last character, its combining marks included."""
     return at[s], at[e - 1] + 1

@@ -52,6 +52,17 @@ def matched(readings: DataFrame, citations: DataFrame) -> DataFrame:
     return j.withColumn("cover", X.cover(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e"))).where("cover >= 0.5")
 
 
+def precise(placed_: DataFrame, headers: DataFrame, own: DataFrame) -> DataFrame:
+    """Readings that are no header line and not the document's own case number.
+
+    `headers`: (documento_id, header_end); `own`: (documento_id, numbers), digits the document gives itself.
+    """
+    j = placed_.join(headers, "documento_id", "left").join(own, "documento_id", "left")
+    dg = X.digits(F.coalesce("numero", F.lit("")))
+    mine = F.exists(F.coalesce("numbers", F.array().cast("array<string>")), lambda n: (dg != "") & (n.contains(dg) | dg.contains(n)))
+    return j.where((F.col("inicio") >= F.coalesce("header_end", F.lit(0))) & ~mine).select(*placed_.columns)
+
+
 def vote(proposals: DataFrame, key: str = "cit") -> DataFrame:
     """(key, id_canonico, n_proposals): the one record all proposals of a citation agree on; null where they differ."""
     n = proposals.groupBy(key).agg(F.count_distinct("id_canonico").alias("n_proposals"), F.min("id_canonico").alias("one"))

@@ -424,6 +424,20 @@ def llm_review(spark, d):
     return review.settle(c, review.vote(hit.join(r, "reading")))
 
 
+@query()
+def new_citations(spark, d):
+    """Precise readings that cover no listed citation, resolved as new ones."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("documento_id", "text")
+    i = review.items(table(spark, d, "llm_items"))
+    i = i.where(review.grounded(i)).withColumn("reading", F.concat_ws(":", "documento_id", "modelo", "trecho"))
+    own = docs.select("documento_id", F.transform(F.regexp_extract_all(F.substring("text", 1, 1500), F.lit(r"Autos n\S* ([0-9.-]{10,30})"), F.lit(1)), X.digits).alias("numbers"))
+    at = review.precise(review.placed(i, docs), review.header_end(docs, "documento_id", "text"), own)
+    at = materialize(at, "review-precise")
+    fresh = at.join(review.matched(at, cits(spark, d)).select("reading").distinct(), "reading", "left_anti")
+    m = fresh.select(F.col("reading").alias("cit"), "trecho", F.when(F.col("tipo") == "artigo", "lei").otherwise("jurisprudencia").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
+    return review.added(resolve.resolve(m, *keys(spark, d)))
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(substr(text, 1, 1500), chr(10))) AS line, generate_subscripts(string_split(substr(text, 1, 1500), chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
 a AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l)

@@ -165,6 +165,22 @@ def test_review(spark):
     assert [r["active"] for r in review.within_budget(b, "n", "s").orderBy("n").collect()] == [True] * 4 + [False] * 4
 
 
+def test_names_numbers_and_evidence():
+    from citeresolve.functions import fuzzy
+
+    names = frozenset(["murebira", "solsastedo"])
+    s, at = extract.split_names("Rel. MurebiraSolsastedo", list(range(24)), names)
+    assert s == "Rel. Murebira Solsastedo" and len(at) == len(s) + 1
+    assert extract.own_numbers("SENTENÇA\nAutos nº 0004417-82.2018.8.61.0014\n") == ["00044178220188610014"]
+    known = frozenset([frozenset(["fulana", "murebira"])])
+    t = "da relatoria de Beltrano Souza, e Fulana Murebira votou"
+    assert [(t[a:b], h) for a, b, h in extract.relator_mentions(t, known)] == [("Beltrano Souza", "cue"), ("Fulana Murebira", "known")]
+    assert fuzzy.fuzzy_in("Murebira", "voto de Murebiro") and not fuzzy.fuzzy_in("Murebira", "voto")
+    assert fuzzy.evidence("no REsp 1", "REsp") == 4 and fuzzy.evidence("no HC 1", "REsp") == 0
+    assert fuzzy.best_evidence("art. 1 do código de processo civil", ["CPC", "CF"]) == "CPC" and fuzzy.best_evidence("nada", ["CPC"]) is None
+    assert fuzzy.cited_number("no AgInt no REsp nº") and not fuzzy.cited_number("às fls.") and not fuzzy.cited_number("total de um dois três quatro")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.txt").write_bytes("linha\r\ndois ç".encode())
