@@ -33,6 +33,10 @@ OTHER, OTHER_AS = "ɡ‐‑µ", "g--μ"
 INVISIBLE = r"[\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e0fff}]"
 
 
+#: A text of these characters alone is its own common form: no form maps them and none combines with another.
+STABLE = r"[\x{01}-\x{0c}\x{0e}-\x{7f}\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{ff}\x{2013}\x{2014}\x{2018}\x{2019}\x{201c}\x{201d}\x{20ac}]*"
+
+
 def forms() -> tuple[dict[str, str], dict[str, str]]:
     """Compatibility forms by rule from the Unicode database: (one character for one, several for one)."""
     single: dict[str, str] = {}
@@ -72,8 +76,8 @@ def canonical_sql(column: str = "t") -> str:
 def in_duckdb(select: str, schema: T.StructType):
     """A mapInArrow function that runs `select` over the batches (view `b`) of a partition in one DuckDB connection.
 
-    Rows without a character above U+007F and without a carriage return are in the common form already; the SQL
-    decides that per row.
+    Rows whose characters are all without another form (STABLE) are in the common form already; the SQL decides that
+    per row by one pass of an automaton.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +94,7 @@ def in_duckdb(select: str, schema: T.StructType):
 
 
 def _form(column: str) -> str:
-    return f"CASE WHEN length({column}) = strlen({column}) AND NOT contains({column}, chr(13)) THEN {column} ELSE {canonical_sql(column)} END"
+    return f"CASE WHEN regexp_full_match({column}, {sql_text(STABLE)}) THEN {column} ELSE {canonical_sql(column)} END"
 
 
 def unify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
