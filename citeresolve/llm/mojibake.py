@@ -161,11 +161,30 @@ def profile(df: DataFrame, text_col: str, least_share: float = 1e-6) -> tuple[Da
 
     got = df.select(text_col).mapInPandas(run, "kind string, a string, b string, c string, n long")
     got = materialize(got.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")), "p3-profile")
-    total = got.where("kind = 't'").select(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    words = got.where("kind = 'w'").crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * least_share)
+    total = got.where("kind = 't'").agg(F.sum("n")).first()[0] or 0
+    words = got.where((F.col("kind") == "w") & (F.col("n") >= total * least_share))
     return got.where("kind = 'c'").select("a", "b", "c", "n"), words.select(F.col("a").alias("word"), "n")
 
 
+class _Gains(dict):
+    """word (between two spaces) -> what its characters can gain in garbled states: it depends on the word alone."""
+
+    def __init__(self, of: "Model"):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> float:
+        g = 0.0 if word.isascii() else sum(self.of.emission(k)[1] for k in seen_triples(f" {word} "))
+        if len(word) <= 40:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = g
+        return g
+
+    def __reduce__(self):
+        return (_Gains, (self.of,))
+
+
 class Model:
     """Emissions, Viterbi labels and inverse transforms."""
 
@@ -205,6 +224,7 @@ class Model:
         #: Forms of several characters: they are no text of their own anywhere in a row that has the state.
         self.wide = {s: re.compile("|".join(map(re.escape, sorted((g for g in m if len(g) > 1 and " " not in g), key=len, reverse=True)))) for s, m in self.back.items() if s.startswith("utf-8>")}
         self.memo: dict[tuple[str, ...], tuple[list[float], float]] = {}
+        self.gains = _Gains(self)
         self.lost: dict[str, str] = {}
         best: dict[str, int] = {}
         for w, n in words:
@@ -237,10 +257,10 @@ class Model:
 
     def labels(self, t: str) -> list[tuple[int, int]]:
         """(position, state) of every character above U+007F, by Viterbi; [] when all are clean."""
+        if sum(map(self.gains.__getitem__, t.split(" "))) <= -ENTER:
+            return []
         ks = [(m.start(), k) for m, k in zip(NON_ASCII.finditer(t), seen_triples(t))]
         es = [self.emission(k) for _, k in ks]
-        if sum(x for _, x in es) <= -ENTER:
-            return []
         size = len(STATES)
         score = [0.0 if s == 0 else ENTER for s in range(size)]
         back = []
