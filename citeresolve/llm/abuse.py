@@ -86,7 +86,7 @@ def word_tokens(raw: str) -> tuple[str, ...]:
             out.append(_reduce(t))
         elif "*" in t or "#" in t or "@" in t or "$" in t:
             out.append("?" + t)  # masked: read in the light of the scored words
-        elif sum(c.isdigit() for c in t) <= 0.6 * len(t) and len(t) > 3:
+        elif sum(c.isdigit() for c in t) <= (0.8 if len(t) > 4 else 0.6) * len(t) and len(t) > 3:
             out.append(_reduce(t.translate(_LEET)))
         else:
             out.append("0")
