@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from citeresolve import dims
 from citeresolve.functions.text import MOJIBAKE
+from citeresolve.session import spread
 
 #: Shapes a page reader confuses with each character.
 CONFUSED = {
@@ -239,8 +240,8 @@ def spans(text: str, vocabulary: frozenset[str] = frozenset()) -> list[tuple[int
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, inicio, fim, trecho, tipo, familia, origem) of every citation. Null and empty texts have none; a text that fails yields none."""
-    src = docs.select(id_col, text_col)
+    """(id, inicio, fim, trecho, tipo, familia, origem) of every citation. Null and empty texts have none."""
+    src = spread(docs.select(id_col, text_col))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:

@@ -33,6 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than cores: only ahead of work that costs far more per row than moving the row."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def local_session(cpus: int | str = 8, shuffle: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and the bench on one machine."""
     b = (
