@@ -36,24 +36,28 @@ def grounded(df: DataFrame) -> Column:
 
 
 def placed(readings: DataFrame, docs: DataFrame, id_col: str = "documento_id", text_col: str = "text") -> DataFrame:
-    """Readings with their span in the document: exact place first, else the most similar window. Readings that stand nowhere are dropped."""
-    j = readings.join(docs.select(F.col(id_col).alias("documento_id"), F.col(text_col).alias("_t")), "documento_id")
-    j = j.withColumn("_p", F.expr("locate(trecho, _t)"))
-    found = j.where("_p > 0").select(*readings.columns, (F.col("_p") - 1).cast("int").alias("inicio"), (F.col("_p") - 1 + F.length("trecho")).cast("int").alias("fim"))
-    other = j.where("_p = 0").withColumn("_s", fuzzy.aligned("_t", "trecho")).where("_s.s IS NOT NULL").select(*readings.columns, F.col("_s.s").alias("inicio"), F.col("_s.e").alias("fim"))
-    return found.unionByName(other)
+    """Readings with each of their spans in the document and the `place` that names it: every exact place and every one of an
+    equal skeleton, else the most similar window. Readings that stand nowhere are dropped.
+
+    The distinct pieces of a document are looked up together, so its skeleton is made once.
+    """
+    pieces = readings.groupBy("documento_id").agg(F.collect_set("trecho").alias("_p"))
+    j = pieces.join(docs.select(F.col(id_col).alias("documento_id"), F.col(text_col).alias("_t")), "documento_id")
+    at = j.select("documento_id", F.explode(fuzzy.all_places("_t", "_p")).alias("_s"))
+    at = at.select("documento_id", F.col("_s.piece").alias("trecho"), F.col("_s.s").alias("inicio"), F.col("_s.e").alias("fim")).distinct()
+    return readings.join(at, ["documento_id", "trecho"]).select(*readings.columns, "inicio", "fim", F.concat_ws(":", "reading", F.col("inicio").cast("string"), F.col("fim").cast("string")).alias("place"))
 
 
 def matched(readings: DataFrame, citations: DataFrame) -> DataFrame:
-    """Readings with the citation they cover: at least half of the shorter of the two spans."""
-    a = readings.select("documento_id", F.col("inicio").alias("a_s"), F.col("fim").alias("a_e"), F.col("reading"))
+    """Places of readings with the citation they cover: at least half of the shorter of the two spans."""
+    a = readings.select("documento_id", F.col("inicio").alias("a_s"), F.col("fim").alias("a_e"), "reading", "place")
     b = citations.select("documento_id", F.col("inicio").alias("b_s"), F.col("fim").alias("b_e"), F.col("cit"))
     j = spans.overlap_join(a, b, "documento_id")
     return j.withColumn("cover", X.cover(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e"))).where("cover >= 0.5")
 
 
 def precise(placed_: DataFrame, headers: DataFrame, own: DataFrame) -> DataFrame:
-    """Readings that are no header line and not the document's own case number.
+    """Places of readings that are no header line and not the document's own case number.
 
     `headers`: (documento_id, header_end); `own`: (documento_id, numbers), digits the document gives itself.
     """

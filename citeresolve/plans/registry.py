@@ -419,22 +419,22 @@ def llm_review(spark, d):
     at = materialize(review.placed(i, docs), "review-placed")
     c = cits(spark, d)
     hit = review.matched(at, c)
-    m = at.select(F.col("reading").alias("cit"), "trecho", F.when(F.col("tipo") == "artigo", "lei").otherwise("jurisprudencia").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
+    m = at.dropDuplicates(["reading"]).select(F.col("reading").alias("cit"), "trecho", F.when(F.col("tipo") == "artigo", "lei").otherwise("jurisprudencia").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
     r = resolve.resolve(m, *keys(spark, d)).where("classificacao = 'real'").select(F.col("cit").alias("reading"), "id_canonico")
     return review.settle(c, review.vote(hit.join(r, "reading")))
 
 
 @query()
 def new_citations(spark, d):
-    """Precise readings that cover no listed citation, resolved as new ones."""
+    """Places of precise readings that cover no listed citation, resolved as new ones; `cit` names the place."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("documento_id", "text")
     i = review.items(table(spark, d, "llm_items"))
     i = i.where(review.grounded(i)).withColumn("reading", F.concat_ws(":", "documento_id", "modelo", "trecho"))
     own = docs.select("documento_id", F.transform(F.regexp_extract_all(F.substring("text", 1, 1500), F.lit(r"Autos n\S* ([0-9.-]{10,30})"), F.lit(1)), X.digits).alias("numbers"))
     at = review.precise(review.placed(i, docs), review.header_end(docs, "documento_id", "text"), own)
     at = materialize(at, "review-precise")
-    fresh = at.join(review.matched(at, cits(spark, d)).select("reading").distinct(), "reading", "left_anti")
-    m = fresh.select(F.col("reading").alias("cit"), "trecho", F.when(F.col("tipo") == "artigo", "lei").otherwise("jurisprudencia").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
+    fresh = at.join(review.matched(at, cits(spark, d)).select("place").distinct(), "place", "left_anti")
+    m = fresh.select(F.col("place").alias("cit"), "trecho", F.when(F.col("tipo") == "artigo", "lei").otherwise("jurisprudencia").alias("tipo"), F.lit(None).cast("string").alias("contexto"))
     return review.added(resolve.resolve(m, *keys(spark, d)))
 
 

@@ -165,6 +165,24 @@ def test_review(spark):
     assert [r["active"] for r in review.within_budget(b, "n", "s").orderBy("n").collect()] == [True] * 4 + [False] * 4
 
 
+def test_readings_are_placed_at_every_occurrence(spark):
+    from citeresolve.functions import fuzzy
+
+    assert fuzzy.places("o HC 1.234 e o HC 1.234 e o HC l.234", ["HC 1.234", "RE 9.999"]) == [(0, 2, 10), (0, 15, 23), (0, 28, 36)]
+    t = "HC 1.234\n" + "x" * 80 + "\no HC 1.234 e depois o HC 1.234, e o REsp 9.876.543"
+    r = spark.createDataFrame([("d", "m", "HC 1.234", None, "d:m:HC 1.234"), ("d", "m", "nada disso", None, "d:m:nada disso"), ("d", "m", "REsp 9.876.S43", None, "r")], "documento_id string, modelo string, trecho string, numero string, reading string")
+    docs = spark.createDataFrame([("d", t), ("d", t)], "documento_id string, text string")
+    at = review.placed(r, docs)
+    first, second = t.index("HC 1.234", 5), t.rindex("HC 1.234")
+    assert sorted((x["inicio"], x["trecho"]) for x in at.collect()) == [(0, "HC 1.234"), (first, "HC 1.234"), (second, "HC 1.234"), (t.index("REsp"), "REsp 9.876.S43")]
+    own = spark.createDataFrame([], "documento_id string, numbers array<string>")
+    p = review.precise(at.where("reading <> 'r'"), review.header_end(docs.distinct(), "documento_id", "text"), own)
+    assert sorted(x["inicio"] for x in p.collect()) == [first, second]
+    c = spark.createDataFrame([("d", first, first + 8, "c1")], "documento_id string, inicio int, fim int, cit string")
+    left = p.join(review.matched(p, c).select("place"), "place", "left_anti")
+    assert [(x["inicio"], x["place"]) for x in left.collect()] == [(second, f"d:m:HC 1.234:{second}:{second + 8}")]
+
+
 def test_names_numbers_and_evidence():
     from citeresolve.functions import fuzzy
 
