@@ -12,8 +12,9 @@ corpus (running headers). Words cut at a line end: the joined form is a word and
 
 Only rows with such a trace are rewritten; line breaks between whole words are no trace.
 
-The statistics hold words, word pairs and line beginnings of at least a least share of all, so each has at most
-1 / share rows, however many rows are read.
+The statistics hold every word that occurs twice and every word pair that occurs three times, whatever the size of the
+corpus; line beginnings are those of at least a least share of all lines' words. The occurrence in question is no evidence
+for a word, so its own count is that of its other occurrences; one occurrence counts as none.
 
 Defined results: null stays null and has no trace; empty and blank texts have none; ties between candidates go to the
 more frequent, then the smaller word; rows delivered repeatedly count once.
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from citeresolve.llm import mojibake, unify
 from citeresolve.session import materialize
 
-WORDS_SHARE, PAIRS_SHARE, HEADS_SHARE = 2e-6, 2e-6, 1e-6
+HEADS_SHARE = 1e-6
+#: Occurrences from which a word is of the vocabulary and a pair is known.
+KNOWN = 3
 #: A word this many times as frequent is what a rarer look-alike was meant to be, where the context agrees.
 RATIO = 20
 #: Misreadings of page images (fixed values): what was printed -> what is read, with its cost.
@@ -149,9 +152,8 @@ def statistics(df: DataFrame, text_col: str, m) -> DataFrame:
     s = df.select(text_col).mapInPandas(run, "kind string, a string, b string, n long, at_page long")
     s = materialize(s.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("at_page").alias("at_page")), "p2-counts")
     total = s.where("kind = 'n'").agg(F.sum("n")).first()[0] or 0
-    least = F.when(F.col("kind") == "w", WORDS_SHARE).when(F.col("kind") == "p", PAIRS_SHARE).otherwise(HEADS_SHARE) * total
-    header = (F.col("kind") == "h") & (F.col("n") >= 4) & (F.col("at_page") >= 0.4 * F.col("n"))
-    return s.where((F.col("kind") != "n") & (F.col("n") >= least) & (header | (F.col("kind") != "h") & (F.col("n") >= 3)))
+    header = (F.col("n") >= HEADS_SHARE * total) & (F.col("n") >= 4) & (F.col("at_page") >= 0.4 * F.col("n"))
+    return s.where(F.when(F.col("kind") == "w", F.col("n") >= 2).when(F.col("kind") == "p", F.col("n") >= KNOWN).otherwise((F.col("kind") == "h") & header))
 
 
 class Trie:
@@ -202,8 +204,8 @@ class Reader:
         self.pairs = {(a, b): n for k, a, b, n, _ in rows if k == "p"}
         self.heads = {a for k, a, _, _, _ in rows if k == "h"}
         self.confusions = _confusions()
-        # a correction is RATIO times as frequent as the word itself, which occurs at least once
-        self.trie = Trie(w for w, n in self.count.items() if n >= RATIO and "-" not in w)
+        # a word that occurs nowhere else can be any word of the vocabulary
+        self.trie = Trie(w for w, n in self.count.items() if n >= KNOWN and "-" not in w)
         self.most = max((n for w, n in self.count.items() if "-" not in w), default=0)
         self.memo: dict[str, list[tuple[float, str]]] = {}
         self.sure: dict[str, bool] = {}
@@ -270,14 +272,14 @@ class Reader:
 
     def correction(self, word: str, before: str, after: str) -> str | None:
         """What `word` (lower case) was printed as, if it is a misreading."""
-        own = self.count.get(word, 0)
+        own = max(0, self.count.get(word, 0) - 1)
         score, best = None, None
         for cost, w in self.candidates(word):
             n = self.count[w]
-            if n < RATIO * own:
+            if n < RATIO * own or not self.trusted(w):  # a frequent misreading is no correction
                 continue
             near = self.pairs.get((before, w), 0) + self.pairs.get((w, after), 0)
-            if not near and not (cost <= 1.3 and n >= 300 * own and len(word) >= 5) and not (cost <= 0.6 and not self.trusted(before) and not self.trusted(after)):
+            if not near and not (cost <= 1.3 and n >= max(RATIO, 300 * own) and len(word) >= 5) and not (cost <= 0.6 and n >= RATIO and not self.trusted(before) and not self.trusted(after)):
                 continue
             s = (-cost * 6 + (2.0 if near else 0.0) + 0.25 * min(8, near.bit_length()) + 0.1 * n.bit_length(), w)
             if score is None or s > score:
@@ -289,7 +291,7 @@ class Reader:
         got = self.sure.get(word)
         if got is None:
             n = self.count.get(word, 0)
-            got = n >= 3 and (word.isdigit() or n * RATIO > self.most or not any(self.count[v] >= RATIO * n for _, v in self.candidates(word)))
+            got = n >= KNOWN and (word.isdigit() or n * RATIO > self.most or not any(self.count[v] >= RATIO * n for _, v in self.candidates(word)))
             if len(self.sure) > 500_000:
                 self.sure.clear()
             self.sure[word] = got

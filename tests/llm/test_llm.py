@@ -83,6 +83,28 @@ def test_candidates_are_complete_within_the_budget():
         assert {w for _, w in r.candidates(word)} == want
 
 
+def test_misreadings_of_rare_words_are_corrected():
+    c = scans.Counts()
+    for _ in range(5):
+        c.add("a testemunha depôs ontem")
+    for _ in range(400):
+        c.add("o réu descumpriu o contrato")
+    for _ in range(3):
+        c.add("o réu descnmpriu o contrato")
+    c.add("a testemnnha depôs ontem e o réu dcscnmpriu o contrato")
+    r = scans.Reader([x for x in c.rows() if x[0] == "w" or x[0] == "p" and x[3] >= scans.KNOWN])
+    assert r.correction("testemnnha", "a", "depôs") == "testemunha"
+    assert r.correction("dcscnmpriu", "réu", "o") == "descumpriu"  # not the frequent misreading nearer to it
+
+
+def test_scan_statistics_keep_rare_words_of_a_large_corpus(spark):
+    many = " ".join(["processo"] * 50_000)
+    df = spark.createDataFrame([(i, many) for i in range(40)] + [(100 + i, "a testemunha depôs") for i in range(3)], "i long, t string")
+    m = spark.sparkContext.broadcast(mojibake.model(df.limit(0), "t"))
+    got = {(r["kind"], r["a"], r["b"]) for r in scans.statistics(df, "t", m).collect()}
+    assert {("w", "testemunha", None), ("p", "a", "testemunha"), ("p", "testemunha", "depôs")} <= got
+
+
 def test_scan_query_handles_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "fl. 237\no autor", 0), (3, "fl. 237\no autor", 1)], "i long, t string, traces int")
     got = {r["i"]: list(r["traces"]) for r in scans.read(df, "i", "t").collect()}
