@@ -4,7 +4,9 @@ Method: a vocabulary is counted over all rows. For a word outside it, and for a
 be misread as, a Levenshtein automaton of the word - its edits weighted by how easily a reader of page images makes
 them, letter groups like rn/m included - is intersected with a trie of the vocabulary, which retrieves every
 candidate within the budget. Candidates are ranked by misreading cost and frequency and accepted in context: one of
-the two neighbours must be known beside the candidate. Then page furniture is removed, words cut at line ends are put
+the two neighbours must be known beside the candidate. Where the usual confusions give nothing for a word of no
+vocabulary, one edit of any kind (a character lost, one too many, another one) is allowed besides them, and both neighbours must
+be known beside the candidate. Then page furniture is removed, words cut at line ends are put
 together and the lines are reflowed.
 
 Page furniture: a line that is a page number, or begins like lines that stand beside page numbers all over the
@@ -198,31 +200,35 @@ class _Fine(dict):
 class Reader:
     """Candidates, corrections and traces by the statistics of the corpus."""
 
-    def __init__(self, rows: list[tuple], edits: int = 0):
+    def __init__(self, rows: list[tuple], edits: int = 1):
         self.edits = edits
         self.count = {a: n for k, a, _, n, _ in rows if k == "w"}
         self.pairs = {(a, b): n for k, a, b, n, _ in rows if k == "p"}
+        self.left, self.right = {a for a, _ in self.pairs}, {b for _, b in self.pairs}
         self.heads = {a for k, a, _, _, _ in rows if k == "h"}
         self.confusions = _confusions()
         # a word that occurs nowhere else can be any word of the vocabulary
         self.trie = Trie(w for w, n in self.count.items() if n >= KNOWN and "-" not in w)
         self.most = max((n for w, n in self.count.items() if "-" not in w), default=0)
-        self.memo: dict[str, list[tuple[float, str]]] = {}
+        self.memo: dict[tuple[str, int], list[tuple[float, str]]] = {}
         self.sure: dict[str, bool] = {}
         self.fine = _Fine(self)
         self.first = {h.split(" ")[0] for h in self.heads}
 
-    def candidates(self, word: str) -> list[tuple[float, str]]:
-        """(cost, word) of every word of the vocabulary the automaton of `word` accepts within its budget, best first."""
-        got = self.memo.get(word)
+    def candidates(self, word: str, edits: int = 0) -> list[tuple[float, str]]:
+        """(cost, word) of every word of the vocabulary the automaton of `word` accepts within its budget, best first.
+
+        `edits`: how many edits besides the confusions - a character lost, one too many, one for another - it allows.
+        """
+        got = self.memo.get((word, edits))
         if got is not None:
             return got
         n, conf = len(word), self.confusions
         budget = min(3.0, max(0.6, 0.34 * n))
-        edits = self.edits  # other edits than misreadings
         best: dict[str, float] = {}
         # a state of the automaton: (position in word, edits left) -> cost; waits: printed groups still to be completed
-        stack = [(self.trie.root, {(0, edits): 0.0}, ())]
+        first = {(k, edits - k): k * EDIT for k in range(min(edits, n) + 1) if k * EDIT <= budget}
+        stack = [(self.trie.root, first, ())]
         while stack:
             node, states, waits = stack.pop()
             if "" in node:
@@ -258,7 +264,7 @@ class Reader:
                             later.append((rest[1:], p, e, v))
                         else:
                             put((p, e), v)
-                if edits:  # a character too many was read
+                for _ in range(edits):  # a character too many was read
                     for (p, e), v in list(new.items()):
                         if e and p < n:
                             put((p + 1, e - 1), v + EDIT)
@@ -267,7 +273,7 @@ class Reader:
         out = sorted(((c, w) for w, c in best.items()), key=lambda x: (x[0], -self.count[x[1]], x[1]))
         if len(self.memo) > 300_000:
             self.memo.clear()
-        self.memo[word] = out
+        self.memo[word, edits] = out
         return out
 
     def correction(self, word: str, before: str, after: str) -> str | None:
@@ -284,7 +290,25 @@ class Reader:
             s = (-cost * 6 + (2.0 if near else 0.0) + 0.25 * min(8, near.bit_length()) + 0.1 * n.bit_length(), w)
             if score is None or s > score:
                 score, best = s, w
-        return best
+        return best or self.edited(word, before, after, own)
+
+    def edited(self, word: str, before: str, after: str, own: int) -> str | None:
+        """The same by candidates with other edits than the confusions, for a word of no vocabulary: known beside both of its neighbours.
+
+        The first and the last word of a text have one neighbour only and may be cut, so they aren't corrected so.
+        """
+        if not self.edits or own + 1 >= KNOWN or before not in self.left or after not in self.right:
+            return None
+        best = None
+        for cost, w in self.candidates(word, self.edits):
+            n = self.count[w]
+            if n < RATIO * max(1, own) or not self.trusted(w):
+                continue
+            l, r = self.pairs.get((before, w), 0), self.pairs.get((w, after), 0)
+            if l and r:
+                s = (-cost * 6 + 0.25 * min(8, (l + r).bit_length()) + 0.1 * n.bit_length(), w)
+                best = s if best is None or s > best else best
+        return best and best[1]
 
     def trusted(self, word: str) -> bool:
         """Whether `word` is of the vocabulary and no far more frequent word may have been misread as it."""

@@ -83,6 +83,44 @@ def test_candidates_are_complete_within_the_budget():
         assert {w for _, w in r.candidates(word)} == want
 
 
+def test_candidates_with_one_edit_are_complete():
+    from functools import cache
+
+    r = reader()
+    conf = [(*p.split(":"), cost) for cost, pairs in scans.CONFUSED.items() for p in pairs.split()]
+
+    def cost(printed, read):  # brute force over all ways to misread with one other edit
+        @cache
+        def go(i, j, e):
+            ways = [0.0] if i == len(printed) and j == len(read) else []
+            if i < len(printed) and j < len(read) and printed[i] == read[j]:
+                ways.append(go(i + 1, j + 1, e))
+            ways += [c + go(i + len(a), j + len(b), e) for a, b, c in conf if printed.startswith(a, i) and read.startswith(b, j)]
+            if e:
+                ways += [scans.EDIT + go(i + x, j + y, 0) for x, y in ((1, 0), (0, 1), (1, 1)) if i + x <= len(printed) and j + y <= len(read)]
+            return min(ways, default=9.0)
+
+        return go(0, 0, 1)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, one = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y)))
+        return row[-1]
+
+    vocabulary = {w for w, n in r.count.items() if n >= scans.KNOWN and "-" not in w}
+    for word in ("xregistrou", "regisrou", "registtrou", "registroux", "reqisrou", "cortrato", "ontrato", "autores", "pracessos", "xyz", "recuxrso"):
+        got = {w for _, w in r.candidates(word, 1)}
+        assert got == {w for w in vocabulary if w != word and cost(w, word) <= min(3.0, max(0.6, 0.34 * len(word))) + 1e-9}
+        assert {w for w in vocabulary if w != word and lev(w, word) <= 1} <= got
+    t = "o autor regisrou em cartório o conntrato de locação e o rexurso foi provido."
+    assert r.traces(t) == ["misread"]
+    assert r.repair(t)[0] == "o autor registrou em cartório o contrato de locação e o recurso foi provido."
+    assert r.traces("juntou o guarda-volumes ao process") == []  # cut off, not misread
+
+
 def test_misreadings_of_rare_words_are_corrected():
     c = scans.Counts()
     for _ in range(5):
