@@ -379,8 +379,6 @@ class Reader:
                 continue
             if any(c.isdigit() for c in k) and any(c in "olisb" for c in k) and NUMBER.fullmatch(w) and sum(c.isdigit() for c in k) >= 2 and k not in self.count:
                 c = w.translate(AS_DIGITS)
-            elif len(k) > 40:
-                continue
             else:
                 c = self.correction(k, low[i - 1] if i else "", low[i + 1] if i + 1 < len(low) else "")
                 if c is None:

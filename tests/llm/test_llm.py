@@ -121,6 +121,15 @@ def test_candidates_with_one_edit_are_complete():
     assert r.traces("juntou o guarda-volumes ao process") == []  # cut off, not misread
 
 
+def test_long_words_are_looked_up():
+    c = scans.Counts()
+    long = "pneumoultramicroscopicossilicovulcanoconiótico"
+    for _ in range(30):
+        c.add(f"o quadro {long} do autor")
+    r = scans.Reader([x for x in c.rows() if x[0] in "wp"])
+    assert len(long) > 40 and r.repair(f"o quadro {long.replace('vulc', 'vnlc')} do autor")[0] == f"o quadro {long} do autor"
+
+
 def test_misreadings_of_rare_words_are_corrected():
     c = scans.Counts()
     for _ in range(5):
