@@ -215,6 +215,14 @@ def test_names_are_linked_and_relatives_are_not(spark):
     assert names.entities(df.limit(0), nick).count() == 0
 
 
+def test_a_tied_spelling_is_an_entity_of_its_own(spark):
+    df = spark.createDataFrame([("José Carlos Almeida Lima",), ("João Cesar Moura Lima",), ("J. C. Lima",), ("Min. J. C. Lima",)], "relator string")
+    nick = spark.createDataFrame([], "apelido string, nome string")
+    e = names.entities(df, nick)
+    assert {r["raw"] for r in e.collect()} == {r["relator"] for r in df.collect()}
+    assert {(r["a"], r["b"]) for r in names.entity_pairs(e, "a", "b").collect()} == {("J. C. Lima", "Min. J. C. Lima")}
+
+
 def test_nicknames_suffixes_and_organs():
     m = names.Matcher([("Beto", "Roberto"), ("Beto", "Alberto"), ("Malu", "Maria Luísa")])
     s = lambda a, b: m.similarity(names.parse(a), names.parse(b)) > 0
