@@ -215,6 +215,15 @@ def test_names_are_linked_and_relatives_are_not(spark):
     assert names.entities(df.limit(0), nick).count() == 0
 
 
+def test_abbreviated_names_meet_all_they_stand_for(spark):
+    given, middle = ["Jose", "Joaquim", "Jorge", "Juliano", "Jeronimo"], ["Carlos", "Cesar", "Cristiano", "Celestino"]
+    many = ["J. C. A. Lima"] + [f"{g} {m} {a} Lima" for g in given for m in middle for a in ("Almeida", "Albuquerque", "Andrade")]
+    n = spark.createDataFrame([(names._pack(names.parse(x)),) for x in many], "node string")
+    got = {(r["a"], r["b"]) for r in names.links(n, []).select("a", "b").collect()}
+    one = names._pack(names.parse(many[0]))
+    assert {b if a == one else a for a, b in got if one in (a, b)} == {names._pack(names.parse(x)) for x in many[1:]}
+
+
 def test_a_tied_spelling_is_an_entity_of_its_own(spark):
     df = spark.createDataFrame([("José Carlos Almeida Lima",), ("João Cesar Moura Lima",), ("J. C. Lima",), ("Min. J. C. Lima",)], "relator string")
     nick = spark.createDataFrame([], "apelido string, nome string")
