@@ -239,6 +239,60 @@ def test_nicknames_suffixes_and_organs():
     assert s("Luís Ponorrilde Jr.", "Luis Ponorrilde Júnior") and not s("Luís Ponorrilde Filho", "Luís Ponorrilde Neto")
     assert s("C. ESP. Ponorrilde Trevalim", "Ponorrilde Trevalim (Câmara Especial)") and not s("Turma Recursal Ponorrilde", "Câmara Especial Ponorrilde")
     assert s("Malu Ponorrilde Trevalim", "Maria Luísa Ponorrilde Trevalim")
+    assert s("V. Trab. Recife", "Vara do Trabalho de Recife") and s("TR Ponorrilde Trevalim", "Ponorrilde-Trevalim (Turma Recursal)") and s("Ponorrilde Trevalim - C. Esp.", "Câmara Especial Ponorrilde Trevalim")
+    assert s("Silva Carlos José", "José Carlos Silva") and s("José Silva", "José Carlos Almeida Prado Souza Silva") and not s("Carlos Silva", "José Carlos Silva")
+    assert s("OlíviaBrinjemira Trevalim", "Olívia Brinjemira Trevalim") and s("D. Ponorrilde Trevalim", "Davi Ponorrilde Trevalim") and s("E. A. Ponorrilde", "Eduardo Artur Ponorrilde")
+
+
+def test_similarity_is_the_best_assignment():
+    from itertools import permutations
+
+    r = random.Random(8)
+    for _ in range(200):
+        n, m = sorted((r.randrange(1, 5), r.randrange(1, 5)))
+        v = [[r.choice([0.0, r.random()]) for _ in range(m)] for _ in range(n)]
+        to = names.assignment(v)
+        assert len(set(to)) == n and abs(sum(v[i][j] for i, j in enumerate(to)) - max(sum(v[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))) < 1e-9
+
+
+def test_nicknames_are_learned_from_surnames_in_common(spark):
+    many = [f"{g} Sobrenome{chr(97 + k)} Final{chr(97 + k)}" for k in range(6) for g in ("Inácio", "Naco")] + [f"Inácio Outro{chr(97 + k)} Final" for k in range(9)] + ["Marta Sobrenomea Finala"] + [f"Marta Nome{chr(97 + k)} Final" for k in range(9)]
+    n = names.nodes(spark.createDataFrame([(x,) for x in many], "relator string"), "relator")
+    assert [tuple(r) for r in names.learned(n).collect()] == [("naco", "inacio")]
+
+
+def random_names(n, seed):
+    r = random.Random(seed)
+    syllable = ["ba", "cre", "dol", "fim", "gus", "lan", "mur", "pen", "qui", "ros", "tav", "xil"]
+    surname = ["".join(r.choice(syllable) for _ in range(3)) for _ in range(30)]
+    given = ["Antônio", "Beatriz", "Carolina", "Davi", "Eduardo", "Fernanda", "Gustavo", "Helena"]
+    out = set()
+    for _ in range(n):
+        g, a, b = r.choice(given), r.choice(surname), r.choice(surname)
+        out |= {f"{g} {a} {b}", r.choice([f"{g[0]}. {a} {b}", f"{g} {a[0]}. {b}", f"{b}, {g} {a}", f"{g} {b}"])}
+        k = r.randrange(1, len(b) - 1)
+        out.add(f"{g} {a} {b[:k]}{b[k + 1] + b[k]}{b[k + 2 :]}")
+    return sorted(out)
+
+
+def test_candidates_against_brute_force_and_hot_buckets(spark):
+    from itertools import combinations
+
+    parsed = {names._pack(names.parse(x)) for x in random_names(25, 3)}
+    n = spark.createDataFrame([(x,) for x in parsed], "node string")
+    m = names.Matcher([])
+    uses = {}
+    for x in parsed:
+        g = x.split("|")[1].split(" ")[0]
+        uses[g] = uses.get(g, 0) + 1
+    in_use = lambda a, b: min(u := [uses[x.split("|")[1].split(" ")[0]] for x in (a, b)]) >= 3 and min(u) * names.RATIO >= max(u)
+    want = {(a, b) for a, b in combinations(sorted(parsed), 2) if m.similarity(names._unpack(a), names._unpack(b), in_use(a, b)) > 0}
+    got = {(r["a"], r["b"]) for r in names.links(n, []).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 40
+    e = names.entities(spark.createDataFrame([(x.split("|")[1],) for x in parsed], "relator string"), spark.createDataFrame([], "apelido string, nome string"))
+    assert e.count() == len(parsed)
+    hot = {(r["a"], r["b"]) for r in names.links(n, [], hot=4).collect()}  # their members are linked to the fullest of theirs
+    assert hot <= got and {x for p in hot for x in p} == {x for p in got for x in p}
 
 
 def test_bands_reach_the_recall():
