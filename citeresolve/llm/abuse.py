@@ -7,16 +7,17 @@ law whose location grows with log n; its parameters are fitted to the labelled h
 is -log10 of the probability that harmless text of its length holds a segment as good; its passages are all segments
 that are significant by themselves.
 
-The log-odds are fitted to at most LABELLED labelled documents (a bound on the training sample; every document is
-scored). Labels are per document, so fitting alternates: segments found in documents labelled abusive supply the
-abusive counts, all else the harmless ones. A small list of words in general use for such content, which need no
-label, enters as prior counts.
+The log-odds are learned from labels alone: from at most LABELLED labelled documents of at most LABELLED_CHARS characters
+together, chosen by hash (a bound on the training sample; every document is scored). Labels are per document, so fitting
+alternates: segments found in documents labelled abusive supply the abusive counts, all else the harmless ones; it starts
+from the tokens and pairs that such documents hold far oftener than others. Counting is done by the executors; the driver gets counts only.
 
 Disguises are undone before scoring: letters spelled with digits or signs, spaced or dotted letters, drawn-out
 letters, look-alike letters, invisible characters, and letters masked by signs (by the one scored word that fits).
 
 Defined results: null, empty and blank texts score 0 and hold no passage; documents without source are reported under
-null; contradicting labels count by majority, ties as abusive; repeated labels of one annotator count once.
+null; contradicting labels count by majority, ties as abusive; repeated labels of one annotator count once. Without labelled
+abusive documents nothing is found.
 """
 
 from __future__ import annotations
@@ -31,22 +32,18 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citeresolve.llm import unify
+from citeresolve.session import materialize
 
-LABELLED, ROUNDS, P_VALUE = 6000, 4, 4e-3
-#: Dirichlet prior: its weight in tokens and the share of abusive tokens in it (a pair's prior share is its second token's);
-#: prior count of one seed word; score of a token never seen in training; what every token costs a segment.
+LABELLED, LABELLED_CHARS, ROUNDS, P_VALUE = 6000, 24_000_000, 4, 4e-3
 #: In a document labelled abusive a token is likelier abusive by LABEL, and segments of SURE or more, or the best, are counted;
 #: a segment of WRONG or more in a document labelled harmless is taken for a wrong label.
 LABEL, SURE, WRONG = 0.8, 3.0, 6.0
-PRIOR, BASE, SEED_WEIGHT, UNSEEN, DRIFT = 1.5, 0.15, 6.0, -1.2, 0.4
-#: Words and phrases in general use for such content in Portuguese, Spanish and English (fixed values).
-SEEDS = (
-    "idiota imbecil retardado retardada otario otaria babaca canalha cretino cretina vagabundo vagabunda desgracado desgracada arrombado arrombada corno corna puta putas piranha vadia cadela escoria verme vermes parasita nojento nojenta merda bosta foder foda fodase lixo_humano filho_da filhos_da da_puta vai_se se_foder burro_ou cala_a "
-    "animal_e ratos_de apodrecam apodreca sarjeta raca_inferior tenho_nojo nojo_de nao_sao_gente sao_bicho proibidos_de odeio praga_e varridos chicote gozar transar boquete chupar pelada gemer meter meteu masturbando tesao peitos bunda pau_duro safado safada tomara_que que_morra te_quebre "
-    "idiot moron filthy whore bitch slut fuck fucking bastard scum stupid subhuman vermin imbecil basura perra puta mierda follarte callate ratas plaga asco"
-).split()
+#: Dirichlet prior: its weight in tokens and the share of abusive tokens in it (a pair's prior share is its second token's); score of a token
+#: never seen in training; what every token costs a segment. Harmless documents from which the Gumbel law is fitted; with fewer it is the standard one.
+PRIOR, BASE, UNSEEN, DRIFT, LEAST_HARMLESS = 1.5, 0.15, -1.2, 0.4, 10
 
 _SINGLE, _SEVERAL = unify.forms()
 _FORMS = str.maketrans(_SINGLE | _SEVERAL)
@@ -204,64 +201,8 @@ class Scorer:
         p = -math.expm1(-e) if e < 1 else 1 - math.exp(-e)
         return math.log10(p) if p > 1e-300 else -300.0
 
-    def fit(self, texts: list[tuple[str, float]], rounds: int = ROUNDS) -> "Scorer":
-        """Fit to (text, share of abusive votes)."""
-        docs = [(tokens(t), w >= 0.5) for t, w in texts if t and t.strip()]
-        seeds = Counter()
-        for s in SEEDS:
-            seeds[tuple(_reduce(x) for x in s.split("_"))[:2]] += SEED_WEIGHT
-        all_one, all_two = Counter(), Counter()
-        for d, _ in docs:
-            all_one.update(d)
-            all_two.update(zip(d, d[1:]))
-        for r in range(rounds):
-            hit_one, hit_two = Counter(), Counter()
-            pool_one, pool_two = Counter(all_one), Counter(all_two)
-            if r:
-                for d, bad in docs:
-                    t = self.read(d)
-                    if not bad:  # a wrong label, if a segment says so clearly: counted on neither side
-                        for s, a, b in self.found(t):
-                            if s >= WRONG:
-                                pool_one.subtract(t[a:b])
-                                pool_two.subtract(zip([t[a - 1] if a else _END, *t[a : b - 1]], t[a:b]))
-                        continue
-                    found = self.found(t, LABEL)
-                    top = max((x[0] for x in found), default=0.0)
-                    for s, a, b in found:
-                        if s >= min(top, SURE):
-                            w = t[a:b]
-                            hit_one.update(w)
-                            hit_two.update(zip([t[a - 1] if a else _END, *w], w))
-            for k, v in seeds.items():
-                (hit_one if len(k) == 1 else hit_two)[k[0] if len(k) == 1 else k] += v
-                if len(k) == 2 and not r:
-                    hit_one[k[1]] += 0.5
-            if not r:  # no segments yet: what documents labelled abusive have more of, in small doses
-                bad_one, bad_two = Counter(), Counter()
-                for d, bad in docs:
-                    if bad:
-                        bad_one.update(set(d))
-                        bad_two.update(set(zip(d, d[1:])))
-                good_one, good_two = Counter(), Counter()
-                for d, bad in docs:
-                    if not bad:
-                        good_one.update(set(d))
-                        good_two.update(set(zip(d, d[1:])))
-                nb, ng = sum(b for _, b in docs) or 1, sum(not b for _, b in docs) or 1
-                for src, good, dst in ((bad_one, good_one, hit_one), (bad_two, good_two, hit_two)):
-                    for k, v in src.items():
-                        e = good.get(k, 0) / ng * nb
-                        if v >= 2 and v > 3 * e + 1:
-                            dst[k] += v - e
-            self.one = self._odds(hit_one, pool_one)
-            self.two = self._odds(hit_two, pool_two, self.one)
-            self.prepared()
-        self._calibrate(docs)
-        return self
-
     @staticmethod
-    def _odds(hit: Counter, pool: Counter, back: dict | None = None) -> dict:
+    def _odds(hit: dict, pool: dict, back: dict | None = None) -> dict:
         """Log-odds that a token is in an abusive passage, with a Dirichlet prior."""
         out = {}
         for k in pool.keys() | hit.keys():
@@ -274,11 +215,10 @@ class Scorer:
             out[k] = max(-4.0, min(4.0, v))
         return out
 
-    def _calibrate(self, docs: list[tuple[list[str], bool]]) -> None:
-        """Gumbel law (method of moments, upper outliers - wrong labels - aside) of the best segments of harmless documents, less log n."""
-        best = sorted((max((s for s, _, _ in self.found(self.read(d))), default=0.0), len(d)) for d, bad in docs if not bad)
-        keep = best[: max(1, int(len(best) * 0.93))] if best else []
-        if len(keep) < 10:
+    def calibrate(self, best: list[tuple[float, int]]) -> None:
+        """Gumbel law (method of moments, upper outliers - wrong labels - aside) of the (best score, tokens) of harmless documents, less log n."""
+        keep = sorted(best)[: max(1, int(len(best) * 0.93))]
+        if len(keep) < LEAST_HARMLESS:
             self.mu, self.beta = 0.0, 1.0
             return
         m = sum(s for s, _ in keep) / len(keep)
@@ -292,18 +232,95 @@ def _reduce_letters(w: str) -> str:
     return re.sub(r"([^@#*$])\1+", r"\1", w)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[tuple[str, float]]:
-    """(text, share of abusive votes) of at most `most` labelled documents, chosen by hash."""
+def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED, chars: int = LABELLED_CHARS) -> DataFrame:
+    """(toks, bad) of at most `most` labelled documents of at most `chars` characters together, the first by hash."""
     v = labels.where("doc_id IS NOT NULL AND categoria IS NOT NULL").groupBy("doc_id", "anotador").agg(F.max_by("categoria", "rotulado_em").alias("c"))
-    v = v.groupBy("doc_id").agg(F.avg((F.col("c") != "nenhum").cast("double")).alias("w")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = documents.select("doc_id", "text").join(F.broadcast(v), "doc_id").select("doc_id", "text", "w").collect()
-    return [(r["text"], r["w"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    v = v.groupBy("doc_id").agg((F.avg((F.col("c") != "nenhum").cast("double")) >= 0.5).alias("bad"))
+    texts = documents.where("trim(text) <> ''").select("doc_id", "text")
+    first = texts.select("doc_id", F.length("text").alias("n")).join(v, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(most)
+    w = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)  # at most `most` rows
+    chosen = first.withColumn("sum", F.sum("n").over(w)).where(F.col("sum") <= chars).groupBy("doc_id").agg(F.max("bad").alias("bad"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            yield pd.DataFrame({"toks": [tokens(t) for t in p["text"]], "bad": p["bad"]})
+
+    n = documents.sparkSession.sparkContext.defaultParallelism
+    got = texts.join(F.broadcast(chosen), "doc_id").repartition(n, "doc_id")
+    return materialize(got.select("text", "bad").mapInPandas(run, "toks array<string>, bad boolean"), "p8-labelled")
+
+
+def counted(docs: DataFrame, of, columns: str) -> DataFrame:
+    """Sums of what of(tokens, bad) gives for each document, ((a, b), *numbers), by (a, b); b is null for single tokens."""
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for p in it:
+            for toks, bad in zip(p["toks"], p["bad"]):
+                for key, *numbers in of(list(toks), bad):
+                    old = total.get(key)
+                    total[key] = numbers if old is None else [x + y for x, y in zip(old, numbers)]
+        yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["a", "b", *names])
+
+    return docs.mapInPandas(run, f"a string, b string, {columns}").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def keys(toks: list[str], before: str = _END, pairs_from: int = 0) -> Iterator[tuple[str, str | None]]:
+    """The tokens, and the pairs of neighbours."""
+    yield from ((t, None) for t in toks)
+    yield from zip([before, *toks[:-1]] if pairs_from == 0 else toks, toks[pairs_from:])
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Scorer:
+    """The scorer learned from labelled documents (toks, bad)."""
+    spark = docs.sparkSession
+    if docs.where("bad").isEmpty():
+        return Scorer()
+    n_bad, n_good = (docs.where(F.col("bad") == b).count() or 1 for b in (True, False))
+    occur = counted(docs, lambda t, bad: ((k, n, n_k if bad else 0, 0 if bad else n_k) for k, n in Counter(keys(t, pairs_from=1)).items() for n_k in (1,)), "n double, bad double, good double")
+    occur = materialize(occur, "p8-counts")
+    expected = F.col("good") / n_good * n_bad
+    start = {(r["a"], r["b"]): r["hit"] for r in occur.where((F.col("bad") >= 2) & (F.col("bad") > 3 * expected + 1)).select("a", "b", (F.col("bad") - expected).alias("hit")).collect()}
+    pool = {(r["a"], r["b"]): r["n"] for r in occur.where("b IS NULL OR n >= 2").select("a", "b", "n").collect()}
+    scorer = Scorer()
+    hits, wrong = start, {}
+    for r in range(rounds):
+        if r:
+            m = spark.sparkContext.broadcast(scorer)
+
+            def segmented(toks: list[str], bad: bool):
+                s = m.value
+                t = s.read(toks)
+                found = s.found(t, LABEL if bad else 0.0)
+                top = max((x[0] for x in found), default=0.0)
+                for x, i, j in found:
+                    if x >= (min(top, SURE) if bad else WRONG):
+                        for k in keys(t[i:j], t[i - 1] if i else _END):
+                            yield (k, 1.0, 0.0) if bad else (k, 0.0, 1.0)
+
+            rows = counted(docs, segmented, "hit double, wrong double").collect()
+            hits, wrong = ({(x["a"], x["b"]): x[c] for x in rows if x[c]} for c in ("hit", "wrong"))
+        left = {k: n - wrong.get(k, 0.0) for k, n in pool.items()}
+        split = lambda d, two: {k if two else k[0]: n for k, n in d.items() if (k[1] is not None) == two}
+        scorer = Scorer()
+        scorer.one = Scorer._odds(split(hits, False), split(left, False))
+        scorer.two = Scorer._odds(split(hits, True), split(left, True), scorer.one)
+        scorer.prepared()
+    m = spark.sparkContext.broadcast(scorer)
+
+    def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            yield pd.DataFrame([(max((s for s, _, _ in m.value.found(m.value.read(list(t)))), default=0.0), len(t)) for t in p["toks"]], columns=["s", "n"])
+
+    scorer.calibrate([tuple(r) for r in docs.where("NOT bad").mapInPandas(best, "s double, n long").collect()])
+    return scorer
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, extra: list[str] | None = None, p_value: float = P_VALUE, scorer: Scorer | None = None) -> DataFrame:
     """(doc_id, *extra, score, passages, worst): calibrated score, significant passages and the worst passage's tokens."""
     spark = documents.sparkSession
-    s = spark.sparkContext.broadcast(scorer or Scorer().fit(labelled(documents, labels)))
+    s = spark.sparkContext.broadcast(scorer or fit(labelled(documents, labels)))
     least = math.log10(p_value)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,8 @@
 """Problem 7: one mixture of several sources whose token shares follow target weights.
 
 Method: a time-varying curriculum. Over training time t in [0, 1] source s has the weight
-`q_s (1 + a_s (2t - 1))`: lighter sources come later (a_s > 0), and the weights sum to 1 at every t. Integrated, the
+`q_s (1 + a_s (2t - 1))`, where the caller may say how late each source is to come (`schedule`: -1, all at the start, to 1, all
+at the end; by default lighter sources come later), and the weights sum to 1 at every t. Integrated, the
 weight is the source's cumulative token demand `D_s(t) = T q_s (t + a_s (t^2 - t))`. A document copy that takes up
 the tokens around `c` of its source's supply is wanted at the time t with D_s(t) = c, which is a quadratic in t with
 one root in [0, 1]: its training position is `t T`. Documents are range-sorted by position.
@@ -52,15 +53,19 @@ def allot(supply: dict[str, int], weight: dict[str, float], most: dict[str, int]
     return got
 
 
-def lateness(got: dict[str, float], weight: dict[str, float], amplitude: float) -> dict[str, float]:
-    """a_s of each source: lighter sources later; weighted by the shares they sum to 0, so that the weights sum to 1 at every time."""
+def lateness(got: dict[str, float], weight: dict[str, float], amplitude: float, schedule: dict[str, float] | None = None) -> dict[str, float]:
+    """a_s of each source, from -1 to 1: lighter sources later, or as `schedule` says; weighted by the shares they sum to 0, so that the weights sum to 1 at every time."""
     total = sum(got.values())
     if not total:
         return {s: 0.0 for s in got}
     order = sorted(got, key=lambda s: (-weight[s], s))
-    z = {s: k / max(1, len(order) - 1) for k, s in enumerate(order)}
+    z = {s: amplitude * k / max(1, len(order) - 1) for k, s in enumerate(order)}
+    if schedule is not None:
+        z = {s: schedule.get(s, 0.0) for s in got}
     mean = sum(got[s] / total * z[s] for s in got)
-    return {s: amplitude * (z[s] - mean) for s in got}
+    a = {s: z[s] - mean for s in got}
+    most = max(map(abs, a.values()))
+    return {s: v / max(1.0, most) for s, v in a.items()}
 
 
 def position(c: Column, tokens: Column, a: Column, total: float) -> Column:
@@ -91,7 +96,7 @@ def sized(documents: DataFrame, n_tokens, sources: list[str], id_col: str = "doc
 class Mixture:
     """The mixture of `documents` by the table `mistura`."""
 
-    def __init__(self, documents: DataFrame, mistura: DataFrame, n_tokens, total: float | None = None, amplitude: float = AMPLITUDE, seed: int = SEED):
+    def __init__(self, documents: DataFrame, mistura: DataFrame, n_tokens, total: float | None = None, amplitude: float = AMPLITUDE, seed: int = SEED, schedule: dict[str, float] | None = None):
         self.spark = documents.sparkSession
         self.weight, self.most = weights(mistura)
         self.sizes = sized(documents, n_tokens, sorted(self.weight))
@@ -102,7 +107,7 @@ class Mixture:
         self.blank = {s: int(seen[s]["docs"] - seen[s]["used"]) if s in seen else 0 for s in self.weight}
         self.got = allot(self.supply, self.weight, self.most, total if total is not None else sum(self.supply.values()))
         self.total = sum(self.got.values())
-        self.late = lateness(self.got, self.weight, amplitude)
+        self.late = lateness(self.got, self.weight, amplitude, schedule)
         self.seed = seed
 
     def plan(self) -> DataFrame:

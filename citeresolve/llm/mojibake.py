@@ -22,12 +22,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeresolve.session import materialize
+
 #: Costs of entering and leaving a garbled state (log probabilities); weight of what was not counted.
 ENTER, LEAVE, SMOOTH = math.log(1e-4), math.log(0.02), 2.0
 #: In the clean state any character, however rare, may be correct: its least share, and the share of a neighbourhood not
@@ -139,31 +141,32 @@ def plausible(t: str) -> bool:
     return all(len(r) == 1 or all(NEIGHBOURS.fullmatch(r[i : i + 2]) for i in range(len(r) - 1)) for r in RUN.findall(t))
 
 
-def profile(df: DataFrame, text_col: str, least_share: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """Counts over all plausible rows: (l, c, r, n) of characters and (key, word, n) of words with letters above U+007F.
+def profile(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Counts over all plausible rows: (a, b, c, n) of characters with their neighbours and (word, n) of words with letters above U+007F.
 
-    The first is bounded by the alphabet; of the second, words of less than `least_share` of all words are left out, so it has at most 1 / least_share rows.
+    The first is bounded by the alphabet; the second grows with the vocabulary and stays a table.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chars, words, total = Counter(), Counter(), 0
+        chars, words = Counter(), Counter()
+
+        def counted() -> pd.DataFrame:
+            rows = [("c", *k, n) for k, n in chars.items()] + [("w", k, None, None, n) for k, n in words.items()]
+            return pd.DataFrame(rows, columns=["kind", "a", "b", "c", "n"])
+
         for p in it:
             for t in p.iloc[:, 0]:
                 if t and plausible(t):
                     chars.update(triples(t))
-                    w = WORD.findall(t)
-                    total += len(w)
-                    words.update(x for x in w if not x.isascii())
-        rows = [("c", *k, n) for k, n in chars.items()] + [("w", k, None, None, n) for k, n in words.items()] + [("t", None, None, None, total)]
-        yield pd.DataFrame(rows, columns=["kind", "a", "b", "c", "n"])
-
-    from citeresolve.session import materialize
+                    words.update(x for x in WORD.findall(t) if not x.isascii())
+            if len(words) > 500_000:
+                yield counted()
+                chars.clear(), words.clear()
+        yield counted()
 
     got = df.select(text_col).mapInPandas(run, "kind string, a string, b string, c string, n long")
     got = materialize(got.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")), "p3-profile")
-    total = got.where("kind = 't'").agg(F.sum("n")).first()[0] or 0
-    words = got.where((F.col("kind") == "w") & (F.col("n") >= total * least_share))
-    return got.where("kind = 'c'").select("a", "b", "c", "n"), words.select(F.col("a").alias("word"), "n")
+    return got.where("kind = 'c'").select("a", "b", "c", "n"), got.where("kind = 'w'").select(F.col("a").alias("word"), "n")
 
 
 class _Gains(dict):
@@ -188,7 +191,7 @@ class _Gains(dict):
 class Model:
     """Emissions, Viterbi labels and inverse transforms."""
 
-    def __init__(self, clean: list[tuple[str, str, str, int]], words: list[tuple[str, int]]):
+    def __init__(self, clean: list[tuple[str, str, str, int]]):
         counts = {s: Counter() for s in STATES}
         base = Counter({(a, b, c): n for a, b, c, n in clean})
         for x in LETTERS + SIGNS:  # unseen letters and signs are as good as seen once
@@ -225,12 +228,12 @@ class Model:
         self.wide = {s: re.compile("|".join(map(re.escape, sorted((g for g in m if len(g) > 1 and " " not in g), key=len, reverse=True)))) for s, m in self.back.items() if s.startswith("utf-8>")}
         self.memo: dict[tuple[str, ...], tuple[list[float], float]] = {}
         self.gains = _Gains(self)
-        self.lost: dict[str, str] = {}
-        best: dict[str, int] = {}
-        for w, n in words:
-            for k in (NON_ASCII.sub(LOST, w), NON_ASCII.sub(LOST * 2, w)):
-                if n > best.get(k, 0):
-                    best[k], self.lost[k] = n, w
+        behind = Counter()
+        for (a, b, c), n in base.items():
+            if a == "0" and not c.isalpha():
+                behind[b] += n
+        #: What stands behind a number most often: an ordinal sign.
+        self.behind_number = max(behind, key=lambda c: (behind[c], c), default=LOST)
 
     def emission(self, k: tuple[str, ...]) -> tuple[list[float], float]:
         """Log probability in each state, and what the best garbled state gains over the clean one (0 at least)."""
@@ -304,9 +307,14 @@ class Model:
         return out
 
     def restore(self, t: str) -> tuple[str, list[str]]:
-        """The restored text and the states found in it. Inverse transforms can uncover another layer, so it goes on until none is found."""
+        """The restored text and the states found in it; replaced characters are left to fill().
+
+        Inverse transforms can uncover another layer, so it goes on until none is found, or a text comes again.
+        """
         found: list[str] = []
-        for _ in range(4):
+        seen: set[str] = set()
+        while t not in seen:
+            seen.add(t)
             labels = self.joined(t, self.labels(t))
             if not labels:
                 break
@@ -321,11 +329,9 @@ class Model:
                     found.append(name)
                     lo, hi = labels[i][0], labels[j][0] + 1
                     if name == "replaced":
-                        while lo > at and (t[lo - 1].isalpha() or t[lo - 1] == LOST):
-                            lo -= 1
-                        while hi < len(t) and (t[hi].isalpha() or t[hi] == LOST):
-                            hi += 1
-                        span = re.sub(rf"[\w{LOST}-]*{LOST}[\w{LOST}-]*", self._word, t[lo:hi])
+                        span = t[lo:hi]
+                        if t[lo - 1 : lo].isdigit() and not t[hi : hi + 1].isalpha() and set(span) == {LOST} and len(span) < 3:
+                            span = self.behind_number
                     else:
                         if hi < len(t) and t[hi] == " ":
                             hi += 1
@@ -344,25 +350,66 @@ class Model:
                 t = self.wide[name].sub(lambda m: self.back[name][m.group()], t)
         return t, list(dict.fromkeys(found))
 
-    def _word(self, m: re.Match) -> str:
-        w = m.group()
-        for k, up in ((w, str), (w.lower(), str), (w.capitalize(), str), (w.lower(), str.upper if w.isupper() else str.capitalize)):
-            if k in self.lost:
-                return up(self.lost[k])
-        parts = re.split(r"(-)", w)
-        return "".join(self.lost.get(p, self.lost.get(p.lower(), p)) for p in parts) if len(parts) > 1 else w
 
+LOST_WORD = re.compile(rf"[\w{LOST}-]*{LOST}[\w{LOST}-]*")
+
+
+def readings(w: str) -> Iterator[tuple[str, Callable[[str], str]]]:
+    """The forms under which a word with replaced characters may be known, with what makes the known word stand in its place."""
+    yield w, str
+    yield w.lower(), str.upper if w.isupper() else str.capitalize if w[:1].isupper() else str
+    yield w.capitalize(), str
+
+
+def filled(t: str, known: dict[str, str]) -> str:
+    """The text with its replaced characters restored by the known words: whole words, else the parts between hyphens."""
+
+    def one(w: str) -> str | None:
+        return next((f(known[k]) for k, f in readings(w) if k in known), None)
+
+    def word(m: re.Match) -> str:
+        return one(m.group()) or "".join(one(x) or x for x in re.split("(-)", m.group()))
 
-def model(df: DataFrame, text_col: str) -> Model:
-    """The model of all rows of `df`. Its tables are bounded by the alphabet and the least share, not by the rows."""
+    return LOST_WORD.sub(word, t) if known else t
+
+
+def fill(restored: DataFrame, id_col: str, text_col: str, words: DataFrame) -> DataFrame:
+    """The rows with replaced characters restored from the vocabulary (word, n): the most frequent word that has letters above U+007F in just those places.
+
+    Only the forms that occur are looked up, by a join; rows without a replaced character pass as they are.
+    """
+    kind = restored.schema[id_col].dataType.simpleString()
+
+    def forms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            got = [(i, k) for i, t in zip(p[id_col], p[text_col]) for k in {k for w in LOST_WORD.findall(t) for x in (w, *w.split("-")) if LOST in x for k, _ in readings(x)}]
+            yield pd.DataFrame(got, columns=[id_col, "key"])
+
+    def apply(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            p[text_col] = [filled(t, {x["key"]: x["word"] for x in k}) if k is not None else t for t, k in zip(p[text_col], p["known"])]
+            yield p.drop(columns="known")
+
+    has = F.coalesce(F.contains(F.col(text_col), F.lit(LOST)), F.lit(False))
+    some = restored.where(has)
+    need = some.select(id_col, text_col).mapInPandas(forms, f"{id_col} {kind}, key string").distinct()
+    ways = [F.regexp_replace("word", r"[^\x00-\x7f]", x) for x in (LOST, LOST * 2)]
+    known = words.select("word", "n", F.explode(F.array(*ways)).alias("key")).join(need.select("key").distinct(), "key", "left_semi")
+    known = known.groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+    of = need.join(known, "key").groupBy(id_col).agg(F.collect_list(F.struct("key", "word")).alias("known"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in restored.schema)
+    return restored.where(~has).unionByName(some.join(of, id_col, "left").mapInPandas(apply, fields))
+
+
+def model(df: DataFrame, text_col: str) -> tuple[Model, DataFrame]:
+    """The model of all rows of `df`, whose tables are bounded by the alphabet, and the words (word, n) that restore replaced characters."""
     chars, words = profile(df, text_col)
-    return Model([tuple(r) for r in chars.collect()], [tuple(r) for r in words.collect()])
+    return Model([tuple(r) for r in chars.collect()]), words
 
 
-def repair(df: DataFrame, id_col: str, text_col: str, of: Model | None = None) -> DataFrame:
-    """(id, restored, states): every text with its garbled spans restored; `states` is empty for a clean text."""
-    spark = df.sparkSession
-    m = spark.sparkContext.broadcast(of or model(df, text_col))
+def labelled(df: DataFrame, id_col: str, text_col: str, of: Model) -> DataFrame:
+    """(id, restored, states): every text with its garbled spans restored, replaced characters aside; `states` is empty for a clean text. Map-only."""
+    m = df.sparkSession.sparkContext.broadcast(of)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
@@ -372,3 +419,15 @@ def repair(df: DataFrame, id_col: str, text_col: str, of: Model | None = None) -
     src = df.select(id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
     return src.mapInPandas(run, f"{id_col} {kind}, restored string, states array<string>")
+
+
+def repair(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, restored, states) of every text, its replaced characters restored from the vocabulary."""
+    m, words = model(df, text_col)
+    return fill(materialize(labelled(df, id_col, text_col, m), "p3-labelled"), id_col, "restored", words)
+
+
+def found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id) of the texts with a garbled span."""
+    m, _ = model(df, text_col)
+    return labelled(df, id_col, text_col, m).where("size(states) > 0").select(id_col)

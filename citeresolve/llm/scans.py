@@ -1,33 +1,40 @@
 """Problem 2: repair text read from scanned pages into continuous paragraphs.
 
 Method: a vocabulary is counted over all rows. For a word outside it, and for a word that a far more frequent one could
-be misread as, a Levenshtein automaton of the word - its edits weighted by how easily a reader of page images makes
-them, letter groups like rn/m included - is intersected with a trie of the vocabulary, which retrieves every
+be misread as, a Levenshtein automaton of the word - any edit of a character, and the cheaper ones readers of page images make,
+letter groups like rn/m included - is intersected with a trie of the vocabulary, which retrieves every
 candidate within the budget. Candidates are ranked by misreading cost and frequency and accepted in context: one of
 the two neighbours must be known beside the candidate. Where the usual confusions give nothing for a word of no
 vocabulary, one edit of any kind (a character lost, one too many, another one) is allowed besides them, and both neighbours must
-be known beside the candidate. Then page furniture is removed, words cut at line ends are put
+be known beside the candidate. In rows with other traces a short word is also corrected if it is unknown beside both of its neighbours and a
+look-alike is known beside both. Then page furniture is removed, words cut at line ends are put
 together and the lines are reflowed.
 
-Page furniture: a line that is a page number, or begins like lines that stand beside page numbers all over the
-corpus (running headers). Words cut at a line end: the joined form is a word and the form with a hyphen isn't.
+Page furniture: a line that is a page number, or a short one (5 to 90 characters) that begins like lines that stand beside page
+numbers all over the corpus (running headers). Words cut at a line end: the joined form is a word and the form with a hyphen isn't.
 
 Only rows with such a trace are rewritten; line breaks between whole words are no trace.
 
-The statistics hold every word that occurs twice and every word pair that occurs three times, whatever the size of the
-corpus; line beginnings are those of at least a least share of all lines' words. The occurrence in question is no evidence
-for a word, so its own count is that of its other occurrences; one occurrence counts as none.
+Nothing that grows with the corpus is held by one machine. Words, word pairs and line beginnings are counted into tables.
+The trie is cut into shards by the words' first letters, of at most SHARD words; the automaton of a word is first run over the
+trie of those beginnings, which tells the shards it can end in, and then in each of them. Each text's words are joined to what is known
+of them, and then to the word pairs that its candidates need; only the TOP_WORDS most frequent words, which need no
+correction, are held by every worker, so that few words have to be looked up.
+
+The statistics hold every word that occurs twice, every word pair that occurs three times and every line beginning that
+occurs four times. The occurrence in question is no evidence for a word, so its own count is that of its other occurrences; one
+occurrence counts as none. Every distinct word is looked up whatever its length, and every vocabulary word can be a candidate.
 
 Defined results: null stays null and has no trace; empty and blank texts have none; ties between candidates go to the
-more frequent, then the smaller word; rows delivered repeatedly count once.
+more frequent, then the smaller word; rows delivered repeatedly count once, in the statistics too.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -36,11 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeresolve.llm import mojibake, unify
+from citeresolve.llm.rows import once
 from citeresolve.session import materialize
 
-HEADS_SHARE = 1e-6
 #: Occurrences from which a word is of the vocabulary and a pair is known.
 KNOWN = 3
+#: A line beginning is a running header's if it stands beside page numbers in at least this share of its occurrences, as a lower bound of two standard errors.
+HEAD_SHARE = 0.4
 #: A word this many times as frequent is what a rarer look-alike was meant to be, where the context agrees.
 RATIO = 20
 #: Misreadings of page images (fixed values): what was printed -> what is read, with its cost.
@@ -49,6 +58,10 @@ CONFUSED = {
     0.6: "m:rn n:ri d:cl u:ii h:li w:vv rn:m ri:n cl:d m:ni m:iri n:il ê:è",
 }
 EDIT = 1.0
+#: Most frequent trusted words, and running headers, that every worker holds; any other word or header is looked up by a join.
+TOP_WORDS, TOP_HEADS = 200_000, 50_000
+#: Words in a shard of the vocabulary trie, and words looked up in it by one task.
+SHARD, LOOKUPS = 50_000, 2_000
 HYPHENS = "-‐¬\xad"
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
@@ -125,7 +138,6 @@ class Counts:
                         self.at_page[h] += 1
 
     def rows(self) -> Iterator[tuple]:
-        yield ("n", None, None, self.n, 0)
         # numbers of more than four digits are no vocabulary
         for k, n in self.words.items():
             if len(k) < 5 or not k.isdigit():
@@ -137,25 +149,25 @@ class Counts:
             yield ("h", h, None, n, self.at_page[h])
 
 
-def statistics(df: DataFrame, text_col: str, m) -> DataFrame:
-    """(kind, a, b, n, at_page) counted over all rows; counted per partition first, so little is shuffled."""
+def statistics(texts: DataFrame) -> DataFrame:
+    """(kind, a, b, n, at_page) counted over all rows (id, t); counted per partition first, so little is shuffled."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = Counts()
         for p in it:
-            for t in p.iloc[:, 0]:
+            for t in p["t"]:
                 if t:
-                    c.add(plain(m.value.restore(t)[0]))
-            if len(c.pairs) > 2_000_000:
+                    c.add(t)
+            if len(c.pairs) > 500_000:
                 yield pd.DataFrame(c.rows(), columns=["kind", "a", "b", "n", "at_page"])
                 c = Counts()
         yield pd.DataFrame(c.rows(), columns=["kind", "a", "b", "n", "at_page"])
 
-    s = df.select(text_col).mapInPandas(run, "kind string, a string, b string, n long, at_page long")
-    s = materialize(s.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("at_page").alias("at_page")), "p2-counts")
-    total = s.where("kind = 'n'").agg(F.sum("n")).first()[0] or 0
-    header = (F.col("n") >= HEADS_SHARE * total) & (F.col("n") >= 4) & (F.col("at_page") >= 0.4 * F.col("n"))
-    return s.where(F.when(F.col("kind") == "w", F.col("n") >= 2).when(F.col("kind") == "p", F.col("n") >= KNOWN).otherwise((F.col("kind") == "h") & header))
+    s = texts.select("t").mapInPandas(run, "kind string, a string, b string, n long, at_page long")
+    s = s.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("at_page").alias("at_page"))
+    n, p = F.col("n"), F.col("at_page") / F.col("n")
+    header = (n >= 4) & ((p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n) >= HEAD_SHARE)
+    return s.where(F.when(F.col("kind") == "w", F.col("n") >= 2).when(F.col("kind") == "p", F.col("n") >= KNOWN).otherwise(header))
 
 
 class Trie:
@@ -180,6 +192,81 @@ def _confusions() -> dict[str, list[tuple[str, str, float]]]:
     return out
 
 
+CONFUSIONS = _confusions()
+
+
+def advance(states: dict, waits: tuple, x: str, word: str, edits: int, budget: float) -> tuple[dict, tuple]:
+    """The automaton of `word` after reading the character `x` of a vocabulary word.
+
+    A state is (position in word, edits left) -> cost; waits are printed groups still to be completed: (rest, position, edits left, cost).
+    """
+    n = len(word)
+    new: dict[tuple[int, int], float] = {}
+    later = []
+
+    def put(k, v):
+        if v <= budget and v < new.get(k, 9.0):
+            new[k] = v
+
+    for (p, e), v in states.items():
+        if p < n and word[p] == x:
+            put((p + 1, e), v)
+        for rest, read, cost in CONFUSIONS.get(x, ()):
+            if v + cost <= budget and word.startswith(read, p):
+                if rest:
+                    later.append((rest, p + len(read), e, v + cost))
+                else:
+                    put((p + len(read), e), v + cost)
+        if e:
+            if p < n:
+                put((p + 1, e - 1), v + EDIT)
+            put((p, e - 1), v + EDIT)
+    for rest, p, e, v in waits:
+        if rest[0] == x:
+            if len(rest) > 1:
+                later.append((rest[1:], p, e, v))
+            else:
+                put((p, e), v)
+    for _ in range(edits):  # a character too many was read
+        for (p, e), v in list(new.items()):
+            if e and p < n:
+                put((p + 1, e - 1), v + EDIT)
+    return new, tuple(later)
+
+
+def intersect(root: dict, word: str, edits: int) -> Iterator[tuple[str, dict]]:
+    """(entry, states) of every entry of a trie that the automaton of `word` is still alive at."""
+    n = len(word)
+    budget = min(3.0, max(0.6, 0.34 * n))
+    first = {(k, edits - k): k * EDIT for k in range(min(edits, n) + 1) if k * EDIT <= budget}
+    stack = [(root, first, ())]
+    while stack:
+        node, states, waits = stack.pop()
+        if "" in node:
+            yield node[""], states
+        for x, child in node.items():
+            if x:
+                new, later = advance(states, waits, x, word, edits, budget)
+                if new or later:
+                    stack.append((child, new, later))
+
+
+def accepted(root: dict, word: str, edits: int) -> dict[str, list[float | None]]:
+    """Every other word of the trie that the automaton accepts within its budget, with its least cost by the edits used besides the confusions."""
+    out: dict[str, list[float | None]] = {}
+    n = len(word)
+    for w, states in intersect(root, word, edits):
+        if w != word:
+            cost: list[float | None] = [None] * (edits + 1)
+            for (p, e), v in states.items():
+                used = edits - e
+                if p == n and (cost[used] is None or v < cost[used]):
+                    cost[used] = v
+            if any(c is not None for c in cost):
+                out[w] = cost
+    return out
+
+
 class _Fine(dict):
     """word (lower case) -> whether it needs no correction."""
 
@@ -188,93 +275,74 @@ class _Fine(dict):
         self.of = of
 
     def __missing__(self, k: str) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        self[k] = got = k.isdigit() or len(k) == 1 and k.isalpha() or self.of.trusted(k)
+        self[k] = got = simple(k) or self.of.trusted(k)
         return got
 
-    def __reduce__(self):
-        return (_Fine, (self.of,))
+
+def simple(k: str) -> bool:
+    """Numbers and single letters are no words to correct."""
+    return k.isdigit() or len(k) == 1 and k.isalpha()
+
+
+class Short:
+    """The trusted words of up to three letters, and which of them each may be misread for: as many as the alphabet allows."""
+
+    def __init__(self, words: Iterable[str]):
+        self.trie = Trie(w for w in words if len(w) <= 3 and w.isalpha())
+        self.memo: dict[str, list[str]] = {}
+
+    def options(self, word: str) -> list[str]:
+        if len(word) > 3 or not word.isalpha():
+            return []
+        got = self.memo.get(word)
+        if got is None:
+            got = self.memo[word] = [w for _, w in sorted((c[0], w) for w, c in accepted(self.trie.root, word, 0).items())]
+        return got
 
 
 class Reader:
-    """Candidates, corrections and traces by the statistics of the corpus."""
-
-    def __init__(self, rows: list[tuple], edits: int = 1):
-        self.edits = edits
-        self.count = {a: n for k, a, _, n, _ in rows if k == "w"}
-        self.pairs = {(a, b): n for k, a, b, n, _ in rows if k == "p"}
-        self.left, self.right = {a for a, _ in self.pairs}, {b for _, b in self.pairs}
-        self.heads = {a for k, a, _, _, _ in rows if k == "h"}
-        self.confusions = _confusions()
-        # a word that occurs nowhere else can be any word of the vocabulary
-        self.trie = Trie(w for w, n in self.count.items() if n >= KNOWN and "-" not in w)
-        self.most = max((n for w, n in self.count.items() if "-" not in w), default=0)
-        self.memo: dict[tuple[str, int], list[tuple[float, str]]] = {}
-        self.sure: dict[str, bool] = {}
+    """Corrections, traces and repair of a text by what is known of its words.
+
+    `count`: words with their counts; `sure`: whether a word is trusted, where it is known; `options`: word -> [(word, cost by the edits used)];
+    `pairs`: counts of word pairs; `heads`: beginnings of running headers. With a `trie`, what is not given is found in it.
+    """
+
+    def __init__(self, count: dict[str, int], pairs: dict[tuple[str, str], int], heads: set[str], sure: dict[str, bool] | None = None, options: dict[str, dict] | None = None, trie: Trie | None = None, short: Short | None = None):
+        self.short = short or Short(())
+        self.count, self.pairs, self.heads, self.trie = count, pairs, heads, trie
+        self.sure, self.options = sure or {}, options or {}
         self.fine = _Fine(self)
-        self.first = {h.split(" ")[0] for h in self.heads}
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple]) -> "Reader":
+        """All of a small corpus in memory, from rows of statistics()."""
+        rows = list(rows)
+        count = {a: n for k, a, _, n, _ in rows if k == "w"}
+        trie = Trie(w for w, n in count.items() if n >= KNOWN and "-" not in w)
+        out = cls(count, {(a, b): n for k, a, b, n, _ in rows if k == "p"}, {a for k, a, _, _, _ in rows if k == "h"}, trie=trie)
+        out.short = Short(w for w in count if len(w) <= 3 and out.trusted(w))
+        return out
 
     def candidates(self, word: str, edits: int = 0) -> list[tuple[float, str]]:
         """(cost, word) of every word of the vocabulary the automaton of `word` accepts within its budget, best first.
 
         `edits`: how many edits besides the confusions - a character lost, one too many, one for another - it allows.
         """
-        got = self.memo.get((word, edits))
-        if got is not None:
-            return got
-        n, conf = len(word), self.confusions
-        budget = min(3.0, max(0.6, 0.34 * n))
-        best: dict[str, float] = {}
-        # a state of the automaton: (position in word, edits left) -> cost; waits: printed groups still to be completed
-        first = {(k, edits - k): k * EDIT for k in range(min(edits, n) + 1) if k * EDIT <= budget}
-        stack = [(self.trie.root, first, ())]
-        while stack:
-            node, states, waits = stack.pop()
-            if "" in node:
-                c = min((v for (p, _), v in states.items() if p == n), default=None)
-                if c is not None and node[""] != word:
-                    best[node[""]] = min(c, best.get(node[""], 9.0))
-            for x, child in node.items():
-                if not x:
-                    continue
-                new: dict[tuple[int, int], float] = {}
-                later = []
-
-                def put(k, v):
-                    if v <= budget and v < new.get(k, 9.0):
-                        new[k] = v
-
-                for (p, e), v in states.items():
-                    if p < n and word[p] == x:
-                        put((p + 1, e), v)
-                    for rest, read, cost in conf.get(x, ()):
-                        if v + cost <= budget and word.startswith(read, p):
-                            if rest:
-                                later.append((rest, p + len(read), e, v + cost))
-                            else:
-                                put((p + len(read), e), v + cost)
-                    if e:
-                        if p < n:
-                            put((p + 1, e - 1), v + EDIT)
-                        put((p, e - 1), v + EDIT)
-                for rest, p, e, v in waits:
-                    if rest[0] == x:
-                        if len(rest) > 1:
-                            later.append((rest[1:], p, e, v))
-                        else:
-                            put((p, e), v)
-                for _ in range(edits):  # a character too many was read
-                    for (p, e), v in list(new.items()):
-                        if e and p < n:
-                            put((p + 1, e - 1), v + EDIT)
-                if new or later:
-                    stack.append((child, new, tuple(later)))
-        out = sorted(((c, w) for w, c in best.items()), key=lambda x: (x[0], -self.count[x[1]], x[1]))
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[word, edits] = out
-        return out
+        got = self.options.get(word)
+        if got is None:
+            if self.trie is None:
+                return []
+            got = self.options[word] = accepted(self.trie.root, word, 1)
+        out = [(min(c for c in costs[: edits + 1] if c is not None), w) for w, costs in got.items() if any(c is not None for c in costs[: edits + 1])]
+        return sorted(out, key=lambda x: (x[0], -self.count[x[1]], x[1]))
+
+    def trusted(self, word: str) -> bool:
+        """Whether `word` is of the vocabulary and no far more frequent word may have been misread as it."""
+        got = self.sure.get(word)
+        if got is None:
+            n = self.count.get(word, 0)
+            got = self.sure[word] = n >= KNOWN and (word.isdigit() or not any(self.count[v] >= RATIO * n for _, v in self.candidates(word)))
+        return got
 
     def correction(self, word: str, before: str, after: str) -> str | None:
         """What `word` (lower case) was printed as, if it is a misreading."""
@@ -297,10 +365,10 @@ class Reader:
 
         The first and the last word of a text have one neighbour only and may be cut, so they aren't corrected so.
         """
-        if not self.edits or own + 1 >= KNOWN or before not in self.left or after not in self.right:
+        if own + 1 >= KNOWN:
             return None
         best = None
-        for cost, w in self.candidates(word, self.edits):
+        for cost, w in self.candidates(word, 1):
             n = self.count[w]
             if n < RATIO * max(1, own) or not self.trusted(w):
                 continue
@@ -310,16 +378,24 @@ class Reader:
                 best = s if best is None or s > best else best
         return best and best[1]
 
-    def trusted(self, word: str) -> bool:
-        """Whether `word` is of the vocabulary and no far more frequent word may have been misread as it."""
-        got = self.sure.get(word)
-        if got is None:
-            n = self.count.get(word, 0)
-            got = n >= KNOWN and (word.isdigit() or n * RATIO > self.most or not any(self.count[v] >= RATIO * n for _, v in self.candidates(word)))
-            if len(self.sure) > 500_000:
-                self.sure.clear()
-            self.sure[word] = got
-        return got
+    def evidence(self, t: str) -> set[tuple[str, str]]:
+        """The word pairs whose counts decide the corrections of a text."""
+        words = WORD.findall(self.joined(self.body(t)).lower())
+        out: set[tuple[str, str]] = set()
+        before = {""}
+        for i, k in enumerate(words):
+            now = {k}
+            for w in self.short.options(k):
+                after = words[i + 1] if i + 1 < len(words) else ""
+                out |= {(b, x) for b in before for x in (k, w)} | {(x, after) for x in (k, w)}
+                now.add(w)
+            if not self.fine[k]:
+                after = words[i + 1] if i + 1 < len(words) else ""
+                for _, w in self.candidates(k, 1):
+                    out |= {(b, w) for b in before} | {(w, after)}
+                    now.add(w)
+            before = now
+        return out
 
     def cut(self, left: str, right: str, sign: str) -> str | None:
         """Of a word over a line end: the joined word, "-" for a compound with its own hyphen, None if it is neither."""
@@ -340,19 +416,21 @@ class Reader:
     def furniture(self, line: str) -> bool:
         if is_page(line):
             return True
-        for m in islice(WORD.finditer(line), 6):
-            if m.group().isalpha():
-                return fold(m.group()) in self.first and head(line) in self.heads
-        return False
+        return head(line) in self.heads
+
+    def body(self, t: str) -> str:
+        """The text without page furniture."""
+        lines = LINE.split(t)
+        body = [x for x in lines if not self.furniture(x)]
+        return t if len(body) == len(lines) else "\n".join(body)
 
     def traces(self, t: str) -> list[str]:
         """The kinds of traces in a text of the common form."""
         out = []
-        lines = LINE.split(t)
-        body = [x for x in lines if not self.furniture(x)]
-        if len(body) < len(lines):
+        body = self.body(t)
+        if body is not t:
             out.append("furniture")
-            t = "\n".join(body)
+            t = body
         if _CUT_END.search(t) and any(self.cut(m[1], m[4], m[2]) not in (None, "-") for m in CUT.finditer(t)):
             out.append("cut")
         if self.fixed(self.joined(t))[1]:
@@ -420,24 +498,256 @@ class Reader:
             else:
                 out.append(s)
         t = re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
-        return self.fixed(t)[0], kinds
+        return self.in_context(self.fixed(t)[0]), kinds
 
+    def in_context(self, t: str) -> str:
+        """Short words misread as other words corrected: unknown beside both of their neighbours, where the look-alike is known beside both."""
+        words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(t)]
+        low = [w.lower() for _, _, w in words]
+        out, at = [], 0
+        for i in range(1, len(words) - 1):
+            s, e, w = words[i]
+            b, k, a = low[i - 1 : i + 2]
+            options = self.short.options(k)
+            if options and (b, k) not in self.pairs and (k, a) not in self.pairs:
+                c = next((x for x in options if (b, x) in self.pairs and (x, a) in self.pairs), None)
+                if c is not None:
+                    low[i] = c
+                    out += [t[at:s], c.upper() if w.isupper() and len(w) > 1 else c.capitalize() if w[0].isupper() else c]
+                    at = e
+        return "".join(out) + t[at:]
+
+
+_BREAK = re.compile(rf"([^\W_]+)[{HYPHENS}][ \t]*(?:\r?\n|\f)[\s\f]*(?=([^\W_]+))")
+
+
+def cut_words(t: str) -> set[str]:
+    """The words that decide about the words cut at line ends: the parts, joined and with a hyphen, of up to four in a row (what two passes of joining can make)."""
+    if not _CUT_END.search(t):
+        return set()
+    chains: list[list[str]] = []
+    at = -1
+    for m in _BREAK.finditer(t.lower()):
+        if m.start() == at:
+            chains[-1].append(m[2])
+        else:
+            chains.append([m[1], m[2]])
+        at = m.end()
+    out: set[str] = set()
+    for c in chains:
+        runs = [(i, j) for i in range(len(c)) for j in range(i + 1, min(i + 4, len(c)) + 1)]
+        out |= {"".join(c[i:j]) for i, j in runs}
+        out |= {f"{''.join(c[i:k])}-{''.join(c[k:j])}" for i, j in runs for k in range(i + 1, j)}
+    return out
 
-def read(df: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
-    """(id, traces[, repaired]) of every row."""
-    spark = df.sparkSession
-    m = spark.sparkContext.broadcast(mojibake.model(df, text_col))
-    reader = Reader([tuple(r) for r in statistics(df, text_col, m).select("kind", "a", "b", "n", "at_page").collect()])
-    r = spark.sparkContext.broadcast(reader)
+
+def shards(words: DataFrame) -> list[str]:
+    """Beginnings that part the words (word) into shards of at most SHARD: three letters, and longer ones where more words have them."""
+    out: list[str] = []
+    n, rest = 3, words.select("word")
+    while True:
+        c = rest.groupBy(F.substring("word", 1, n).alias("p")).agg(F.count("*").alias("n"), F.max(F.length("word")).alias("longest"))
+        got = c.collect()  # as many as beginnings of n letters, each of which, above three letters, has more than SHARD words
+        big = [r["p"] for r in got if r["n"] > SHARD and r["longest"] > n]
+        out += [r["p"] for r in got if not (r["n"] > SHARD and r["longest"] > n)]
+        if not big:
+            return out
+        rest = rest.where(F.substring("word", 1, n).isin(big))
+        n += 1
+
+
+def retrieve(queries: DataFrame, words: DataFrame, edits: int) -> DataFrame:
+    """(word, options): of each query (word) the words of the vocabulary (word, n) its automaton accepts, with their costs by the edits used.
+
+    Beginnings are packed into shards; queries go to the shards that the automaton can end in.
+    """
+    spark = queries.sparkSession
+    heads = shards(words)
+    n_words, n_queries = words.count(), queries.count()
+    parts = max(1, -(-2 * n_words // SHARD))
+    salts = max(1, -(-n_queries // (LOOKUPS * parts)))
+    shard_of = {p: k % parts for k, p in enumerate(sorted(heads))}
+    longest = max(map(len, heads), default=0)
+    shared = spark.sparkContext.broadcast((shard_of, longest))
+
+    def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = shared.value[0]
+        root = Trie(of).root
+        for p in it:
+            got = [(w, k) for w in p["word"] for k in ({of[h] for h, _ in intersect(root, w, edits)} | ({of[h] for h in waiting(root, w, edits)}) if parts > 1 else {0})]
+            yield pd.DataFrame(got, columns=["word", "shard"])
+
+    def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, most = shared.value
+        for p in it:
+            p["shard"] = [next(of[w[:k]] for k in range(1, most + 1) if w[:k] in of) for w in p["word"]]
+            yield p
+
+    def look_up(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        root = Trie(known["word"]).root
+        n = dict(zip(known["word"], known["n"]))
+        got = [(q, [{"w": w, "n": n[w], "costs": c} for w, c in accepted(root, q, edits).items()]) for q in asked["word"]]
+        return pd.DataFrame([g for g in got if g[1]], columns=["word", "options"])
+
+    salt = F.pmod(F.xxhash64("word"), F.lit(salts))
+    q = queries.select("word").mapInPandas(route, "word string, shard int").withColumn("salt", salt)
+    v = words.select("word", "n").mapInPandas(place, "word string, n long, shard int").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    width = max(1, min(parts * salts, 4 * spark.sparkContext.defaultParallelism))
+    q, v = q.repartition(width, "shard", "salt"), v.repartition(width, "shard", "salt")
+    got = q.groupBy("shard", "salt").cogroup(v.groupBy("shard", "salt")).applyInPandas(look_up, f"word string, options {OPTIONS}")
+    return got if parts == 1 else got.groupBy("word").agg(F.flatten(F.collect_list("options")).alias("options"))
+
+
+OPTIONS = "array<struct<w:string,n:long,costs:array<double>>>"
+
+
+def waiting(root: dict, word: str, edits: int) -> Iterator[str]:
+    """Entries of a trie inside a printed group: the automaton lives on only if the group is completed."""
+    n = len(word)
+    budget = min(3.0, max(0.6, 0.34 * n))
+    first = {(k, edits - k): k * EDIT for k in range(min(edits, n) + 1) if k * EDIT <= budget}
+    stack = [(root, first, ())]
+    while stack:
+        node, states, waits = stack.pop()
+        if "" in node and waits:
+            yield node[""]
+        for x, child in node.items():
+            if x:
+                new, later = advance(states, waits, x, word, edits, budget)
+                if new or later:
+                    stack.append((child, new, later))
+
+
+class Lexicon:
+    """What is known of the words of a corpus (id, t): tables, and what every worker holds."""
+
+    def __init__(self, texts: DataFrame, top_words: int = TOP_WORDS, top_heads: int = TOP_HEADS):
+        s = materialize(statistics(texts), "p2-counts")
+        self.words = s.where("kind = 'w'").select(F.col("a").alias("word"), "n")
+        self.pairs = s.where("kind = 'p'").select("a", "b", "n")
+        self.heads = s.where("kind = 'h'").select(F.col("a").alias("head"))
+        vocabulary = self.words.where((F.col("n") >= KNOWN) & ~F.col("word").contains("-"))
+        most = vocabulary.agg(F.max("n")).first()[0] or 0
+        # a word that a RATIO times as frequent one may have been misread as is not trusted
+        doubtful = vocabulary.where((F.col("n") * RATIO <= most) & ~F.col("word").rlike("^[0-9]+$"))
+        near = retrieve(doubtful, vocabulary, 0).join(doubtful, "word").where(F.exists("options", lambda o: o["n"] >= RATIO * F.col("n"))).select("word")
+        self.trusted = materialize(vocabulary.join(near, "word", "left_anti"), "p2-trusted")
+        self.top = {r["word"]: r["n"] for r in self.trusted.orderBy(F.desc("n"), "word").limit(top_words).collect()}
+        self.short = Short(r["word"] for r in self.trusted.where("length(word) <= 3").select("word").collect())
+        few = self.heads.limit(top_heads + 1).collect()
+        #: All headers, if they are few; else None: they are joined to each text.
+        self.top_heads = {r["head"] for r in few} if len(few) <= top_heads else None
+
+    def with_heads(self, texts: DataFrame) -> DataFrame:
+        """(id, t, heads): the texts with their beginnings of lines that are headers; null where every worker knows them all."""
+        if self.top_heads is not None:
+            return texts.select("id", "t", F.lit(None).cast("array<string>").alias("heads"))
+        kind = texts.schema["id"].dataType.simpleString()
+
+        def beginnings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in it:
+                got = [(i, h) for i, t in zip(p["id"], p["t"]) if t for h in {head(x) for x in LINE.split(t)} - {None}]
+                yield pd.DataFrame(got, columns=["id", "head"])
+
+        of = texts.select("id", "t").mapInPandas(beginnings, f"id {kind}, head string").join(self.heads, "head").groupBy("id").agg(F.collect_list("head").alias("heads"))
+        return texts.join(of, "id", "left").select("id", "t", F.coalesce("heads", F.array().cast("array<string>")).alias("heads"))
+
+
+def restored(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t): each row once, its encoding restored, in the common form."""
+    src = once(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id")
+    m, words = mojibake.model(src, "t")
+    m = src.sparkSession.sparkContext.broadcast(m)
+    kind = src.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            if with_text:
-                got = [r.value.repair(plain(m.value.restore(t)[0])) if t else (t, []) for t in p[text_col]]
-                yield pd.DataFrame({id_col: p[id_col], "traces": [g[1] for g in got], "repaired": [g[0] for g in got]})
-            else:
-                yield pd.DataFrame({id_col: p[id_col], "traces": [r.value.traces(plain(m.value.restore(t)[0])) if t else [] for t in p[text_col]]})
+            p["t"] = [plain(m.value.restore(t)[0]) if t else t for t in p["t"]]
+            yield p
 
-    src = df.select(id_col, text_col)
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInPandas(run, f"{id_col} {kind}, traces array<string>" + (", repaired string" if with_text else ""))
+    return mojibake.fill(materialize(src.mapInPandas(run, f"id {kind}, t string"), "p2-restored"), "id", "t", words)
+
+
+def read(df: DataFrame, id_col: str, text_col: str, with_text: bool = True, top_words: int = TOP_WORDS, top_heads: int = TOP_HEADS) -> DataFrame:
+    """(id, traces[, repaired]) of every row with at least one trace, each once."""
+    spark = df.sparkSession
+    texts = materialize(restored(df, id_col, text_col).where("t <> ''"), "p2-texts")
+    lex = Lexicon(texts, top_words, top_heads)
+    kind = texts.schema["id"].dataType.simpleString()
+    top = spark.sparkContext.broadcast((lex.top, lex.top_heads))
+    short = spark.sparkContext.broadcast(lex.short)
+
+    def needed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The words of each text that are not known to need no correction; "" for a text with other traces to look at."""
+        words, heads = top.value
+        for p in it:
+            ids, keys = [], []
+            for i, t, h in zip(p["id"], p["t"], p["heads"]):
+                r = Reader({}, {}, heads if h is None else set(h))
+                body = r.body(t)
+                k = {w for w in set(WORD.findall(body.lower())) - words.keys() if not simple(w)}
+                cut = cut_words(body)
+                if body is not t or cut:
+                    k.add("")
+                k |= cut - words.keys()
+                ids += [i] * len(k)
+                keys += k
+            yield pd.DataFrame({"id": ids, "word": keys})
+
+    texts = lex.with_heads(texts)
+    need = materialize(texts.mapInPandas(needed, f"id {kind}, word string"), "p2-needed")
+    asked = need.where("word <> ''").select("word").distinct().join(lex.words, "word", "left").join(lex.trusted.select("word", F.lit(True).alias("sure")), "word", "left")
+    asked = materialize(asked.select("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sure", F.lit(False)).alias("sure")), "p2-asked")
+    options = retrieve(asked.where(~F.col("sure") & ~F.col("word").contains("-")), lex.trusted, 1)
+    info = materialize(asked.join(options, "word", "left"), "p2-options")
+    of = need.join(info, "word", "left").groupBy("id").agg(F.collect_list(F.when(F.col("word") != "", F.struct("word", "n", "sure", "options"))).alias("info"), F.min(F.coalesce("sure", F.lit(False))).alias("calm"))
+    doubtful = materialize(texts.join(of.where("NOT calm").drop("calm"), "id"), "p2-doubtful")
+
+    def reader(info, heads, pairs) -> Reader:
+        words, top_heads_ = top.value
+        count, sure, options = {}, {}, {}
+        for x in info:
+            sure[x["word"]] = x["sure"]
+            if x["n"]:
+                count[x["word"]] = x["n"]
+            if x["options"] is not None:
+                options[x["word"]] = {o["w"]: [None if c is None or c != c else c for c in o["costs"]] for o in x["options"]}
+                for o in x["options"]:
+                    count[o["w"]] = o["n"]
+                    sure[o["w"]] = True
+        return Reader(ChainMap(count, words), pairs, top_heads_ if heads is None else set(heads), ChainMap(sure, _Sure(words)), options, short=short.value)
+
+    def wanted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            got = [(i, a, b) for i, t, h, x in zip(p["id"], p["t"], p["heads"], p["info"]) for a, b in reader(x, h, {}).evidence(t)]
+            yield pd.DataFrame(got, columns=["id", "a", "b"])
+
+    pairs = doubtful.mapInPandas(wanted, f"id {kind}, a string, b string").join(lex.pairs, ["a", "b"]).groupBy("id").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
+
+    def decide(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            rows = []
+            for i, t, h, x, y in zip(p["id"], p["t"], p["heads"], p["info"], p["pairs"]):
+                r = reader(x, h, {(z["a"], z["b"]): z["n"] for z in y} if y is not None else {})
+                text, kinds = r.repair(t) if with_text else (None, r.traces(t))
+                if kinds:
+                    rows.append((i, kinds, text) if with_text else (i, kinds))
+            yield pd.DataFrame(rows, columns=[id_col, "traces", "repaired"][: 2 + with_text])
+
+    return doubtful.join(pairs, "id", "left").mapInPandas(decide, f"{id_col} {kind}, traces array<string>" + (", repaired string" if with_text else ""))
+
+
+class _Sure(dict):
+    """Whether a word is trusted, of words that every worker holds."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__()
+        self.words = words
+
+    def __contains__(self, k) -> bool:
+        return k in self.words
+
+    def __missing__(self, k) -> bool:
+        if k in self.words:
+            return True
+        raise KeyError(k)

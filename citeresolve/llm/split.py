@@ -3,12 +3,14 @@
 Method: the size of every prefix is an array of offset prefix sums (by default one unit per code point; any
 tokenizer that yields token lengths can supply other units), the places where a cut reads naturally are sorted
 arrays of offsets by rank (paragraph, line, sentence, clause, word). A piece starting at `s` may end at the last
-offset whose size stays within the limit; each rank's array is binary searched for its last boundary there, the
-best rank with a boundary in the last part of the piece wins, and where no rank has one the cut is hard (but
+offset whose size stays within the limit; each rank's array is binary searched for its last boundary there. The
+best rank with a boundary in the last part of the piece (from MIN_FILL of the limit on) wins; where no rank has one there, the
+last boundary of any rank before it does; and only where the piece has none beyond the overlap is the cut hard (but
 never between a letter and its combining marks). The next piece starts exactly `overlap` units before the cut.
 
 Defined results: a null text has no piece; an empty text has one empty piece; a text within the limit is one
-piece; ties between ranks go to the higher rank. Rows delivered repeatedly give each piece once.
+piece; ties between ranks go to the higher rank. Every row is cut: rows delivered repeatedly are passed once
+(`rows.once`).
 """
 
 from __future__ import annotations
@@ -63,13 +65,10 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, min_fill: float
             out.append((s, n))
             return out
         # beyond the overlap, so that every piece brings new text
-        least = max(s + 1, bisect_right(size, size[s] + max(overlap + 1, int(limit * min_fill)) - 1))
-        end = 0
-        for b in ranks:
-            k = bisect_right(b, last) - 1
-            if k >= 0 and b[k] >= least:
-                end = b[k]
-                break
+        least = max(s + 1, bisect_right(size, size[s] + overlap))
+        full = max(least, bisect_right(size, size[s] + int(limit * min_fill) - 1))
+        ends = [b[k - 1] for b in ranks if (k := bisect_right(b, last)) and b[k - 1] >= least]
+        end = next((e for e in ends if e >= full), max(ends, default=0))
         if not end:
             end = last
             while end > least and unicodedata.combining(text[end]):

@@ -8,6 +8,10 @@ spaces, hyphens, look-alike letters of other scripts) by one translate, and the
 A form is mapped only where a reader sees no other sign: superscripts, fractions, ordinal signs, dashes, quotation
 marks, letter case, accents, line breaks and runs of spaces stay as they are.
 
+Two forms are made of a text. Its key, by which texts are compared, has every look-alike letter mapped. Its stored form keeps
+words of another script: a word with a letter that no Latin one looks like, and a word of look-alikes alone beside such a
+word ("Россия и СССР"). Any other look-alike is mapped there too.
+
 Defined results: null stays null; an empty text stays empty; texts that are blank in the common form pair with none;
 a row delivered repeatedly counts once; ids of null take no part.
 """
@@ -25,6 +29,8 @@ from pyspark.sql import types as T
 
 from citeresolve.session import materialize
 
+#: Tasks over which the rows of one text are spread.
+SALTS = 8
 #: Letters of other scripts that cannot be told from a Latin letter (fixed values, Unicode's confusables data).
 CYRILLIC, CYRILLIC_AS = "АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXQWaesijopcyxhdqwl"
 GREEK, GREEK_AS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"
@@ -37,8 +43,18 @@ INVISIBLE = r"[\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-
 STABLE = r"[\x{01}-\x{0c}\x{0e}-\x{7f}\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{ff}\x{2013}\x{2014}\x{2018}\x{2019}\x{201c}\x{201d}\x{20ac}]*"
 
 
+def look_alikes() -> dict[str, str]:
+    """Letters of other scripts that look like a Latin letter, with their accented forms."""
+    out = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
+    for c in map(chr, range(0x370, 0x530)):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and d[0] in out and len(to := unicodedata.normalize("NFC", out[d[0]] + d[1:])) == 1:
+            out[c] = to
+    return out
+
+
 def forms() -> tuple[dict[str, str], dict[str, str]]:
-    """Compatibility forms by rule from the Unicode database: (one character for one, several for one)."""
+    """Compatibility forms by rule from the Unicode database, with the look-alikes: (one character for one, several for one)."""
     single: dict[str, str] = {}
     several: dict[str, str] = {}
     for c in map(chr, range(0xA0, 0x1FBFA)):
@@ -51,11 +67,7 @@ def forms() -> tuple[dict[str, str], dict[str, str]]:
             if not (to == " " or 0xFB00 <= ord(c) <= 0xFB17 or letters and not 0x249C <= ord(c) <= 0x24B5 or set(to) == {"."}) or 0x2100 <= ord(c) <= 0x214F or 0x3200 <= ord(c) <= 0x33FF:
                 continue
         (single if len(to) == 1 else several)[c] = to
-    single |= dict(zip(CYRILLIC + GREEK + OTHER, CYRILLIC_AS + GREEK_AS + OTHER_AS))
-    for c in map(chr, range(0x370, 0x530)):  # accented look-alikes
-        d = unicodedata.normalize("NFD", c)
-        if len(d) > 1 and d[0] in single and len(to := unicodedata.normalize("NFC", single[d[0]] + d[1:])) == 1:
-            single[c] = to
+    single |= dict(zip(OTHER, OTHER_AS)) | look_alikes()
     return single, several
 
 
@@ -63,14 +75,37 @@ def sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def canonical_sql(column: str = "t") -> str:
-    """The DuckDB expression of the common form of `column`."""
-    single, several = forms()
+def _translate(e: str, table: dict[str, str]) -> str:
+    return f"translate({e}, {sql_text(''.join(table))}, {sql_text(''.join(table.values()))})"
+
+
+def _prepared(column: str, several: dict[str, str]) -> str:
     e = f"replace(replace({column}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     e = f"regexp_replace({e}, {sql_text(INVISIBLE)}, '', 'g')"
     for c, to in sorted(several.items()):
         e = f"replace({e}, {sql_text(c)}, {sql_text(to)})"
-    return f"nfc_normalize(translate({e}, {sql_text(''.join(single))}, {sql_text(''.join(single.values()))}))"
+    return e
+
+
+def canonical_sql(column: str = "t") -> str:
+    """The DuckDB expression of the key of `column`."""
+    single, several = forms()
+    return f"nfc_normalize({_translate(_prepared(column, several), single)})"
+
+
+FOREIGN = r"[\p{Cyrillic}\p{Greek}]"
+
+
+def stored_sql(column: str = "t") -> str:
+    """The DuckDB expression of the stored form of `column`: as the key, but words of another script stay."""
+    single, several = forms()
+    alike = look_alikes()
+    plain = {c: to for c, to in single.items() if c not in alike}
+    foreign = lambda w: f"coalesce(regexp_matches(translate({w}, {sql_text(''.join(alike))}, ''), {sql_text(FOREIGN)}), FALSE)"
+    kept = f"{foreign('w')} OR NOT regexp_matches(w, '\\p{{Latin}}') AND ({foreign('l[i - 2]')} OR {foreign('l[i + 2]')})"
+    each = f"list_transform(l, lambda w, i: CASE WHEN {kept} THEN w ELSE {_translate('w', alike)} END)"
+    words = "regexp_extract_all(c, '[\\p{L}\\p{M}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}]+')"
+    return f"(SELECT nfc_normalize(CASE WHEN regexp_matches(c, {sql_text(FOREIGN)}) THEN array_to_string({each}, '') ELSE c END) FROM (SELECT c, {words} AS l FROM (SELECT {_translate(_prepared(column, several), plain)} AS c)))"
 
 
 def in_duckdb(select: str, schema: T.StructType):
@@ -93,36 +128,57 @@ def in_duckdb(select: str, schema: T.StructType):
     return run
 
 
-def _form(column: str) -> str:
-    return f"CASE WHEN regexp_full_match({column}, {sql_text(STABLE)}) THEN {column} ELSE {canonical_sql(column)} END"
+def _form(column: str, sql: str) -> str:
+    return f"CASE WHEN regexp_full_match({column}, {sql_text(STABLE)}) THEN {column} ELSE {sql} END"
 
 
 def unify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with every text in the common form. Map-only."""
+    """(id, canonico) with every text in its stored form. Map-only."""
     src = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     schema = T.StructType([src.schema["i"], T.StructField("canonico", T.StringType())])
-    return src.mapInArrow(in_duckdb(f"SELECT i, {_form('t')} AS canonico FROM b", schema), schema).withColumnRenamed("i", id_col)
+    return src.mapInArrow(in_duckdb(f"SELECT i, {_form('t', stored_sql('t'))} AS canonico FROM b", schema), schema).withColumnRenamed("i", id_col)
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, canon, raw): 128-bit digests of the common form and of the stored text, for texts that aren't blank."""
     src = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     schema = T.StructType([src.schema["i"], T.StructField("canon", T.StringType()), T.StructField("raw", T.StringType())])
-    q = f"SELECT i, md5(c) AS canon, md5(t) AS raw FROM (SELECT i, t, {_form('t')} AS c FROM b) WHERE trim(c, chr(32) || chr(9) || chr(10) || chr(12)) <> ''"
+    q = f"SELECT i, md5(c) AS canon, md5(t) AS raw FROM (SELECT i, t, {_form('t', canonical_sql('t'))} AS c FROM b) WHERE trim(c, chr(32) || chr(9) || chr(10) || chr(12)) <> ''"
     return src.mapInArrow(in_duckdb(q, schema), schema)
 
 
-def same_looking_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str) -> DataFrame:
-    """Pairs (a < b) of ids whose texts have one common form but different stored characters.
+def salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def to_all_salts(df: DataFrame) -> DataFrame:
+    return df.withColumn("_s", F.explode(F.array(*map(F.lit, range(SALTS)))))
 
-    Copies of one stored text never meet each other: only the distinct stored forms of a common form are paired, and
-    only where there are at least two; the ids are joined to the pairs of forms afterwards. Whatever share of the
-    rows one text has, those rows are shuffled only if some other row differs from them in its characters.
+
+def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, classe, forma, representante, formas, linhas) of every row whose text has a class of at least two stored forms.
+
+    `classe` and `forma` are digests of the key and of the stored text; `representante` is the smallest id of the form,
+    `formas` and `linhas` count the forms and rows of the class. Copies of one stored text never meet each other, and a
+    text that a large share of the rows has is spread over SALTS tasks.
     """
     f = materialize(fingerprints(df, id_col, text_col).distinct(), "p1-fingerprints")
-    forms_ = f.groupBy("canon", "raw").agg(F.lit(1).alias("one")).select("canon", "raw")
-    several = forms_.groupBy("canon").agg(F.count("*").alias("n")).where("n > 1").select("canon")
-    left = forms_.join(several, "canon", "left_semi")
-    pairs = left.select("canon", F.col("raw").alias("x")).join(left.select("canon", F.col("raw").alias("y")), "canon").where("x < y").select("x", "y")
-    out = pairs.join(f.select(F.col("raw").alias("x"), F.col("i").alias("p")), "x").join(f.select(F.col("raw").alias("y"), F.col("i").alias("q")), "y")
+    forms_ = f.groupBy("canon", "raw").agg(F.count("*").alias("n"), F.min("i").alias("representante"))
+    several = forms_.groupBy("canon").agg(F.count("*").alias("formas"), F.sum("n").alias("linhas")).where("formas > 1")
+    chosen = forms_.join(several, "canon").select("canon", "raw", "representante", "formas", "linhas")
+    out = salted(f, "i").join(to_all_salts(chosen), ["canon", "raw", "_s"])
+    return out.select(F.col("i").alias(id_col), F.col("canon").alias("classe"), F.col("raw").alias("forma"), "representante", "formas", "linhas")
+
+
+def same_looking_pairs(df: DataFrame, id_col: str, text_col: str, a: str, b: str) -> DataFrame:
+    """Pairs (a < b) of ids whose texts have one key but different stored characters.
+
+    The pairs are made between the distinct stored forms of a class and only then expanded to the ids that have them.
+    """
+    members = materialize(classes(df, id_col, text_col).select(F.col(id_col).alias("i"), "classe", "forma"), "p1-members")
+    forms_ = members.select("classe", "forma").distinct()
+    pairs = forms_.withColumnRenamed("forma", "x").join(forms_.withColumnRenamed("forma", "y"), "classe").where("x < y").select("x", "y")
+    left, right = (members.select(F.col("forma").alias(f), F.col("i").alias(i)) for f, i in (("x", "p"), ("y", "q")))
+    out = salted(left, "p").join(to_all_salts(pairs), ["x", "_s"]).drop("_s")
+    out = to_all_salts(out).join(salted(right, "q"), ["y", "_s"])
     return out.where("p <> q").select(F.least("p", "q").alias(a), F.greatest("p", "q").alias(b)).distinct()

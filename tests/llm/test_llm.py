@@ -29,6 +29,20 @@ def test_unify_edge_cases(spark):
     assert unify.same_looking_pairs(df.limit(0), "i", "t", "a", "b").count() == 0
 
 
+def test_words_of_another_script_stay(spark):
+    rows = [(1, "Россия и СССР assinaram o асordо"), (2, "реѕо"), (3, "О СССР"), (4, "Poccия")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    got = {r["i"]: r["canonico"] for r in unify.unify(df, "i", "t").collect()}
+    assert got == {1: "Россия и СССР assinaram o acordo", 2: "peso", 3: "O CCCP", 4: "Poccия"}
+    assert {tuple(r) for r in unify.same_looking_pairs(df.union(spark.createDataFrame([(9, "Россия")], "i long, t string")), "i", "t", "a", "b").collect()} == {(4, 9)}
+
+
+def test_unify_classes(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a\u00a0b"), (3, "a b"), (4, "c")], "i long, t string")
+    c = unify.classes(df, "i", "t").collect()
+    assert {(r["i"], r["representante"], r["formas"], r["linhas"]) for r in c} == {(1, 1, 2, 3), (3, 1, 2, 3), (2, 2, 2, 3)}
+
+
 def test_unify_hot_text_pairs_each_other_form(spark):
     df = spark.range(300).select(F.col("id").alias("i"), F.when(F.col("id") == 7, "a b").otherwise("a b").alias("t"))
     assert unify.same_looking_pairs(df, "i", "t", "a", "b").count() == 299
@@ -37,14 +51,16 @@ def test_unify_hot_text_pairs_each_other_form(spark):
 # ---- 2
 
 
-def reader():
-    c = scans.Counts()
+def corpus():
     body = "o autor registrou em cartório o contrato de locação e o recurso foi provido. a parte contrária juntou o guarda-volumes ao processo principal"
-    for i in range(60):
-        c.add(body)
-        c.add(f"Diário da Justiça — caderno {i}\n- {i} -\n{body}")
-    keep = [r for r in c.rows() if r[0] != "n" and (r[0] != "h" or r[4] >= 0.4 * r[3])]
-    return scans.Reader(keep)
+    return [x for i in range(60) for x in (body, f"Diário da Justiça — caderno {i}\n- {i} -\n{body}")]
+
+
+def reader(texts=None):
+    c = scans.Counts()
+    for t in texts or corpus():
+        c.add(t)
+    return scans.Reader.of(r for r in c.rows() if r[3] >= {"w": 2, "p": scans.KNOWN, "h": 4}[r[0]] and (r[0] != "h" or r[4] >= 0.4 * r[3]))
 
 
 def test_scan_traces_and_repair():
@@ -79,7 +95,7 @@ def test_candidates_are_complete_within_the_budget():
 
     for word in ("reqistrou", "cart0rio", "corifrofo", "rccurso", "autor", "pracesso", "xyz"):
         budget = min(3.0, max(0.6, 0.34 * len(word)))
-        want = {w for w, n in r.count.items() if n >= scans.RATIO and "-" not in w and w != word and cost(w, word) <= budget + 1e-9}
+        want = {w for w, n in r.count.items() if n >= scans.KNOWN and "-" not in w and w != word and cost(w, word) <= budget + 1e-9}
         assert {w for _, w in r.candidates(word)} == want
 
 
@@ -122,40 +138,65 @@ def test_candidates_with_one_edit_are_complete():
 
 
 def test_long_words_are_looked_up():
-    c = scans.Counts()
     long = "pneumoultramicroscopicossilicovulcanoconiótico"
-    for _ in range(30):
-        c.add(f"o quadro {long} do autor")
-    r = scans.Reader([x for x in c.rows() if x[0] in "wp"])
+    r = reader([f"o quadro {long} do autor"] * 30)
     assert len(long) > 40 and r.repair(f"o quadro {long.replace('vulc', 'vnlc')} do autor")[0] == f"o quadro {long} do autor"
 
 
 def test_misreadings_of_rare_words_are_corrected():
-    c = scans.Counts()
-    for _ in range(5):
-        c.add("a testemunha depôs ontem")
-    for _ in range(400):
-        c.add("o réu descumpriu o contrato")
-    for _ in range(3):
-        c.add("o réu descnmpriu o contrato")
-    c.add("a testemnnha depôs ontem e o réu dcscnmpriu o contrato")
-    r = scans.Reader([x for x in c.rows() if x[0] == "w" or x[0] == "p" and x[3] >= scans.KNOWN])
+    r = reader(["a testemunha depôs ontem"] * 5 + ["o réu descumpriu o contrato"] * 400 + ["o réu descnmpriu o contrato"] * 3 + ["a testemnnha depôs ontem e o réu dcscnmpriu o contrato"])
     assert r.correction("testemnnha", "a", "depôs") == "testemunha"
     assert r.correction("dcscnmpriu", "réu", "o") == "descumpriu"  # not the frequent misreading nearer to it
 
 
 def test_scan_statistics_keep_rare_words_of_a_large_corpus(spark):
     many = " ".join(["processo"] * 50_000)
-    df = spark.createDataFrame([(i, many) for i in range(40)] + [(100 + i, "a testemunha depôs") for i in range(3)], "i long, t string")
-    m = spark.sparkContext.broadcast(mojibake.model(df.limit(0), "t"))
-    got = {(r["kind"], r["a"], r["b"]) for r in scans.statistics(df, "t", m).collect()}
+    df = spark.createDataFrame([(i, many) for i in range(40)] + [(100 + i, "a testemunha depôs") for i in range(3)], "id long, t string")
+    got = {(r["kind"], r["a"], r["b"]) for r in scans.statistics(df).collect()}
     assert {("w", "testemunha", None), ("p", "a", "testemunha"), ("p", "testemunha", "depôs")} <= got
 
 
+def test_words_of_cut_chains():
+    got = scans.cut_words("o con-\ntra-\nto e o guarda-\nvolumes")
+    assert {"con", "tra", "to", "contra", "trato", "contrato", "contra-to", "con-trato", "guardavolumes", "guarda-volumes"} <= got
+
+
+@pytest.fixture
+def noisy():
+    out = list(enumerate(corpus()))
+    cut = "Diário da Justiça — caderno 7\n"
+    out += [(900, "o autor reqistrou em cart0rio o con-\ntrato de\nlocação\n- 12 -\n" + cut + "e o recurso foi provido."), (901, "o autor registrou em cartório o con-\n" + cut + "- 8 -\ntrato de locação")]
+    out += [(902, "o autor regisrou em cartório o conntrato de locação e o rexurso foi provido."), (903, "o autor registrou\nem cartório o contrato"), (904, "juntou o guarda-\nvolumes ao processo"), (905, "palavra desconhecida xyzt"), (906, "o au-\nto-\nr registrou"), (907, None), (908, ""), (900, out[-1][1])]
+    return out[:-1]
+
+
+def test_tables_decide_as_the_corpus_in_memory(spark, noisy, monkeypatch):
+    df = spark.createDataFrame(noisy + noisy[-9:], "i long, t string")
+    r = reader([t for _, t in noisy if t])
+    want = {i: (k, x) for i, t in noisy if t for x, k in [r.repair(t)] if k}
+    got = {x["i"]: (list(x["traces"]), x["repaired"]) for x in scans.read(df, "i", "t").collect()}
+    assert got == want and {900, 901, 902} <= set(want) and not {903, 904, 905} & set(want)
+    # nothing held by every worker, and several shards
+    monkeypatch.setattr(scans, "SHARD", 12)
+    monkeypatch.setattr(scans, "LOOKUPS", 3)
+    got = {x["i"]: (list(x["traces"]), x["repaired"]) for x in scans.read(df, "i", "t", top_words=2, top_heads=0).collect()}
+    assert got == want
+
+
+def test_shards_retrieve_what_one_trie_does(spark, monkeypatch):
+    words = sorted({w for t in corpus() for w in scans.WORD.findall(t.lower())})
+    trie = scans.Trie(words)
+    asked = ["reqistrou", "rnnto", "contratto", "xregistrou", "ontrato", "a", "ri", "recuno"]
+    monkeypatch.setattr(scans, "SHARD", 4)
+    v = spark.createDataFrame([(w, 9) for w in words], "word string, n long")
+    got = scans.retrieve(spark.createDataFrame([(w,) for w in asked], "word string"), v, 1).collect()
+    same = lambda cs: [c if c is not None and c == c else None for c in cs]
+    assert {r["word"]: {o["w"]: same(o["costs"]) for o in r["options"]} for r in got} == {w: a for w in asked if (a := scans.accepted(trie.root, w, 1))}
+
+
 def test_scan_query_handles_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "fl. 237\no autor", 0), (3, "fl. 237\no autor", 1)], "i long, t string, traces int")
-    got = {r["i"]: list(r["traces"]) for r in scans.read(df, "i", "t").collect()}
-    assert got == {1: [], 2: [], 3: ["furniture"]}
+    assert [(r["i"], list(r["traces"])) for r in scans.read(df, "i", "t").collect()] == [(3, ["furniture"])]
     assert scans.read(df.limit(0), "i", "t").count() == 0
 
 
@@ -167,11 +208,10 @@ CLEAN = ["A decisão não considerou a prova pericial, e a ação foi extinta à
 def hmm():
     from collections import Counter
 
-    ch, w = Counter(), Counter()
+    ch = Counter()
     for t in CLEAN * 50:
         ch.update(mojibake.triples(t))
-        w.update(x for x in mojibake.WORD.findall(t) if not x.isascii())
-    return mojibake.Model([(*k, n) for k, n in ch.items()], list(w.items()))
+    return mojibake.Model([(*k, n) for k, n in ch.items()])
 
 
 @pytest.mark.parametrize("pair", ["utf-8>cp1252", "utf-8>cp850", "utf-8>cp437", "utf-8>mac-roman", "cp1252>cp850", "cp1252>mac-roman", "utf-8>cp1252 twice"])
@@ -187,16 +227,19 @@ def test_encoding_round_trip(pair):
 
 def test_replaced_and_clean_characters():
     m = hmm()
-    assert m.restore("A decis�o n�o considerou")[0] == "A decisão não considerou"
+    known = {"decis�o": "decisão", "n�o": "não", "guarda-p�": "guarda-pó", "p�": "pó"}
+    t, states = m.restore("A decis�o N�O considerou o vira-p�")
+    assert states == ["replaced"] and mojibake.filled(t, known) == "A decisão NÃO considerou o vira-pó"
     for t in [*CLEAN, "Große Straße e o navio Þórunn, £ 900 e € 1.200", "a b­c", ""]:
         assert m.restore(t) == (t, [])
 
 
 def test_encoding_query(spark):
-    rows = [(i, t, None) for i, t in enumerate(CLEAN * 5)] + [(90, None, 1), (91, "", 1), (92, "A petiÃ§Ã£o nÃ£o", 1)]
+    rows = [(i, t, None) for i, t in enumerate(CLEAN * 5)] + [(90, None, 1), (91, "", 1), (92, "A petiÃ§Ã£o nÃ£o", 1), (93, "A peti��o n�o", 1)]
     df = spark.createDataFrame(rows, "i long, t string, states int")
     got = {r["i"]: (r["restored"], len(r["states"])) for r in mojibake.repair(df, "i", "t").collect()}
-    assert got[90] == (None, 0) and got[91] == ("", 0) and got[92] == ("A petição não", 1)
+    assert got[90] == (None, 0) and got[91] == ("", 0) and got[92] == ("A petição não", 1) and got[93] == ("A petição não", 1)
+    assert {r["i"] for r in mojibake.found(df, "i", "t").collect()} == {92, 93}
     assert mojibake.repair(df.limit(0), "i", "t").count() == 0
 
 
@@ -321,6 +364,12 @@ def test_pieces_against_their_definition(spark):
     assert split.split_items(df.limit(0), "i", "t").count() == 0
 
 
+def test_a_boundary_before_a_hard_cut():
+    t = "Palavra um. " * 30 + "x" * 5000
+    assert split.spans(t, 3000, 200)[0] == (0, 360) and split.spans(t, 3000, 200)[1] == (160, 3160)
+    assert split.spans("a" * 5000, 3000, 200) == [(0, 3000), (2800, 5000)]
+
+
 def test_cuts_prefer_better_boundaries():
     t = "a" * 60 + ". B" + "b" * 20 + "\n\n" + "c" * 10 + " " + "d" * 60
     assert t[: split.spans(t, 100, 10)[0][1]].endswith("\n\n")
@@ -408,6 +457,14 @@ def test_mixture_shares_repeats_and_positions(spark):
     assert mean("a") < mean("b") < mean("c")
 
 
+def test_a_schedule_of_the_caller(spark):
+    rows = [(i, "x" * 5, "ab"[i % 2], 0, 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens int, position int")
+    m = mix.Mixture(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "fonte string, peso double, max_repeticoes int"), lambda c: F.length(c).cast("bigint"), schedule={"a": 0.8, "b": -0.8})
+    mean = {r["source"]: r["p"] for r in m.placed().groupBy("source").agg(F.avg("position").alias("p")).collect()}
+    assert mean["b"] < 0.45 * m.total < 0.55 * m.total < mean["a"]
+
+
 def test_allotment_and_demand_inverse(spark):
     got = mix.allot({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, 100)
     assert got == {"a": 80.0, "b": 20.0}
@@ -445,7 +502,7 @@ def test_disguises_read_alike():
 def labelled_rows(n, seed):
     r = random.Random(seed)
     calm = ["o contrato foi assinado pelas partes", "a perícia confirmou o dano ao imóvel", "o burro de carga empacou na ladeira", "a vizinha guarda a chave do portão", "requer a citação do réu"]
-    bad = ["vai se foder seu imbecil", "essa gente é uma praga", "cala a boca seu verme nojento"]
+    bad = ["seu cabeça de bagre inútil", "essa laia devia sumir do mapa", "fecha a matraca criatura asquerosa"]  # known from the labels alone
     out = []
     for i in range(n):
         b = i % 4 == 0
@@ -467,3 +524,4 @@ def test_scores_on_held_out_documents(spark):
     assert rate == {"f": 242, None: 80}
     assert abuse.score_documents(docs.limit(0), labels).count() == 0
     assert abuse.score_documents(docs.limit(3), labels.limit(0)).count() == 3
+    assert abuse.labelled(docs, labels, most=50).count() == 50 and 0 < abuse.labelled(docs, labels, chars=2000).count() < 20
