@@ -62,14 +62,21 @@ CLASS_COURT = {
     "REsp": "STJ", "AREsp": "STJ", "RHC": "STJ", "RMS": "STJ", "SLS": "STJ", "RE": "STF", "ARE": "STF",
     "REspe": "TSE", "APL": "STM", "RSE": "STM", "RR": "TST", "AIRR": "TST", "ARR": "TST",
 }
-#: Appeal markers: code and pattern over folded text, without look-around.
+#: Appeal markers: code, pattern over folded words set apart by two spaces, pattern over the folded text itself. The short forms "Ag" and "E"
+#: before a hyphen count as an internal appeal and as embargos de divergência, as in the records.
 MARKERS = (
-    ("AGINT", r"agint|agravo interno"),
-    ("AGRG", r"agrg|agravo regimental"),
-    ("EDV", r"edv|embargos de divergencia"),
-    ("ED", r"edcl|embargos de declaracao"),
-    ("PEXT", r"pext"),
+    ("AGINT", " (?:agint|ag  int|agravo  interno) ", "(?:^|[^a-z])ag-"),
+    ("AGRG", " (?:agrg|agr|ag  reg|agravo  regimental) ", None),
+    ("ED", " (?:edcl|eds?|embargos  (?:de  )?declaracao) ", None),
+    ("EDV", " (?:edv|embargos  (?:de  )?divergencia|recurso  de  embargos) ", "(?:^|[ -])e-[a-z]"),
+    ("PEXT", " pext ", None),
 )
+#: Abbreviations of class and appeal names, with a full stop: what is written, what it stands for.
+ABBREVIATIONS = (
+    ("rec", "recurso"), ("agr?", "agravo"), ("esp(?:ec)?", "especial"), ("extr(?:aord)?", "extraordinario"), ("ord", "ordinario"), ("inst", "instrumento"), ("rev", "revista"),
+    ("hab", "habeas"), ("corp", "corpus"), ("mand", "mandado"), ("seg", "seguranca"), ("susp", "suspensao"), ("lim", "liminar"), ("apel", "apelacao"), ("recl", "reclamacao"),
+    ("resc", "rescisoria"), ("embs?", "embargos"), ("decl", "declaracao"), ("div(?:erg)?", "divergencia"), ("int", "interno"), ("reg", "regimental"), ("eleit", "eleitoral"),
+)
 STOPWORDS = (
     "a o as os de da do das dos e em no na nos nas por para com que se nao ao aos um uma "
     "ou como mais pelo pela pelos pelas sua seu suas seus art lei nº n recurso"

@@ -20,7 +20,8 @@ LONG_NAMES = {
 COURT_NAMES = " (stj|stf|tst|tse|stm|" + "|".join(LONG_NAMES) + ") "
 ARTICLE = r"(?i:art(?:igo|s|\.)?)\.?\s*([0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})|[0-9OolIS]{1,5}?)(?:[ºo°](?:[^A-Za-z0-9]|$)|[^A-Za-z0-9]|$)"
 LAW = r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|, de .* de )([0-9]{4}|[0-9]{2})"
-UF_END = r"[/(–-]\s*([A-Z]{2})\s*\)?\s*$"
+#: The last two capitals of a citation, set off by a stroke, dash or bracket: perhaps its state.
+UF_END = r"(?:/|-|–|\() ?([A-Z][A-Z])(?: ?\))? *$"
 
 
 def let(c: Column, f) -> Column:
@@ -150,8 +151,8 @@ def trailing_uf(c: Column) -> Column:
 
 
 def year4(y: Column) -> Column:
-    """Four digits of a year of two (up to 30: this century) or four; null for anything else."""
-    return F.when(y.between(0, 30), y + 2000).when(y.between(31, 99), y + 1900).when(y.between(1000, 9999), y)
+    """Four digits of a year of two (below 30: this century) or four; null for anything else."""
+    return F.when(y.between(0, 29), y + 2000).when(y.between(30, 99), y + 1900).when(y.between(1000, 9999), y)
 
 
 def is_year(c: Column) -> Column:
@@ -176,7 +177,7 @@ def lookup(table: dict, c: Column) -> Column:
 
 def year_text(c: Column) -> Column:
     """Four digits, as text, of a year text of two or four digits."""
-    return F.when(F.length(c) == 4, c).when(c.between("00", "30"), F.concat(F.lit("20"), c)).when(F.length(c) == 2, F.concat(F.lit("19"), c))
+    return F.when(F.length(c) == 4, c).when(c.between("00", "29"), F.concat(F.lit("20"), c)).when(F.length(c) == 2, F.concat(F.lit("19"), c))
 
 
 def diploma_key(folded: Column) -> Column:
@@ -193,17 +194,46 @@ def diploma_key(folded: Column) -> Column:
     return F.coalesce(by_number, let(F.regexp_extract(folded, STATUTE, 1), named))
 
 
+def expanded(folded: Column) -> Column:
+    """A folded text with the abbreviations of class and appeal names written out."""
+    def all_of(c: Column) -> Column:
+        for short, word in dims.ABBREVIATIONS:
+            c = F.regexp_replace(c, rf"(^|[^a-z]){short}\. ?", f"$1{word} ")
+        return c
+
+    return F.when(folded.rlike(r"[a-z]\."), all_of(folded)).otherwise(folded)
+
+
+def spread_words(folded: Column) -> Column:
+    """The words of a folded text, two spaces apart."""
+    return F.regexp_replace(F.concat(F.lit(" "), folded, F.lit(" ")), "[^a-z0-9]+", "  ")
+
+
 def appeal_chain(folded: Column) -> Column:
     """Sorted bag of the appeal markers of a folded text."""
-    bags = [F.array_repeat(F.lit(k), F.regexp_count(folded, F.lit(rf"(?:^|[^a-z])(?:{p})"))) for k, p in dims.MARKERS]
-    return F.array_sort(F.concat(*bags))
+    def of(f: Column) -> Column:
+        def counts(g: Column) -> Column:
+            bags = []
+            for k, words, whole in dims.MARKERS:
+                n = F.regexp_count(g, F.lit(words))
+                bags.append(F.array_repeat(F.lit(k), n + F.regexp_count(f, F.lit(whole)) if whole else n))
+            return F.concat(*bags)
+
+        return let(spread_words(expanded(f)), counts)
+
+    return let(folded, of)
+
+
+def before_number(c: Column) -> Column:
+    """What stands before the first digit of a citation: its class and appeals."""
+    return F.regexp_extract(c, "^[^0-9]*", 0)
 
 
 def chain_distance(a: Column, b: Column) -> Column:
     """10 for each marker only one chain has, 1 for each difference in count."""
     def of(x: Column, y: Column) -> Column:
         out = 10 * (F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
-        for k, _ in dims.MARKERS:
+        for k, *_ in dims.MARKERS:
             out = out + F.abs(F.size(F.filter(x, lambda z: z == k)) - F.size(F.filter(y, lambda z: z == k)))
         return out
 
@@ -211,12 +241,15 @@ def chain_distance(a: Column, b: Column) -> Column:
 
 
 def class_code(text: Column) -> Column:
-    """Class of a citation: of the abbreviations and names in it the last one that isn't an appeal marker."""
+    """Class of a citation, from what stands before its number (a state follows it): the last abbreviation of a class, else the first name of one by preference."""
     codes = "|".join(c for c, _, _ in sorted(dims.CLASSES, key=lambda c: -len(c[0])))
-    spread = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[^A-Za-z]+", "  ")
-    short = F.regexp_extract_all(spread, F.lit(rf" ({codes}) "), F.lit(1))
-    named = let(fold(text), lambda f: F.coalesce(*[F.when(f.contains(name), F.lit(code)) for code, name, _ in dims.CLASSES]))
-    return F.coalesce(F.try_element_at(short, F.lit(-1)), named)
+
+    def of(left: Column) -> Column:
+        short = F.regexp_extract_all(F.regexp_replace(F.concat(F.lit(" "), left, F.lit(" ")), r"[^A-Za-z]+", "  "), F.lit(rf" ({codes}) "), F.lit(1))
+        named = let(expanded(fold(left)), lambda f: F.coalesce(*[F.when(f.contains(name), F.lit(code)) for code, name, _ in dims.CLASSES]))
+        return F.coalesce(F.try_element_at(short, F.lit(-1)), named)
+
+    return let(before_number(text), of)
 
 
 def class_courts(code: Column) -> Column:

@@ -6,57 +6,78 @@ reported by `unindexed`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeresolve import dims
 from citeresolve.functions import text as X
 
-HEADER_CNJ = r"([0-9]{1,7})\s*-\s*([0-9]{2})\.\s?([0-9]{4})\.([0-9])\.([0-9]{2})\.([0-9]{4})"
-HEADER_SHORT = r"(?:N[º°o]\.?\s*|RECLAMAÇÃO\s+|EXTRAORDINÁRIO\s+(?:COM\s+AGRAVO\s+)?|HABEAS\s+CORPUS\s+|AGRAVO\s+|RESCISÓRIA\s+|SEGURANÇA\s+|ESPECIAL\s+)([0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{2,8})(?:[^0-9.-]|$|\s)"
-SUMULA = r"(?iu)^\s*Súmula\s+(Vinculante\s+)?n\.?\s*([0-9]+)\s+d[oa]\s+([A-Za-z]+)"
-SUMULA_ANY = r"SÚMULA\s+([0-9]+)"
-ARTICLE = r"^\s*Artigo\s+([0-9]+)\S*\s+d[oa]\s+([^\n]+)"
+#: A long number: 14 to 20 digits with full stops, hyphens and spaces between them. A short one: groups of three digits, or two to eight digits.
+LONG = "[0-9][0-9. -]{13,29}[0-9]"
+FIRST = "(?:^|[^0-9./-])([0-9]{1,3}(?:[.][0-9]{3})+|[0-9]{2,8})(?:[^0-9.]|$)"
+#: Over folded first lines.
+STATEMENT = "^ ?sumula (vinculante )?(?:n[.o]* )?([0-9]+) (?:do|da) ([a-z]+)"
+STATEMENT_NUMBER = "sumula ([0-9]+)"
+STATUTE_ARTICLE = "^ ?artigo ([0-9][0-9.]*)[^ ]* (?:do|da) (.+)$"
 
 
-def sumulas(docs: DataFrame) -> DataFrame:
-    """(tribunal, numero, vinculante, doc_id): binding statements; of records with one key the last (greatest id) wins."""
-    s = docs.where("natureza = 'sumula'")
-    n = F.regexp_extract("texto", SUMULA, 2)
-    other = F.regexp_extract("texto", SUMULA_ANY, 1)
-    k = s.select(
-        F.coalesce(F.when(n != "", F.upper(F.regexp_extract("texto", SUMULA, 3))), F.when(other != "", F.col("tribunal"))).alias("tribunal"),
-        F.coalesce(F.nullif(n, F.lit("")), F.nullif(other, F.lit(""))).try_cast("int").alias("numero"),
-        (F.regexp_extract("texto", SUMULA, 1) != "").alias("vinculante"),
+def first_line() -> Column:
+    return X.fold(F.regexp_extract("texto", r"^\s*[^\n]*", 0))
+
+
+def text_number(c: Column) -> Column:
+    return F.nullif(F.replace(c, F.lit("."), F.lit("")), F.lit("")).try_cast("int")
+
+
+def statements(docs: DataFrame) -> DataFrame:
+    """(id, tribunal, numero, vinculante) of each binding statement, from its first line; else a number anywhere and the court's column."""
+    s = docs.where("natureza = 'sumula'").select("id", "tribunal", first_line().alias("f"), X.fold(F.col("texto")).alias("all"))
+    n, other = F.regexp_extract("f", STATEMENT, 2), F.regexp_extract("all", STATEMENT_NUMBER, 1)
+    return s.select(
         "id",
+        F.when(n != "", F.upper(F.regexp_extract("f", STATEMENT, 3))).when(other != "", F.col("tribunal")).alias("tribunal"),
+        text_number(F.when(n != "", n).otherwise(other)).alias("numero"),
+        (F.regexp_extract("f", STATEMENT, 1) != "").alias("vinculante"),
     )
-    k = k.where("tribunal IS NOT NULL AND numero IS NOT NULL")
+
+
+def sumulas(docs: DataFrame) -> DataFrame:
+    """(tribunal, numero, vinculante, doc_id): binding statements; of records with one key the last (greatest id) wins."""
+    k = statements(docs).where("tribunal IS NOT NULL AND numero IS NOT NULL")
     return k.groupBy("tribunal", "numero", "vinculante").agg(F.max("id").cast("string").alias("doc_id"))
 
 
+def statute_articles(docs: DataFrame) -> DataFrame:
+    """(id, diploma, artigo) of each statute article, from its first line; thousands may be set off by a full stop."""
+    d = docs.where("natureza = 'dispositivo'").select("id", first_line().alias("f"))
+    name = F.regexp_extract("f", STATUTE_ARTICLE, 2)
+    return d.select("id", X.diploma_key(name).alias("diploma"), text_number(F.regexp_extract("f", STATUTE_ARTICLE, 1)).alias("artigo"))
+
+
 def dispositivos(docs: DataFrame) -> DataFrame:
     """(diploma, artigo, doc_id): statute articles; the last record of a key wins."""
-    d = docs.where("natureza = 'dispositivo'").withColumn("f", X.fold(F.regexp_extract("texto", ARTICLE, 2)))
-    k = d.select(
-        X.diploma_key(F.col("f")).alias("diploma"),
-        F.nullif(F.regexp_extract("texto", ARTICLE, 1), F.lit("")).try_cast("int").alias("artigo"),
-        "id",
-    )
-    k = k.where("diploma IS NOT NULL AND artigo IS NOT NULL")
+    k = statute_articles(docs).where("diploma IS NOT NULL AND artigo IS NOT NULL")
     return k.groupBy("diploma", "artigo").agg(F.max("id").cast("string").alias("doc_id"))
 
 
 def rulings(docs: DataFrame) -> DataFrame:
-    """One row a ruling: own number (long form: seq, tail; short form: numero), state, appeal chain, class, year of four digits."""
+    """One row a ruling: own number (long form: seq, tail; short form: numero), state, appeal chain, class, year of four digits.
+
+    The own number is the first long one of the header - of what follows TST there, for that court - else the first short one of the
+    first line. Class and appeals are read from the line before it (for the labour court from the abbreviations before it), the state
+    from right behind it.
+    """
     r = docs.where("natureza NOT IN ('sumula', 'dispositivo') OR natureza IS NULL")
-    head = F.substring(X.unglue(F.col("texto")), 1, 1500)
-    r = r.withColumn("head", head)
-    labour = F.regexp_extract("head", rf"TST\s*-\s*(?:[A-Za-z]+\s*-\s*)*({HEADER_CNJ})", 1)
-    r = r.withColumn("cnj", F.when(F.col("tribunal") == "TST", F.nullif(labour, F.lit(""))).otherwise(F.nullif(F.regexp_extract("head", HEADER_CNJ, 0), F.lit(""))))
-    r = r.withColumn("cnj", F.coalesce("cnj", F.nullif(F.regexp_extract("head", HEADER_CNJ, 0), F.lit(""))))
-    short = F.nullif(F.regexp_extract(F.substring("head", 1, 800), HEADER_SHORT, 1), F.lit(""))
-    d = X.digits(F.col("cnj"))
-    line = F.regexp_extract("head", r"^[^\n]*", 0)
-    uf = F.regexp_extract(F.substring("head", 1, 800), r"[0-9]\s*[-–/]?\s*([A-Z]{2})\s*(?:\n|$)", 1)
+    r = r.withColumn("head", F.substring(X.unglue(F.col("texto")), 1, 1500)).withColumn("line", F.regexp_extract("head", r"^[^\n]*", 0))
+    at = F.when(F.col("tribunal").eqNullSafe("TST") & F.col("head").contains("TST"), F.expr("substring(head, locate('TST', head))")).otherwise(F.col("head"))
+    runs = F.regexp_extract_all(at, F.lit(LONG), F.lit(0))
+    r = r.withColumn("own", F.try_element_at(F.filter(runs, lambda x: F.length(X.digits(x)).between(14, 20)), F.lit(1)))
+    r = r.withColumn("short", F.when(F.col("own").isNull(), F.nullif(F.regexp_extract("line", FIRST, 1), F.lit(""))))
+    r = r.withColumn("num", F.coalesce("own", "short"))
+    r = r.withColumn("da", F.when(F.col("line").contains("TST-"), F.expr("substring(line, locate('TST-', line) + 3)")).otherwise(F.col("line")))
+    r = r.withColumn("antes", F.expr("CASE WHEN num IS NULL OR locate(num, da) = 0 THEN da ELSE substring(da, 1, locate(num, da) - 1) END"))
+    r = r.withColumn("uf", F.regexp_extract(F.expr("CASE WHEN locate(num, line) > 0 THEN substring(line, locate(num, line) + length(num)) END"), "^ ?[-–/]? ?([A-Z][A-Z])(?:[^A-Za-z]|$)", 1))
+    d = X.digits(F.col("own"))
     return r.select(
         F.col("id").cast("string").alias("doc_id"),
         "tribunal",
@@ -64,10 +85,10 @@ def rulings(docs: DataFrame) -> DataFrame:
         F.nullif(F.trim("relator"), F.lit("")).alias("relator"),
         X.cnj_seq(d).alias("seq"),
         X.cnj_tail(d).alias("tail"),
-        F.when(F.col("cnj").isNull(), X.short_key(X.digits(short))).alias("numero"),
-        F.when(X.trailing_uf(F.concat(F.lit("/"), uf)).isNotNull(), uf).alias("uf"),
-        X.appeal_chain(X.fold(line)).alias("chain"),
-        X.class_code(line).alias("classe"),
+        X.short_key(X.digits(F.col("short"))).alias("numero"),
+        F.when(F.col("uf").isin(dims.UFS), F.col("uf")).alias("uf"),
+        X.appeal_chain(X.fold(F.col("antes"))).alias("chain"),
+        F.coalesce(X.class_code(F.col("antes")), X.class_code(F.col("line"))).alias("classe"),
         F.substring("texto", 1, 4000).alias("inicio"),
     )
 
@@ -93,8 +114,6 @@ def terms(r: DataFrame) -> DataFrame:
 def unindexed(docs: DataFrame) -> DataFrame:
     """(id, natureza) of records without a key."""
     r = rulings(docs).where("seq IS NULL AND numero IS NULL").select(F.col("doc_id").cast("bigint").alias("id"))
-    n = F.regexp_extract("texto", SUMULA, 2)
-    s = docs.where("natureza = 'sumula'").where((n == "") & ((F.regexp_extract("texto", SUMULA_ANY, 1) == "") | F.col("tribunal").isNull())).select("id")
-    d = docs.where("natureza = 'dispositivo'").withColumn("f", X.fold(F.regexp_extract("texto", ARTICLE, 2)))
-    d = d.where((F.regexp_extract("texto", ARTICLE, 1) == "") | X.diploma_key(F.col("f")).isNull()).select("id")
+    s = statements(docs).where("tribunal IS NULL OR numero IS NULL").select("id")
+    d = statute_articles(docs).where("diploma IS NULL OR artigo IS NULL").select("id")
     return docs.select("id", "natureza").join(r.unionByName(s).unionByName(d), "id")

@@ -14,6 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from citeresolve import dims
 from citeresolve.functions.text import MOJIBAKE
@@ -93,13 +94,28 @@ _GLUED = (
 )
 
 
+#: Numbered lines from which a margin may be numbered, and the share of them that has to rise.
+LEAST_LINES, RISING = 5, 0.8
+
+
 def margin_numbers(text: str) -> set[int]:
     """Positions of line numbers in the margin: at least five lines begin with a number and two spaces, four fifths of them rising."""
     hits = [(m.start(1), m.end(1), int(m.group(1))) for m in re.finditer(r"(?m)^[ \t]*(\d{1,3})(?:  |\t)", text)]
-    if len(hits) < 5:
+    if len(hits) < LEAST_LINES:
         return set()
     rising = sum(b[2] > a[2] for a, b in zip(hits, hits[1:])) / (len(hits) - 1)
-    return {i for s, e, _ in hits for i in range(s, e)} if rising >= 0.8 else set()
+    return {i for s, e, _ in hits for i in range(s, e)} if rising >= RISING else set()
+
+
+def margin_profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, lines, rising, margin) of texts at least five lines of which begin with a number: how many do, what share of them is greater than the one before, and whether they number the margin."""
+    t = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct()
+    n = t.select("i", F.posexplode(F.split("t", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*[0-9]{1,3}(?:[^0-9]|$)"))
+    n = n.withColumn("k", F.regexp_extract("line", r"^\s*([0-9]{1,3})(?:[^0-9]|$)", 1).try_cast("int"))
+    g = n.withColumn("before", F.lag("k").over(Window.partitionBy("i").orderBy("pos")))
+    up = F.when(F.col("before").isNotNull(), F.when(F.col("k") > F.col("before"), 1.0).otherwise(0.0))
+    out = g.groupBy(F.col("i").alias(id_col)).agg(F.count("*").alias("lines"), F.round(F.coalesce(F.avg(up), F.lit(0.0)), 6).alias("rising"))
+    return out.where(F.col("lines") >= LEAST_LINES).withColumn("margin", F.col("rising") >= RISING)
 
 
 def clean(text: str, vocabulary: frozenset[str] = frozenset()) -> tuple[str, list[int]]:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeresolve import dims
+from citeresolve.functions import fuzzy
 from citeresolve.functions import text as X
+from citeresolve.session import materialize
 
 OUT = ["cit", "classificacao", "id_canonico", "confianca", "regra"]
 RELATOR_AFTER = r"^[^.;]{0,40}?Rel(?:ator[a]?)?\.?\s*(?:Min(?:istr[oa])?\.?)?\s*([A-ZÀ-Ö][^,;.()]{3,80})"
@@ -36,60 +38,97 @@ def labelled(df: DataFrame, rule: Column, doc_id: Column) -> DataFrame:
     return df.select("cit", cls.alias("classificacao"), F.when(F.col("regra").startswith("real"), doc_id).alias("id_canonico"), conf.alias("confianca"), "regra")
 
 
-def processes(m: DataFrame, rulings: DataFrame) -> DataFrame:
-    """Numbered cases: candidates by key, filters that let unknown values pass, best candidate by rank."""
-    n = X.locate_number(F.col("trecho"))
-    p = m.where("familia = 'processos'").withColumn("n", n)
-    d = F.col("n.digits")
-    tail_text = F.regexp_extract("trecho", r"[0-9](?:[^0-9]*)$", 0)
-    p = p.select(
-        "cit",
-        "contexto",
-        d.alias("digits"),
+#: A number broken off at the end of a citation: a last group of one or two digits, or the last part of a long number incomplete.
+BROKEN = r"[0-9]\.[0-9]{1,2}/?$|-[0-9]{2}\.[0-9]{4}\.[0-9](?:\.[0-9]{0,2}(?:\.[0-9]{0,3})?)?$"
+#: A citation broken off at its state.
+BROKEN_STATE = "/[A-Za-z]?$"
+
+
+#: A citation of a binding statement broken off at its court.
+BROKEN_COURT = " d[oa] ?[A-Z]{0,2}$"
+#: Digits and letters read for digits, with gaps.
+RUN = r"[0-9OolISBGgqZ|](?:[ .\-/]?[0-9OolISBGgqZ|])*"
+
+
+def other_number(trecho: Column) -> Column:
+    """The digits of the only number of a mention when it is read again, letters for digits and gaps included: one long number, else one short one (3 to 8 digits) that is no year; null if there are several."""
+    runs = F.transform(F.regexp_extract_all(trecho, F.lit(RUN), F.lit(0)), lambda x: F.struct(X.ocr_digits(x).alias("d"), F.regexp_count(x, F.lit("[0-9]")).alias("n")))
+    read = F.transform(F.filter(runs, lambda x: x["n"] * 2 >= F.length(x["d"])), lambda x: x["d"])
+    long, short = F.filter(read, lambda d: F.length(d).between(14, 20)), F.filter(read, lambda d: F.length(d).between(3, 8) & ~X.is_year(d))
+    return F.when(F.size(long) == 1, F.element_at(long, 1)).when((F.size(long) == 0) & (F.size(short) == 1), F.try_element_at(short, F.lit(1)))
+
+
+def features(m: DataFrame) -> DataFrame:
+    """What a numbered case says of itself: (trecho, depois, key, digits, fixes, again, broken, uf, chain, courts, named, rel), once for each text."""
+    after = F.col("depois") if "depois" in m.columns else F.lit(None).cast("string")
+    p = m.where("familia = 'processos'").select("trecho", "folded", after.alias("depois")).distinct().withColumn("n", X.locate_number(F.col("trecho")))
+    tail = F.concat(F.regexp_extract("trecho", r"[0-9](?:[^0-9]*)$", 0), F.coalesce("depois", F.lit("")))
+    again = other_number(F.col("trecho"))
+    return p.select(
+        F.xxhash64("trecho", "depois").alias("key"),
+        "trecho",
+        "depois",
+        F.col("n.digits").alias("digits"),
         F.coalesce("n.fixes", F.lit(0)).alias("fixes"),
-        X.cnj_seq(d).alias("seq"),
-        X.cnj_tail(d).alias("tail"),
-        F.when(X.cnj_seq(d).isNull(), X.short_key(d)).alias("numero"),
+        F.when(again != F.coalesce("n.digits", F.lit("")), again).alias("again"),
+        F.col("trecho").rlike(BROKEN).alias("broken"),
+        (F.col("trecho").rlike(BROKEN_STATE) | F.coalesce(F.col("depois").rlike("^/[A-Z]"), F.lit(False))).alias("no_state"),
         X.trailing_uf(F.col("trecho")).alias("uf"),
         X.appeal_chain(F.col("folded")).alias("chain"),
         X.class_courts(X.class_code(F.col("trecho"))).alias("courts"),
         X.courts_in(F.col("trecho")).alias("named"),
-        X.name_tokens(F.nullif(F.regexp_extract(tail_text, RELATOR_AFTER, 1), F.lit(""))).alias("rel"),
+        X.name_tokens(F.nullif(F.regexp_extract(tail, RELATOR_AFTER, 1), F.lit(""))).alias("rel"),
     )
-    r = rulings.select("doc_id", "seq", "tail", "numero", F.col("tribunal").alias("r_court"), F.col("uf").alias("r_uf"), F.col("chain").alias("r_chain"), F.col("relator").alias("r_rel"), "inicio")
-    long = p.where("seq IS NOT NULL").join(r.drop("numero"), ["seq", "tail"])
-    long = long.where(F.col("r_court").isNull() | F.col("r_court").eqNullSafe(X.cnj_justice(F.col("tail"))))
-    short = p.where("numero IS NOT NULL").join(r.drop("seq", "tail"), "numero")
-    both = long.select("cit", "contexto", "fixes", "uf", "chain", "courts", "named", "rel", "doc_id", "r_court", "r_uf", "r_chain", "r_rel", "inicio")
-    both = both.unionByName(short.select(*both.columns))
+
+
+def candidates(p: DataFrame, rulings: DataFrame) -> DataFrame:
+    """(key, again, doc_id, dist, other_rel) of the records with a mention's number - read anew (again) where the first reading has none -
+    that nothing it says rules out."""
+    ways = p.select("*", F.explode(F.array(F.struct(F.lit(0).alias("again_"), F.col("digits").alias("d")), F.struct(F.lit(1).alias("again_"), F.col("again").alias("d")))).alias("way"))
+    d = F.col("way.d")
+    ways = ways.select("key", "uf", "chain", "courts", "named", "rel", F.col("way.again_").alias("again"), X.cnj_seq(d).alias("seq"), X.cnj_tail(d).alias("tail"), F.when(X.cnj_seq(d).isNull(), X.short_key(d)).alias("numero"))
+    r = rulings.select("doc_id", "seq", "tail", "numero", F.col("tribunal").alias("r_court"), F.col("uf").alias("r_uf"), F.col("chain").alias("r_chain"), F.col("relator").alias("r_rel"))
+    long = ways.where("seq IS NOT NULL").drop("numero").join(r.where("seq IS NOT NULL").drop("numero"), ["seq", "tail"])
+    long = long.where(F.col("r_court").isNull() | F.col("r_court").eqNullSafe(X.cnj_justice(F.col("tail")))).drop("seq", "tail")
+    short = ways.where("numero IS NOT NULL").drop("seq", "tail").join(r.where("numero IS NOT NULL").drop("seq", "tail"), "numero").drop("numero")
     ok = (
         (F.col("courts").isNull() | F.col("r_court").isNull() | F.array_contains("courts", F.col("r_court")))
         & (F.col("uf").isNull() | F.col("r_uf").isNull() | (F.col("uf") == F.col("r_uf")))
         & ((F.size("named") == 0) | F.array_contains("named", F.col("r_court")))
     )
-    rel_tokens = X.name_tokens(F.col("r_rel"))
-    c = both.where(ok).select(
-        "cit",
-        "contexto",
-        "fixes",
-        "doc_id",
-        "inicio",
-        X.chain_distance(F.col("chain"), F.col("r_chain")).alias("dist"),
-        F.when(F.size("rel") > 0, F.coalesce(F.size(F.array_except("rel", rel_tokens)) > 0, F.lit(True))).otherwise(F.lit(False)).alias("other_rel"),
-    )
-    # rank() and the number of ties need no context terms; only ties are compared by terms
-    w = Window.partitionBy("cit").orderBy("dist", "other_rel")
-    top = c.withColumn("k", F.rank().over(w)).where("k = 1").withColumn("ties", F.count("*").over(Window.partitionBy("cit")))
-    common = F.when(F.col("ties") > 1, F.size(F.array_intersect(X.content_terms(F.col("contexto")), X.content_terms(F.col("inicio"))))).otherwise(0)
-    w2 = Window.partitionBy("cit").orderBy(F.desc("common"), F.col("doc_id").cast("bigint"))
-    best = top.withColumn("common", common).withColumn("k", F.row_number().over(w2)).where("k = 1").select("cit", "doc_id", "dist", "other_rel", "ties")
-    j = p.select("cit", "digits", "fixes").join(best, "cit", "left")
+    c = long.unionByName(short).where(ok)
+    other = F.when(F.size("rel") > 0, ~F.coalesce(fuzzy.name_matches("rel", X.name_tokens(F.col("r_rel"))), F.lit(False))).otherwise(F.lit(False))
+    return c.select("key", "again", "doc_id", X.chain_distance(F.col("chain"), F.col("r_chain")).alias("dist"), other.alias("other_rel"))
+
+
+def processes(m: DataFrame, rulings: DataFrame, salts: int = 8) -> DataFrame:
+    """Numbered cases: candidates by key, filters that let unknown values pass, best candidate by rank.
+
+    Mentions with one text are looked up once, so that a record cited over and over is joined once a text; the texts around the
+    mention and of the record are fetched only where several records are equally near.
+    """
+    p = materialize(features(m), "resolve-features")
+    w = Window.partitionBy("key").orderBy("again", "dist", "other_rel")
+    top = candidates(p, rulings).withColumn("k", F.rank().over(w)).where("k = 1").drop("k")
+    top = top.groupBy("key", "again", "dist", "other_rel").agg(F.collect_list("doc_id").alias("docs"))
+    after = F.col("depois") if "depois" in m.columns else F.lit(None).cast("string")
+    mine = m.where("familia = 'processos'").select("cit", F.xxhash64("trecho", after).alias("key"), F.pmod(F.xxhash64("cit"), F.lit(salts)).cast("int").alias("_s"))
+    known = p.drop("again").join(top, "key", "left").select("key", "digits", "fixes", "broken", "no_state", "again", "dist", "other_rel", "docs").withColumn("_s", F.explode(F.array(*map(F.lit, range(salts)))))
+    j = materialize(mine.join(known, ["key", "_s"]).drop("_s", "key"), "resolve-known")
+    tied = j.where("size(docs) > 1").select("cit", F.explode("docs").alias("doc_id"))
+    around = m.select("cit", X.content_terms(F.col("contexto")).alias("here"))
+    there = rulings.select("doc_id", X.content_terms(F.col("inicio")).alias("there"))
+    common = tied.join(around, "cit").join(there, "doc_id").select("cit", "doc_id", F.coalesce(F.size(F.array_intersect("here", "there")), F.lit(0)).alias("common"))
+    best = common.groupBy("cit").agg(F.min_by("doc_id", F.struct(-F.col("common"), F.col("doc_id").cast("bigint"))).alias("best"))
+    j = j.join(best, "cit", "left").withColumn("doc_id", F.coalesce("best", F.element_at("docs", 1)))
+    fixes = F.greatest("fixes", F.coalesce("again", F.lit(0)))
     rule = (
-        F.when(F.coalesce(F.length("digits"), F.lit(0)) == 0, "incompleta_sem_numero")
-        .when(F.col("doc_id").isNull(), F.when(F.col("fixes") > 0, "inventada_ocr").otherwise("inventada"))
+        F.when((F.coalesce(F.length("digits"), F.lit(0)) == 0) & F.col("doc_id").isNull() | F.col("broken"), "incompleta_sem_numero")
+        .when(F.col("no_state"), "incompleta_sem_numero")
+        .when(F.col("doc_id").isNull(), F.when(fixes > 0, "inventada_ocr").otherwise("inventada"))
         .when(F.col("other_rel"), "real_atributo_divergente")
-        .when(F.col("fixes") > 0, "real_ocr")
-        .when(F.col("ties") > 1, "real_duplicata")
+        .when(fixes > 0, "real_ocr")
+        .when(F.size("docs") > 1, "real_duplicata")
         .when(F.col("dist") > 0, "real_cadeia_divergente")
         .otherwise("real_exato")
     )
@@ -103,7 +142,8 @@ def sumula_mentions(m: DataFrame, table: DataFrame) -> DataFrame:
     clean = F.regexp_replace(F.translate(raw, "oli", "011"), r"\.", "")
     vinc = F.col("folded").contains("vinculante")
     court = F.when(F.size(X.courts_in(F.col("trecho"))) > 0, F.element_at(X.courts_in(F.col("trecho")), -1)).when(vinc, "STF")
-    s = s.select("cit", F.when(F.length(clean).between(1, 4), clean.try_cast("int")).alias("numero"), F.length(F.regexp_replace(raw, "[0-9.]", "")).alias("fixes"), vinc.alias("vinculante"), court.alias("tribunal"))
+    cut = F.col("trecho").rlike(BROKEN_COURT)
+    s = s.select("cit", F.when(~cut & F.length(clean).between(1, 4), clean.try_cast("int")).alias("numero"), F.length(F.regexp_replace(raw, "[0-9.]", "")).alias("fixes"), vinc.alias("vinculante"), court.alias("tribunal"))
     with_court = s.join(table, ["tribunal", "numero", "vinculante"], "left").where("tribunal IS NOT NULL")
     alone = table.where("NOT vinculante").groupBy("numero").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
     without = s.where("tribunal IS NULL").join(alone, "numero", "left").withColumn("doc_id", F.when(F.col("n") == 1, F.col("one")))
@@ -126,20 +166,46 @@ def article_mentions(m: DataFrame, table: DataFrame) -> DataFrame:
     return labelled(j, rule, F.col("doc_id"))
 
 
+def ends(words: Column) -> Column:
+    """The first and the last two letters of each word: two words one of which may be a misreading of the other share one of them."""
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.concat(F.lit("^"), F.substring(w, 1, 2)), F.concat(F.right(w, F.lit(2)), F.lit("$"))))))
+
+
+def described(m: DataFrame) -> DataFrame:
+    """(cit, tribunal, ano, classe, nome) of descriptive mentions, letters for digits in the year and capitals included."""
+    t = F.col("trecho")
+    courts = X.courts_in(t)
+    year = F.regexp_extract("trecho", r"(?:^|[^0-9A-Za-z])((?:19|[2Z][0O])[0-9OolISB]{2})(?:[^0-9A-Za-z]|$)", 1)
+    head = F.regexp_extract("trecho", r"(?i)^(.*?)(?:\b(?:stf|stj|tst|tse|stm)\b|19[0-9]{2}|20[0-9]{2}|relat|rel\.)", 1)
+    name = F.regexp_extract("trecho", r"(?i)(?:relatoria d[aeo]s?|rel\.|relatora?:?)\s+(.+)$", 1)
+    d = m.where("familia = 'descritivos'").select(
+        "cit", F.try_element_at(courts, F.lit(1)).alias("named"), F.nullif(X.ocr_digits(F.nullif(year, F.lit(""))), F.lit("")).try_cast("int").alias("ano"), X.class_code(head).alias("classe"), X.name_tokens(name).alias("nome")
+    )
+    # a class that the court named doesn't have filters nothing
+    possible = F.col("named").isNull() | F.coalesce(F.array_contains(X.class_courts(F.col("classe")), F.col("named")), F.lit(False))
+    by_class = F.when(F.col("classe") == "Rcl", F.array(F.lit("STF"), F.lit("STJ"))).otherwise(F.array(X.lookup(dims.CLASS_COURT, F.col("classe"))))
+    courts_ = F.array_compact(F.when(F.col("named").isNotNull(), F.array("named")).otherwise(by_class))
+    return d.select("cit", courts_.alias("tribunais"), "ano", F.when(possible, F.col("classe")).alias("classe"), "nome")
+
+
 def descriptive_mentions(m: DataFrame, rulings: DataFrame) -> DataFrame:
-    """Court, year and rapporteur: all words of the name cited must be in the record's; one record is real, none or several are incomplete."""
-    d = m.where("familia = 'descritivos'")
-    court = F.try_element_at(X.courts_in(F.col("trecho")), F.lit(1))
-    by_class = X.lookup(dims.CLASS_COURT, X.class_code(F.col("trecho")))
-    name = F.regexp_extract("trecho", r"(?:relatoria d[aeo]s?|Rel\.|Relatora?:?)\s+(.+)$", 1)
-    d = d.select("cit", F.coalesce(court, by_class).alias("tribunal"), F.regexp_extract("trecho", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int").alias("ano"), X.name_tokens(name).alias("nome"))
-    r = rulings.where("relator IS NOT NULL").select("tribunal", "ano", "doc_id", X.name_tokens(F.col("relator")).alias("r_nome"))
-    hit = d.where("size(nome) > 0").join(r, ["tribunal", "ano"]).where("size(array_except(nome, r_nome)) = 0")
-    n = hit.groupBy("cit").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id"))
-    j = d.join(n, "cit", "left")
+    """Court, year, rapporteur and class, if one is named: every word of the name cited must resemble one of the record's; one record is real, none or several are incomplete.
+
+    Distinct names are compared, and only those of one court and year that share the beginning or end of a word.
+    """
+    d = materialize(described(m), "resolve-described")
+    r = rulings.where("relator IS NOT NULL AND ano IS NOT NULL").select("tribunal", "ano", "doc_id", "classe", X.name_tokens(F.col("relator")).alias("r_nome"))
+    asked = d.where("size(nome) > 0 AND ano IS NOT NULL").select(F.explode("tribunais").alias("tribunal"), "ano", "nome").distinct()
+    known = r.select("tribunal", "ano", "r_nome").distinct()
+    x, y = asked.withColumn("_e", F.explode(ends(F.col("nome")))), known.withColumn("_e", F.explode(ends(F.col("r_nome"))))
+    alike = x.join(y, ["tribunal", "ano", "_e"]).select("tribunal", "ano", "nome", "r_nome").distinct().where(fuzzy.name_matches("nome", "r_nome"))
+    records = alike.join(r, ["tribunal", "ano", "r_nome"]).groupBy("tribunal", "ano", "nome").agg(F.collect_set(F.struct("doc_id", "classe")).alias("found"))
+    hit = d.select("cit", F.explode("tribunais").alias("tribunal"), "ano", "nome", F.col("classe").alias("c")).join(records, ["tribunal", "ano", "nome"])
+    hit = hit.withColumn("found", F.filter("found", lambda x: F.col("c").isNull() | (x["classe"] == F.col("c")))).groupBy("cit").agg(F.sum(F.size("found")).alias("n"), F.min(F.try_element_at("found.doc_id", F.lit(1))).alias("doc_id"))
+    j = d.join(hit, "cit", "left")
     rule = (
-        F.when(F.col("tribunal").isNull() | F.col("ano").isNull() | (F.size("nome") < 1), "incompleta_sem_numero")
-        .when(F.col("n").isNull(), "incompleta_descritiva_sem_registro")
+        F.when((F.size("tribunais") == 0) | F.col("ano").isNull() | (F.size("nome") < 1), "incompleta_sem_numero")
+        .when(F.coalesce("n", F.lit(0)) == 0, "incompleta_descritiva_sem_registro")
         .when(F.col("n") == 1, "real_descritiva")
         .otherwise("incompleta_descritiva")
     )
@@ -151,10 +217,20 @@ def topic_mentions(m: DataFrame) -> DataFrame:
     return labelled(m.where("familia = 'temas'"), F.lit("inventada"), F.lit(None).cast("string"))
 
 
+FAMILIES = ("processos", "sumulas", "artigos", "descritivos", "temas")
+
+
 def resolve(mentions: DataFrame, rulings: DataFrame, sumulas: DataFrame, dispositivos: DataFrame) -> DataFrame:
-    """(cit, classificacao, id_canonico, confianca, regra) of every mention (cit, trecho, tipo, contexto)."""
+    """(cit, classificacao, id_canonico, confianca, regra) of every mention (cit, trecho, tipo, contexto[, depois]).
+
+    A mention that can't be read (no text) is incomplete by the rule erro_interno; it takes no other with it.
+    """
     m = family(mentions)
-    parts = [processes(m, rulings), sumula_mentions(m, sumulas), article_mentions(m, dispositivos), descriptive_mentions(m, rulings), topic_mentions(m)]
+    known = F.col("familia").isin(*FAMILIES) & F.col("trecho").isNotNull()
+    failed = labelled(m.where(~F.coalesce(known, F.lit(False))), F.lit("erro_interno"), F.lit(None).cast("string"))
+    m = materialize(m.where(known), "resolve-mentions")
+    r = materialize(rulings, "resolve-rulings")
+    parts = [processes(m, r), sumula_mentions(m, sumulas), article_mentions(m, dispositivos), descriptive_mentions(m, r), topic_mentions(m), failed]
     out = parts[0].select(*OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*OUT))
@@ -162,11 +238,9 @@ def resolve(mentions: DataFrame, rulings: DataFrame, sumulas: DataFrame, disposi
 
 
 def retry(mentions: DataFrame, rulings: DataFrame) -> DataFrame:
-    """Second reading of numbers without a record: exactly one other number in the mention, of three to eight digits and no year, is looked up."""
-    groups = F.regexp_extract_all("trecho", F.lit(r"[0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})+|[0-9]{3,8}"), F.lit(0))
-    nums = F.array_distinct(F.filter(F.transform(groups, X.ocr_digits), lambda x: ~X.is_year(x)))
-    p = mentions.select("cit", F.size(nums).alias("n"), F.try_element_at(nums, F.lit(-1)).try_cast("bigint").alias("numero"))
-    return p.where("n = 1").join(rulings.where("numero IS NOT NULL").select("numero", "doc_id"), "numero").groupBy("cit").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """(cit, doc_id, n): records of the short number that mentions without a record have when they are read again."""
+    p = mentions.select("cit", X.short_key(other_number(F.col("trecho"))).alias("numero")).where("numero IS NOT NULL")
+    return p.join(rulings.where("numero IS NOT NULL").select("numero", "doc_id"), "numero").groupBy("cit").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
 def unanimous(df: DataFrame, key: str, value: list[str]) -> DataFrame:

@@ -25,10 +25,9 @@ def items(raw: DataFrame) -> DataFrame:
 
 
 def grounded(df: DataFrame) -> Column:
-    """Guards: the digits of a reading must come from its piece, its court and year from the piece's text."""
+    """Guards: the number of a reading must be a whole number of its piece, its year stand in it, topics and statements be called so."""
     f = X.fold(F.col("trecho"))
-    own = X.ocr_digits(F.col("trecho"))
-    number = F.col("numero").isNull() | own.contains(X.digits(F.col("numero")))
+    number = F.col("numero").isNull() | F.array_contains(fuzzy.numbers_in("trecho"), X.digits(F.col("numero")))
     year = F.col("ano").isNull() | F.col("trecho").contains(F.col("ano").cast("string"))
     topic = (F.col("tipo") != "tema") | f.contains("tema")
     statement = (F.col("tipo") != "sumula") | f.rlike("sumula|sum\\.|enunciado")

@@ -36,7 +36,8 @@ def cits(spark: SparkSession, d: str) -> DataFrame:
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("documento_id", "text")
     c = cits(spark, d).join(docs, "documento_id", "left")
-    return c.select("cit", "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"))
+    after = F.substring(F.col("text"), F.col("fim") + 1, F.lit(160))
+    return c.select("cit", "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"), after.alias("depois"))
 
 
 def keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,15 +74,11 @@ def mojibake_text(spark, d):
 @query(r"""
 WITH l AS (SELECT trecho_id, unnest(string_split(trecho, chr(10))) AS line, generate_subscripts(string_split(trecho, chr(10)), 1) AS pos FROM (SELECT DISTINCT trecho_id, trecho FROM txt WHERE trecho IS NOT NULL)),
 n AS (SELECT trecho_id, pos, try_cast(regexp_extract(line, '^\s*([0-9]{1,3})(?:[^0-9]|$)', 1) AS INT) AS k FROM l WHERE regexp_matches(line, '^\s*[0-9]{1,3}(?:[^0-9]|$)')),
-g AS (SELECT trecho_id, k, lag(k) OVER (PARTITION BY trecho_id ORDER BY pos) AS before FROM n)
-SELECT trecho_id, count(*) AS lines, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN CASE WHEN k > before THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS rising FROM g GROUP BY trecho_id HAVING count(*) >= 5""")
+g AS (SELECT trecho_id, k, lag(k) OVER (PARTITION BY trecho_id ORDER BY pos) AS before FROM n),
+r AS (SELECT trecho_id, count(*) AS lines, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN CASE WHEN k > before THEN 1.0 ELSE 0.0 END END), 0.0), 6) AS rising FROM g GROUP BY trecho_id)
+SELECT *, rising >= 0.8 AS margin FROM r WHERE lines >= 5""")
 def margin_number_rows(spark, d):
-    t = table(spark, d, "txt").where("trecho IS NOT NULL").select("trecho_id", "trecho").distinct()
-    n = t.select("trecho_id", F.posexplode(F.split("trecho", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*[0-9]{1,3}(?:[^0-9]|$)"))
-    n = n.withColumn("k", F.regexp_extract("line", r"^\s*([0-9]{1,3})(?:[^0-9]|$)", 1).try_cast("int"))
-    g = n.withColumn("before", F.lag("k").over(Window.partitionBy("trecho_id").orderBy("pos")))
-    up = F.when(F.col("before").isNotNull(), F.when(F.col("k") > F.col("before"), 1.0).otherwise(0.0))
-    return g.groupBy("trecho_id").agg(F.count("*").alias("lines"), F.round(F.coalesce(F.avg(up), F.lit(0.0)), 6).alias("rising")).where("lines >= 5")
+    return extract.margin_profile(table(spark, d, "txt"), "trecho_id", "trecho")
 
 
 @query(f"SELECT doc_id, md5({S.fold('text')}) AS hash, len({S.terms('text')})::BIGINT AS terms FROM documents WHERE text IS NOT NULL")
@@ -220,10 +217,13 @@ def canon_rulings(spark, d):
     return r.select("doc_id", "tribunal", "ano", "relator", "seq", "tail", "numero", "uf", joined("chain").alias("chain"), "classe")
 
 
-SUM_SQL = f"""sk AS (SELECT coalesce(CASE WHEN n <> '' THEN upper(t) END, CASE WHEN o <> '' THEN tribunal END) AS tribunal, try_cast(coalesce(nullif(n, ''), nullif(o, '')) AS INT) AS numero, v <> '' AS vinculante, id
-  FROM (SELECT *, regexp_extract(texto, {S.rx(canon.SUMULA)}, 2) AS n, regexp_extract(texto, {S.rx(canon.SUMULA)}, 3) AS t, regexp_extract(texto, {S.rx(canon.SUMULA)}, 1) AS v, regexp_extract(texto, {S.rx(canon.SUMULA_ANY)}, 1) AS o FROM documentos WHERE natureza = 'sumula')),
+SUM_SQL = f"""s_l AS (SELECT id, tribunal, {S.fold("string_split(ltrim(texto, chr(10) || chr(32)), chr(10))[1]")} AS f, {S.fold("texto")} AS t FROM documentos WHERE natureza = 'sumula'),
+sk AS (SELECT id, CASE WHEN f LIKE 'sumula%' AND regexp_matches(f, '[0-9] d[oa] [a-z]') THEN upper(regexp_extract(f, '[0-9] d[oa] ([a-z]+)', 1)) WHEN regexp_matches(t, 'sumula [0-9]') THEN tribunal END AS tribunal,
+  try_cast(CASE WHEN f LIKE 'sumula%' AND regexp_matches(f, '[0-9] d[oa] [a-z]') THEN regexp_extract(f, '([0-9]+) d[oa] ', 1) ELSE regexp_extract(t, 'sumula ([0-9]+)', 1) END AS INT) AS numero, f LIKE 'sumula vinculante %' AS vinculante FROM s_l),
 sumulas_k AS (SELECT tribunal, numero, vinculante, cast(max(id) AS VARCHAR) AS doc_id FROM sk WHERE tribunal IS NOT NULL AND numero IS NOT NULL GROUP BY 1, 2, 3)"""
-ART_SQL = f"""dk AS (SELECT {S.diploma(S.fold(f"regexp_extract(texto, {S.rx(canon.ARTICLE)}, 2)"))} AS diploma, try_cast(nullif(regexp_extract(texto, {S.rx(canon.ARTICLE)}, 1), '') AS INT) AS artigo, id FROM documentos WHERE natureza = 'dispositivo'),
+ART_SQL = f"""d_l AS (SELECT id, {S.fold("string_split(ltrim(texto, chr(10) || chr(32)), chr(10))[1]")} AS f FROM documentos WHERE natureza = 'dispositivo'),
+d_m AS (SELECT id, try_cast(replace(regexp_extract(string_split(f, ' ')[2], '^[0-9][0-9.]*'), '.', '') AS INT) AS artigo, array_to_string(string_split(f, ' ')[4:], ' ') AS nome FROM d_l WHERE f LIKE 'artigo %'),
+dk AS (SELECT id, artigo, {S.diploma("nome")} AS diploma FROM d_m),
 dispositivos_k AS (SELECT diploma, artigo, cast(max(id) AS VARCHAR) AS doc_id FROM dk WHERE diploma IS NOT NULL AND artigo IS NOT NULL GROUP BY 1, 2)"""
 
 
@@ -250,24 +250,9 @@ def canon_relators(spark, d):
 
 # ---- resolution
 
-NUM = f"""p0 AS (SELECT cit, contexto, trecho, f, {S.raw_number('trecho')} AS raw FROM m WHERE familia = 'processos'),
-p1 AS (SELECT *, {S.ocr_digits('raw')} AS dg, coalesce(length(regexp_replace(raw, '[^A-Za-z|]', '', 'g')), 0) AS fixes FROM p0),
-p AS (SELECT cit, contexto, dg, fixes, {S.seq('dg')} AS seq, {S.tail('dg')} AS tail, CASE WHEN {S.seq('dg')} IS NULL THEN {S.short('dg')} END AS numero, {S.uf('trecho')} AS uf, {S.chain('f')} AS chain, {S.class_courts(S.class_code('trecho'))} AS courts, {S.courts('trecho')} AS named,
-  {S.name_tokens("regexp_extract(regexp_extract(trecho, '[0-9](?:[^0-9]*)$', 0), " + S.rx(resolve.RELATOR_AFTER) + ", 1)")} AS rel FROM p1),
-c0 AS (SELECT p.*, r.doc_id, r.tribunal AS r_court, r.uf AS r_uf, r.chain AS r_chain, r.relator AS r_rel, r.inicio_texto FROM p JOIN rulings r ON p.seq = r.seq AND p.tail = r.tail
-    WHERE r.tribunal IS NULL OR r.tribunal IS NOT DISTINCT FROM CASE substr(p.tail, 7, 1) WHEN '5' THEN 'TST' WHEN '6' THEN 'TSE' WHEN '7' THEN 'STM' END
-  UNION ALL SELECT p.*, r.doc_id, r.tribunal, r.uf, r.chain, r.relator, r.inicio_texto FROM p JOIN rulings r ON p.numero = r.numero),
-c1 AS (SELECT cit, contexto, fixes, doc_id, inicio_texto, {S.chain_distance('chain', 'r_chain')} AS dist, CASE WHEN len(rel) > 0 THEN coalesce(len(list_filter(rel, lambda x: NOT list_contains({S.name_tokens('r_rel')}, x))) > 0, TRUE) ELSE FALSE END AS other
-  FROM c0 WHERE (courts IS NULL OR r_court IS NULL OR list_contains(courts, r_court)) AND (uf IS NULL OR r_uf IS NULL OR uf = r_uf) AND (len(named) = 0 OR list_contains(named, r_court))),
-c2 AS (SELECT *, rank() OVER (PARTITION BY cit ORDER BY dist, other) AS k FROM c1), c3 AS (SELECT *, count(*) OVER (PARTITION BY cit) AS ties FROM c2 WHERE k = 1),
-c4 AS (SELECT *, CASE WHEN ties > 1 THEN len(list_intersect({S.terms('contexto')}, {S.terms('inicio_texto')})) ELSE 0 END AS common FROM c3),
-c5 AS (SELECT *, row_number() OVER (PARTITION BY cit ORDER BY common DESC, cast(doc_id AS BIGINT)) AS kk FROM c4),
-pj AS (SELECT p.cit, p.dg, p.fixes, b.doc_id, b.dist, b.other, b.ties FROM p LEFT JOIN (SELECT * FROM c5 WHERE kk = 1) b USING (cit))"""
-RULE_P = "CASE WHEN coalesce(length(dg), 0) = 0 THEN 'incompleta_sem_numero' WHEN doc_id IS NULL THEN CASE WHEN fixes > 0 THEN 'inventada_ocr' ELSE 'inventada' END WHEN other THEN 'real_atributo_divergente' WHEN fixes > 0 THEN 'real_ocr' WHEN ties > 1 THEN 'real_duplicata' WHEN dist > 0 THEN 'real_cadeia_divergente' ELSE 'real_exato' END"
-PROC_SQL = S.labelled(RULE_P, "doc_id", "pj")
 _RAWS = "regexp_extract(f, '(?:sumula|sum\\.|enunciado)[^0-9]{0,30}?([0-9oli]{1,3}(?:\\.[0-9oli]{3})+|[0-9oli]*[0-9][0-9oli]*)', 1)"
 _CL = f"regexp_replace(translate({_RAWS}, 'oli', '011'), '\\.', '', 'g')"
-SUMJ = f"""s0 AS (SELECT cit, CASE WHEN length({_CL}) BETWEEN 1 AND 4 THEN try_cast({_CL} AS INT) END AS numero, length(regexp_replace({_RAWS}, '[0-9.]', '', 'g')) AS fixes, contains(f, 'vinculante') AS vinculante,
+SUMJ = f"""s0 AS (SELECT cit, CASE WHEN NOT regexp_matches(trecho, ' d[oa] ?[A-Z]{{0,2}}$') AND length({_CL}) BETWEEN 1 AND 4 THEN try_cast({_CL} AS INT) END AS numero, length(regexp_replace({_RAWS}, '[0-9.]', '', 'g')) AS fixes, contains(f, 'vinculante') AS vinculante,
   CASE WHEN len({S.courts('trecho')}) > 0 THEN list_extract({S.courts('trecho')}, -1) WHEN contains(f, 'vinculante') THEN 'STF' END AS tribunal FROM m WHERE familia = 'sumulas'),
 alone AS (SELECT numero, count(*) AS n, min(doc_id) AS one FROM sumulas_k WHERE NOT vinculante GROUP BY numero),
 sj AS (SELECT s0.cit, s0.numero, fixes, k.doc_id, s0.tribunal, 0 AS n FROM s0 LEFT JOIN sumulas_k k USING (tribunal, numero, vinculante) WHERE s0.tribunal IS NOT NULL
@@ -277,22 +262,45 @@ SUMQ = S.labelled(RULE_S, "doc_id", "sj")
 ARTJ = f"""a0 AS (SELECT cit, {S.diploma('f')} AS diploma, {S.article('trecho')} AS artigo FROM m WHERE familia = 'artigos'), aj AS (SELECT a0.*, k.doc_id FROM a0 LEFT JOIN dispositivos_k k USING (diploma, artigo))"""
 RULE_A = "CASE WHEN diploma IS NULL OR artigo IS NULL THEN 'incompleta_sem_numero' WHEN doc_id IS NULL THEN 'inventada' ELSE 'real_exato' END"
 ARTQ = S.labelled(RULE_A, "doc_id", "aj")
-_BYCLASS = f"CASE {S.class_code('trecho')} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.CLASS_COURT.items()) + " END"
 _NAME = "regexp_extract(trecho, '(?:relatoria d[aeo]s?|Rel\\.|Relatora?:?)\\s+(.+)$', 1)"
-DESJ = f"""d0 AS (SELECT cit, coalesce(list_extract({S.courts('trecho')}, 1), {_BYCLASS}) AS tribunal, try_cast(regexp_extract(trecho, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) AS INT) AS ano, {S.name_tokens(_NAME)} AS nome FROM m WHERE familia = 'descritivos'),
-dr AS (SELECT tribunal, ano, doc_id, {S.name_tokens('relator')} AS r_nome FROM rulings WHERE relator IS NOT NULL),
-dn AS (SELECT cit, count(DISTINCT doc_id) AS n, min(doc_id) AS doc_id FROM d0 JOIN dr USING (tribunal, ano) WHERE len(nome) > 0 AND len(list_filter(nome, lambda x: NOT list_contains(r_nome, x))) = 0 GROUP BY cit),
-dj AS (SELECT d0.*, dn.n, dn.doc_id FROM d0 LEFT JOIN dn USING (cit))"""
-RULE_D = "CASE WHEN tribunal IS NULL OR ano IS NULL OR len(nome) < 1 THEN 'incompleta_sem_numero' WHEN n IS NULL THEN 'incompleta_descritiva_sem_registro' WHEN n = 1 THEN 'real_descritiva' ELSE 'incompleta_descritiva' END"
-DESQ = S.labelled(RULE_D, "doc_id", "dj")
 TOPQ = S.labelled("'inventada'", "CAST(NULL AS VARCHAR)", "(SELECT cit FROM m WHERE familia = 'temas')")
-ALL_WITH = f"WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS}, {SUM_SQL}, {ART_SQL}, {NUM}, {SUMJ}, {ARTJ}, {DESJ}"
-RESOLVED = f"SELECT * FROM ({PROC_SQL}) UNION ALL SELECT * FROM ({SUMQ}) UNION ALL SELECT * FROM ({ARTQ}) UNION ALL SELECT * FROM ({DESQ}) UNION ALL SELECT * FROM ({TOPQ})"
+#: The labels of listed citations, but for those of descriptive mentions: which of these is labelled real does not depend on the records it describes.
+GOLD = "g AS (SELECT cit, tipo, trecho, classificacao, id_canonico FROM cit WHERE NOT regexp_matches(trecho, '(?i)relatoria'))"
+
 
+def undescribed(df: DataFrame) -> DataFrame:
+    return df.where(~F.col("trecho").rlike("(?i)relatoria"))
 
-@query(f"WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS}, {NUM} {PROC_SQL}")
+
+@query(f"WITH {S.CIT}, {GOLD} SELECT cit, classificacao, id_canonico FROM g WHERE tipo = 'jurisprudencia' AND NOT regexp_matches(nfc_normalize(trecho), '(?i)^tema|s[úu]m')")
 def resolve_process(spark, d):
-    return resolve.processes(resolve.family(mentions(spark, d)), keys(spark, d)[0])
+    """Numbered cases, against their labels."""
+    m = resolve.family(undescribed(mentions(spark, d)))
+    return resolve.processes(m, keys(spark, d)[0]).select("cit", "classificacao", "id_canonico")
+
+
+@query(f"WITH {S.CIT}, {GOLD} SELECT cit, classificacao, id_canonico FROM g")
+def resolve_gold(spark, d):
+    """Class and record of every listed citation but descriptive ones, against their labels."""
+    r = resolve.resolve(mentions(spark, d), *keys(spark, d)).select("cit", "classificacao", "id_canonico")
+    return undescribed(cits(spark, d)).select("cit").join(r, "cit")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT doc_id, classe, array_to_string(list_sort(chain), ' ') AS chain FROM records WHERE natureza = 'acordao' AND classe IS NOT NULL)
+SELECT * FROM r""")
+def canon_gold(spark, d):
+    """Class and appeals read from the headers of rulings, against the records' columns."""
+    k = table(spark, d, "records").where("natureza = 'acordao' AND classe IS NOT NULL").select("doc_id").distinct()
+    return keys(spark, d)[0].join(k, "doc_id").select("doc_id", "classe", joined("chain").alias("chain"))
+
+
+@query("SELECT 'sumula' AS kind, tribunal || ' ' || numero || ' ' || vinculante AS key, doc_id FROM sumulas UNION ALL SELECT 'dispositivo', diploma || ' ' || artigo, doc_id FROM dispositivos")
+def canon_keys_gold(spark, d):
+    """Keys of statements and statute articles read from their headers, against the tables of keys."""
+    _, s, a = keys(spark, d)
+    one = s.select(F.lit("sumula").alias("kind"), F.concat_ws(" ", "tribunal", F.col("numero").cast("string"), F.col("vinculante").cast("string")).alias("key"), "doc_id")
+    return one.unionByName(a.select(F.lit("dispositivo").alias("kind"), F.concat_ws(" ", "diploma", F.col("artigo").cast("string")).alias("key"), "doc_id"))
 
 
 @query(f"WITH {S.CIT}, {S.MENTIONS}, {SUM_SQL}, {SUMJ} {SUMQ}")
@@ -305,7 +313,7 @@ def resolve_article(spark, d):
     return resolve.article_mentions(resolve.family(mentions(spark, d)), keys(spark, d)[2])
 
 
-@query(f"WITH {S.CIT}, {S.MENTIONS}, {S.RULINGS}, {DESJ} {DESQ}")
+@query()
 def resolve_descriptive(spark, d):
     return resolve.descriptive_mentions(resolve.family(mentions(spark, d)), keys(spark, d)[0])
 
@@ -315,21 +323,27 @@ def resolve_topic(spark, d):
     return resolve.topic_mentions(resolve.family(mentions(spark, d)))
 
 
-@query(f"{ALL_WITH}, r AS ({RESOLVED}) SELECT classificacao, regra, count(*) AS n, count(DISTINCT id_canonico) AS records FROM r GROUP BY ROLLUP (classificacao, regra)")
+@query(f"WITH {S.CIT}, {GOLD} SELECT tipo, classificacao, count(*) AS n, count(DISTINCT id_canonico) AS records FROM g GROUP BY ROLLUP (tipo, classificacao)")
 def resolve_summary(spark, d):
-    r = resolve.resolve(mentions(spark, d), *keys(spark, d))
-    return r.rollup("classificacao", "regra").agg(F.count("*").alias("n"), F.count_distinct("id_canonico").alias("records"))
+    """Counts of classes and records of all listed citations but descriptive ones, against their labels."""
+    r = resolve.resolve(mentions(spark, d), *keys(spark, d)).drop("tipo")
+    j = undescribed(cits(spark, d)).select("cit", "tipo").join(r, "cit")
+    return j.rollup("tipo", "classificacao").agg(F.count("*").alias("n"), F.count_distinct("id_canonico").alias("records"))
+
+
+_RUNS = f"list_transform(regexp_extract_all(trecho, {S.q(resolve.RUN)}), lambda x: {{'d': {S.ocr_digits('x')}, 'n': len(regexp_extract_all(x, '[0-9]'))}})"
 
 
 @query(f"""
-WITH {S.CIT}, {S.RULINGS}, n0 AS (SELECT cit, list_distinct(list_filter(list_transform(regexp_extract_all(trecho, '[0-9OolIS]{{1,3}}(?:\\.[0-9OolIS]{{3}})+|[0-9]{{3,8}}', 0), lambda x: {S.ocr_digits('x')}), lambda x: NOT regexp_matches(x, '^(19|20)[0-9]{{2}}$'))) AS nums FROM cit WHERE regra IS NULL OR regra LIKE 'inventada%')
-SELECT n0.cit, min(r.doc_id) AS doc_id, count(*) AS n FROM n0 JOIN rulings r ON r.numero = try_cast(list_extract(nums, -1) AS BIGINT) WHERE len(nums) = 1 GROUP BY n0.cit""")
+WITH {S.CIT}, {S.RULINGS}, n0 AS (SELECT cit, list_transform(list_filter({_RUNS}, lambda y: y.n * 2 >= length(y.d)), lambda y: y.d) AS nums FROM cit WHERE regra IS NULL OR regra LIKE 'inventada%'),
+n1 AS (SELECT cit, list_filter(nums, lambda y: length(y) BETWEEN 14 AND 20) AS l, list_filter(nums, lambda y: length(y) BETWEEN 3 AND 8 AND NOT regexp_matches(y, '^(19|20)[0-9]{{2}}$')) AS s FROM n0)
+SELECT n1.cit, min(r.doc_id) AS doc_id, count(*) AS n FROM n1 JOIN rulings r ON r.numero = try_cast(s[1] AS BIGINT) WHERE len(l) = 0 AND len(s) = 1 GROUP BY n1.cit""")
 def resolve_retry(spark, d):
     return resolve.retry(cits(spark, d).where("regra IS NULL OR regra LIKE 'inventada%'"), keys(spark, d)[0])
 
 
 @query(f"""
-WITH {S.CIT}, {S.RULINGS} SELECT c.cit, {S.chain_distance(S.chain(S.fold('c.trecho')), 'r.chain')}::INT AS dist FROM cit c JOIN rulings r ON c.id_canonico = r.doc_id""")
+WITH {S.CIT}, {S.RULINGS}, c AS (SELECT cit, id_canonico, {S.chain(S.fold('trecho'))} AS chain FROM cit) SELECT c.cit, {S.chain_distance('c.chain', 'r.chain')}::INT AS dist FROM c JOIN rulings r ON c.id_canonico = r.doc_id""")
 def chain_distances(spark, d):
     r = keys(spark, d)[0].select(F.col("doc_id").alias("id_canonico"), F.col("chain").alias("r_chain"))
     return cits(spark, d).join(r, "id_canonico").select("cit", X.chain_distance(X.appeal_chain(X.fold(F.col("trecho"))), F.col("r_chain")).cast("int").alias("dist"))
@@ -366,9 +380,8 @@ def relator_subset(spark, d):
 WITH i AS (SELECT DISTINCT documento_id, trecho, coalesce(numero, '') AS numero, coalesce(tribunal, '') AS tribunal FROM llm_items)
 SELECT documento_id, trecho, min(numero) AS numero FROM i GROUP BY documento_id, trecho HAVING count(DISTINCT numero) = 1""")
 def unanimity_vote(spark, d):
-    i = table(spark, d, "llm_items").select("documento_id", "trecho", F.coalesce("numero", F.lit("")).alias("numero"))
-    g = i.groupBy("documento_id", "trecho").agg(F.count_distinct("numero").alias("k"), F.min("numero").alias("numero"))
-    return g.where("k = 1").select("documento_id", "trecho", "numero")
+    i = table(spark, d, "llm_items").select(F.struct("documento_id", "trecho").alias("k"), F.coalesce("numero", F.lit("")).alias("numero"))
+    return resolve.unanimous(i, "k", ["numero"]).select("k.documento_id", "k.trecho", "numero")
 
 
 @query(f"""
@@ -505,7 +518,8 @@ def extract_and_resolve(spark, d):
     docs = table(spark, d, "documents").select("documento_id", "text")
     s = materialize(extract.extract(docs, "documento_id", "text"), "spans")
     cit = F.concat_ws(":", "documento_id", F.col("inicio").cast("string"), F.col("fim").cast("string"))
-    m = s.join(docs, "documento_id").select(cit.alias("cit"), "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"))
+    after = F.substring(F.col("text"), F.col("fim") + 1, F.lit(160))
+    m = s.join(docs, "documento_id").select(cit.alias("cit"), "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"), after.alias("depois"))
     r = resolve.resolve(m, *keys(spark, d))
     return s.withColumn("cit", cit).join(r, "cit").drop("cit")
 

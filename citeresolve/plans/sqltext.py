@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from citeresolve import dims
 from citeresolve.functions import text as X
-from citeresolve.operators import canon
 
 
 def q(s: str) -> str:
@@ -62,25 +61,43 @@ def uf(e: str) -> str:
 
 
 def year4(y: str) -> str:
-    return f"CASE WHEN {y} BETWEEN 0 AND 30 THEN {y} + 2000 WHEN {y} BETWEEN 31 AND 99 THEN {y} + 1900 WHEN {y} BETWEEN 1000 AND 9999 THEN {y} END"
+    return f"CASE WHEN {y} BETWEEN 0 AND 29 THEN {y} + 2000 WHEN {y} BETWEEN 30 AND 99 THEN {y} + 1900 WHEN {y} BETWEEN 1000 AND 9999 THEN {y} END"
+
+
+def expanded(f: str) -> str:
+    for short, word in dims.ABBREVIATIONS:
+        f = f"regexp_replace({f}, '(^|[^a-z]){short}\\. ?', '\\1{word} ', 'g')"
+    return f
 
 
 def chain(f: str) -> str:
-    bags = [f"list_transform(range(len(regexp_extract_all({f}, {rx('(?:^|[^a-z])(?:' + p + ')')}))), lambda x: {q(k)})" for k, p in dims.MARKERS]
-    return f"list_sort({' || '.join(bags)})"
+    """Counted word by word, and by what removing a phrase takes away."""
+    one = {"AGINT": ["agint"], "AGRG": ["agrg", "agr"], "ED": ["edcl", "ed", "eds"], "EDV": ["edv"], "PEXT": ["pext"]}
+    more = {"AGINT": ["ag int", "agravo interno"], "AGRG": ["ag reg", "agravo regimental"], "ED": ["embargos de declaracao", "embargos declaracao"], "EDV": ["embargos de divergencia", "embargos divergencia", "recurso de embargos"]}
+    bags = []
+    for k in ("AGINT", "AGRG", "ED", "EDV", "PEXT"):
+        n = [f"len(list_filter(_w, lambda x: x = {q(x)}))" for x in one.get(k, [])]
+        n += [f"((length(_t) - length(replace(_t, {q(' ' + x + ' ')}, ''))) // {len(x) + 2})" for x in more.get(k, [])]
+        if k == "AGINT":
+            n.append("len(regexp_extract_all(_f, '(?:^|[^a-z])ag-'))")
+        if k == "EDV":
+            n.append("len(regexp_extract_all(_f, '(?:^|[ -])e-[a-z]'))")
+        bags.append(f"list_transform(range(({' + '.join(n)})::INT), lambda x: {q(k)})")
+    return f"(SELECT {' || '.join(bags)} FROM (SELECT _f, _w, ' ' || array_to_string(_w, ' ') || ' ' AS _t FROM (SELECT _f, list_filter(string_split(regexp_replace({expanded('_f')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS _w FROM (SELECT {f} AS _f))))"
 
 
 def chain_distance(a: str, b: str) -> str:
     sets = f"len(list_filter(list_distinct({a}), lambda x: NOT list_contains({b}, x))) + len(list_filter(list_distinct({b}), lambda x: NOT list_contains({a}, x)))"
-    bags = " + ".join(f"abs(len(list_filter({a}, lambda x: x = {q(k)})) - len(list_filter({b}, lambda x: x = {q(k)})))" for k, _ in dims.MARKERS)
+    bags = " + ".join(f"abs(len(list_filter({a}, lambda x: x = {q(k)})) - len(list_filter({b}, lambda x: x = {q(k)})))" for k, *_ in dims.MARKERS)
     return f"(10 * ({sets}) + {bags})"
 
 
 def class_code(e: str) -> str:
     codes = "|".join(c for c, _, _ in sorted(dims.CLASSES, key=lambda c: -len(c[0])))
-    spread = f"regexp_replace(' ' || {e} || ' ', '[^A-Za-z]+', '  ', 'g')"
-    case = " ".join(f"WHEN contains({fold(e)}, {q(n)}) THEN {q(c)}" for c, n, _ in dims.CLASSES)
-    return f"coalesce(list_extract(regexp_extract_all({spread}, ' ({codes}) ', 1), -1), CASE {case} END)"
+    left = f"regexp_extract({e}, '^[^0-9]*', 0)"
+    spread = f"regexp_replace(' ' || {left} || ' ', '[^A-Za-z]+', '  ', 'g')"
+    case = " ".join(f"WHEN contains(_n, {q(n)}) THEN {q(c)}" for c, n, _ in dims.CLASSES)
+    return f"coalesce(list_extract(regexp_extract_all({spread}, ' ({codes}) ', 1), -1), (SELECT CASE {case} END FROM (SELECT {expanded(fold(left))} AS _n)))"
 
 
 def class_courts(code: str) -> str:
@@ -94,7 +111,7 @@ def courts(e: str) -> str:
 
 
 def year_text(e: str) -> str:
-    return f"CASE WHEN length({e}) = 4 THEN {e} WHEN length({e}) = 2 AND {e} <= '30' THEN '20' || {e} WHEN length({e}) = 2 THEN '19' || {e} END"
+    return f"CASE WHEN length({e}) = 4 THEN {e} WHEN length({e}) = 2 AND {e} < '30' THEN '20' || {e} WHEN length({e}) = 2 THEN '19' || {e} END"
 
 
 def diploma(f: str) -> str:
@@ -131,19 +148,18 @@ def iou(a0: str, a1: str, b0: str, b1: str) -> str:
 CIT = """cit AS (SELECT documento_id || ':' || inicio || ':' || fim AS cit, * FROM (
   SELECT *, row_number() OVER (PARTITION BY documento_id, inicio, fim ORDER BY processado_em DESC, coalesce(regra, '') DESC, coalesce(confianca, -1.0) DESC) AS _k FROM citacoes) WHERE _k = 1)"""
 
-HEAD = "(regexp_replace(substr(texto, 1, 1500), '([a-zà-ÿ])([A-ZÀ-Ö]{2})', '\\1 \\2', 'g') || substr(texto, 1501))"
-_H = "substr(_full, 1, 1500)"
-_TST = f"nullif(regexp_extract(head, {rx('TST\\s*-\\s*(?:[A-Za-z]+\\s*-\\s*)*(' + canon.HEADER_CNJ + ')')}, 1), '')"
-_CNJ = f"nullif(regexp_extract(head, {rx(canon.HEADER_CNJ)}, 0), '')"
-_D = "regexp_replace(cnj, '[^0-9]', '', 'g')"
-_LINE = "regexp_extract(head, '^[^\\n]*', 0)"
-_UF = "regexp_extract(substr(head, 1, 800), '[0-9]\\s*[-–/]?\\s*([A-Z]{2})\\s*(?:\\n|$)', 1)"
-_SHORT = f"nullif(regexp_extract(substr(head, 1, 800), {rx(canon.HEADER_SHORT)}, 1), '')"
-RULINGS = f"""rulings AS (
-  SELECT cast(id AS VARCHAR) AS doc_id, tribunal, {year4("ano")} AS ano, nullif(trim(relator), '') AS relator, {seq(_D)} AS seq, {tail(_D)} AS tail,
-    CASE WHEN cnj IS NULL THEN {short(f"regexp_replace({_SHORT}, '[^0-9]', '', 'g')")} END AS numero,
-    CASE WHEN {_UF} IN ({", ".join(map(q, dims.UFS))}) THEN {_UF} END AS uf, {chain(fold(_LINE))} AS chain, {class_code(_LINE)} AS classe, substr(texto, 1, 4000) AS inicio_texto
-  FROM (SELECT *, coalesce(CASE WHEN tribunal = 'TST' THEN {_TST} ELSE {_CNJ} END, {_CNJ}) AS cnj FROM (SELECT *, {_H} AS head FROM (SELECT *, {HEAD} AS _full FROM documentos WHERE natureza NOT IN ('sumula', 'dispositivo') OR natureza IS NULL))))"""
+#: Own numbers of rulings, cut out of the header by words and positions.
+_LONG = "[0-9][0-9. -]{13,29}[0-9]"
+_FIRST = "(?:^|[^0-9./-])([0-9]{1,3}(?:[.][0-9]{3})+|[0-9]{2,8})(?:[^0-9.]|$)"
+RULINGS = f"""rh AS (SELECT *, regexp_replace(substr(texto, 1, 1500), '([a-zà-ÿ])([A-ZÀ-Ö]{{2}})', '\\1 \\2', 'g') AS head FROM documentos WHERE natureza NOT IN ('sumula', 'dispositivo') OR natureza IS NULL),
+rl AS (SELECT *, string_split(head, chr(10))[1] AS line, list_filter(regexp_extract_all(CASE WHEN tribunal = 'TST' AND contains(head, 'TST') THEN substr(head, strpos(head, 'TST')) ELSE head END, '{_LONG}'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 14 AND 20)[1] AS own FROM rh),
+rn AS (SELECT *, regexp_replace(own, '[^0-9]', '', 'g') AS cnj, CASE WHEN own IS NULL THEN nullif(regexp_extract(line, '{_FIRST}', 1), '') END AS curto FROM rl),
+rp AS (SELECT *, coalesce(own, curto) AS num, CASE WHEN contains(line, 'TST-') THEN substr(line, strpos(line, 'TST-') + 3) ELSE line END AS da FROM rn),
+rq AS (SELECT *, CASE WHEN num IS NULL OR strpos(da, num) = 0 THEN da ELSE substr(da, 1, strpos(da, num) - 1) END AS antes, CASE WHEN strpos(line, num) > 0 THEN substr(line, strpos(line, num) + length(num)) END AS depois FROM rp),
+rulings AS (
+  SELECT cast(id AS VARCHAR) AS doc_id, tribunal, {year4("ano")} AS ano, nullif(trim(relator), '') AS relator, {seq("cnj")} AS seq, {tail("cnj")} AS tail, {short("replace(curto, '.', '')")} AS numero,
+    CASE WHEN regexp_extract(depois, '^ ?[-–/]? ?([A-Z][A-Z])(?:[^A-Za-z]|$)', 1) IN ({", ".join(map(q, dims.UFS))}) THEN regexp_extract(depois, '^ ?[-–/]? ?([A-Z][A-Z])(?:[^A-Za-z]|$)', 1) END AS uf,
+    {chain(fold("antes"))} AS chain, coalesce({class_code("antes")}, {class_code("line")}) AS classe, substr(texto, 1, 4000) AS inicio_texto FROM rq)"""
 
 CONF = "CASE regra " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in dims.CONFIDENCE.items()) + " END"
 

@@ -112,6 +112,38 @@ def test_resolution_scenarios(spark):
     assert resolved(spark, *want) == want
 
 
+def test_headers_of_other_shapes(spark):
+    rows = [
+        (1, "TSE", "acordao", 30, None, "RECURSO ORDINÁRIO Nº 839-42. 2010.6.19.0000/RO\nEMENTA."), (2, "TST", "acordao", None, None, "Vistos, relatados e discutidos estes autos de Recurso de revista nº TST-ED-Ag-RR-1000-10.2015.5.02.0001\nno autos 1-11.2011.5.01.0001"),
+        (3, "STF", "acordao", None, None, "AÇÃO RESCISÓRIA 2.614 DISTRITO FEDERAL\nRELATORA: X"), (4, "STJ", "acordao", None, None, "RECURSO ESPECIAL Nº 7.188.400 - RR"), (5, None, "dispositivo", None, None, "Artigo 1.022 do Código de Processo Civil"), (6, None, "dispositivo", None, None, "Artigo 5º da Constituição Federal"),
+        (7, "STJ", "sumula", None, None, "SÚMULA 7"), (8, None, "sumula", None, None, "sem número"),
+    ]
+    d = spark.createDataFrame(rows, sources.CANONICAL)
+    r = {x["doc_id"]: (x["seq"], x["numero"], x["uf"], x["classe"], list(x["chain"]), x["ano"]) for x in canon.rulings(d).collect()}
+    assert r == {"1": (839, None, "RO", "RO", [], 1930), "2": (1000, None, None, "RR", ["AGINT", "ED"], None), "3": (None, 2614, None, "AR", [], None), "4": (None, 7188400, "RR", "REsp", [], None)}
+    assert {(x["diploma"], x["artigo"]) for x in canon.dispositivos(d).collect()} == {("CPC", 1022), ("CF", 5)}
+    assert {(x["tribunal"], x["numero"]) for x in canon.sumulas(d).collect()} == {("STJ", 7)} and [x["id"] for x in canon.unindexed(d).collect()] == [8]
+
+
+def test_resolution_of_broken_repeated_and_unreadable_mentions(spark):
+    want = {
+        "REsp 1.528.45": ("incompleta_sem_numero", None), "REsp 1.528.455/": ("incompleta_sem_numero", None), "ED-RR-1000-10.2015.5.02.00": ("incompleta_sem_numero", None), "Súmula n. 83 do ST": ("incompleta_sem_numero", None),
+        "REsp 1 528 455": ("real_ocr", "1"), "PRECEDENTE DO STF DE 2024, DA RELATORIA DE FULAMO DE TAL": ("real_descritiva", "9"), "Rcl de 2024, Rel. Min. Fulano Tal": ("real_descritiva", "9"), "Rcl do STF de 2024, Rel. Min. Beltrano Tal": ("incompleta_descritiva_sem_registro", None),
+    }
+    assert resolved(spark, *want) == want
+    d = canon_df(spark)
+    m = spark.createDataFrame([(f"m{i}", "REsp 1.528.455/RJ", "jurisprudencia", "", "") for i in range(40)] + [("x", None, "jurisprudencia", None, None), ("y", "REsp 1.528.455", "jurisprudencia", None, ", Rel. Min. Outra Pessoa, julgado")], "cit string, trecho string, tipo string, contexto string, depois string")
+    got = {r["cit"]: (r["regra"], r["confianca"]) for r in resolve.resolve(m, canon.rulings(d), canon.sumulas(d), canon.dispositivos(d)).collect()}
+    assert len(got) == 42 and got["m7"] == ("real_exato", 0.98) and got["x"] == ("erro_interno", 0.4) and got["y"][0] == "real_atributo_divergente"
+
+
+def test_equal_records_are_told_apart_by_their_context(spark):
+    d = spark.createDataFrame([(i, "STJ", "acordao", 2015, None, f"RECURSO ESPECIAL Nº 1.528.455 - RJ\nEMENTA. {t}") for i, t in ((11, "contrato bancário abusivo"), (2, "dano ambiental coletivo"), (30, "dano ambiental coletivo"))], sources.CANONICAL)
+    m = spark.createDataFrame([("a", "REsp 1.528.455/RJ", "jurisprudencia", "sobre contrato bancário"), ("b", "REsp 1.528.455/RJ", "jurisprudencia", "sobre dano ambiental"), ("c", "REsp 1.528.455/RJ", "jurisprudencia", None)], "cit string, trecho string, tipo string, contexto string")
+    got = {r["cit"]: (r["id_canonico"], r["regra"]) for r in resolve.resolve(m, canon.rulings(d), canon.sumulas(d), canon.dispositivos(d)).collect()}
+    assert got == {"a": ("11", "real_duplicata"), "b": ("2", "real_duplicata"), "c": ("2", "real_duplicata")}
+
+
 def test_a_changed_digit_is_never_real(spark):
     r = random.Random(5)
     many = set()

@@ -77,3 +77,15 @@ def test_fuzzy():
     assert fuzzy.align("o RE5P 1.234 foi", "resp 1.234") == (2, 12)
     assert fuzzy.align("nada", "resp 1.234") is None
     assert fuzzy.names_match(["fulano"], ["fulanno", "tal"]) and not fuzzy.names_match(["fulano"], [])
+
+
+def test_keys_of_noisy_citations(spark):
+    rows = [
+        ("AREsp 10.196.000/RR", "AREsp", []), ("HC n.º 6.184.200/RO", "HC", []), ("EDcl no Ag. Reg. no Rec. Esp. nº 1.528.455", "REsp", ["AGRG", "ED"]),
+        ("TST-E-ED-Ag-RR-", "RR", ["AGINT", "ED", "EDV"]), ("Emb. Decl. no agravo interno no recurso em habeas corpus", "RHC", ["AGINT", "ED"]), ("AgR-AIRR-1000-10.2015.5.02.0001", "AIRR", ["AGRG"]),
+    ]
+    df = spark.createDataFrame([(t,) for t, *_ in rows], "t string")
+    got = {r["t"]: (r["c"], list(r["m"])) for r in df.select("t", X.class_code(F.col("t")).alias("c"), X.appeal_chain(X.fold(X.before_number(F.col("t")))).alias("m")).collect()}
+    assert got == {t: (c, m) for t, c, m in rows}
+    years = spark.createDataFrame([(y,) for y in (0, 29, 30, 88, 2015, 150)], "y int")
+    assert [r["z"] for r in years.select(X.year4(F.col("y")).alias("z")).collect()] == [2000, 2029, 1930, 1988, 2015, None]
