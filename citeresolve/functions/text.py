@@ -19,7 +19,7 @@ LONG_NAMES = {
 }
 COURT_NAMES = " (stj|stf|tst|tse|stm|" + "|".join(LONG_NAMES) + ") "
 ARTICLE = r"(?i:art(?:igo|s|\.)?)\.?\s*([0-9OolIS]{1,3}(?:\.[0-9OolIS]{3})|[0-9OolIS]{1,5}?)(?:[ºo°](?:[^A-Za-z0-9]|$)|[^A-Za-z0-9]|$)"
-LAW = r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|, de .* de )([0-9]{4}|[0-9]{2})"
+LAW = r"(?:lei(?: complementar)?|decreto-lei|lc) (?:no?\.? )?([0-9.]+)(?:/|,? de (?:.* de )?)([0-9]{4}|[0-9]{2})"
 #: The last two capitals of a citation, set off by a stroke, dash or bracket: perhaps its state.
 UF_END = r"(?:/|-|–|\() ?([A-Z][A-Z])(?: ?\))? *$"
 
@@ -64,10 +64,11 @@ MOJIBAKE = {
 
 
 def repair_mojibake(c: Column) -> Column:
-    """Text-only repair of UTF-8 read as Windows-1252 or Latin-1; ambiguous forms stay."""
+    """Text-only repair of UTF-8 read as Windows-1252 or Latin-1; ambiguous forms stay. Texts without a lead character of such a form pass as they are."""
+    out = c
     for bad in sorted(MOJIBAKE, key=lambda k: (-len(k), k)):
-        c = F.replace(c, F.lit(bad), F.lit(MOJIBAKE[bad]))
-    return c
+        out = F.replace(out, F.lit(bad), F.lit(MOJIBAKE[bad]))
+    return F.when(c.rlike("[" + "".join(sorted({k[0] for k in MOJIBAKE})) + "]"), out).otherwise(c)
 
 
 def clean(c: Column) -> Column:
@@ -105,8 +106,8 @@ def is_date(c: Column) -> Column:
 
 
 def is_subsequence(short: Column, long: Column) -> Column:
-    """Whether the letters of `short` occur in `long` in this order."""
-    return long.rlike(F.regexp_replace(short, r"([a-z0-9])", "$1.*"))
+    """Whether `long` begins with the first letter of `short` and has the others in this order."""
+    return F.rlike(long, F.concat(F.lit("^"), F.regexp_replace(short, r"([a-z0-9])", "$1.*")))
 
 
 def locate_number(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeresolve.operators import spans
@@ -24,28 +24,28 @@ def violations(citations: DataFrame, docs: DataFrame, base: DataFrame) -> DataFr
     V1 document without output, V3 missing field, V4 bounds, V5 text, V6 kind, V7 class, V8 real needs a record of the
     base, V9 others have none, V10 confidence, V11 overlap of half or more, V12 output without document.
     """
-    d = docs.select("documento_id", F.col("text").alias("_t"))
-    j = citations.join(d, "documento_id", "left")
-    known = j.where("_t IS NOT NULL")
-
-    def rule(name: str, df: DataFrame, cond: Column) -> DataFrame:
-        return df.where(cond).select("documento_id", "inicio", "fim", F.lit(name).alias("regra_violada"))
-
-    real = F.col("classificacao") == "real"
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("inicio", "fim", "trecho", "tipo", "classificacao", "confianca")])
-    ids = base.select(F.col("id").cast("string").alias("id_canonico"), F.lit(True).alias("_in")).distinct()
-    with_base = citations.where(real).join(ids, "id_canonico", "left")
+    c = F.col
+    d = docs.select("documento_id", F.col("text").alias("_t"), F.lit(True).alias("_doc"))
+    ids = base.select(c("id").cast("string").alias("id_canonico"), F.lit(True).alias("_in")).distinct()
+    # the record of a citation is looked up before its text, so that texts are joined once
+    j = citations.join(ids, "id_canonico", "left").join(d, "documento_id", "left")
+    real, known = c("classificacao") == "real", c("_t").isNotNull()
+    broken = {
+        "V3": reduce(lambda a, b: a | b, [c(x).isNull() for x in ("inicio", "fim", "trecho", "tipo", "classificacao", "confianca")]),
+        "V4": known & ((c("inicio") < 0) | (c("inicio") >= c("fim")) | (c("fim") > F.length("_t"))),
+        "V5": known & (F.substring(c("_t"), c("inicio") + 1, c("fim") - c("inicio")) != c("trecho")),
+        "V6": ~c("tipo").isin("lei", "jurisprudencia"),
+        "V7": ~c("classificacao").isin("real", "inventada", "incompleta"),
+        "V8": real & (c("id_canonico").isNull() | c("_in").isNull()),
+        "V9": ~real & c("id_canonico").isNotNull(),
+        "V10": ~c("confianca").between(0.0, 1.0),
+        "V12": ~known,
+    }
+    rules = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in broken.items()]))
+    none = docs.where("text IS NOT NULL").select("documento_id").join(citations.select("documento_id").distinct(), "documento_id", "left_anti")
     out = [
-        docs.where("text IS NOT NULL").select("documento_id").join(citations.select("documento_id").distinct(), "documento_id", "left_anti").select("documento_id", F.lit(None).cast("int").alias("inicio"), F.lit(None).cast("int").alias("fim"), F.lit("V1").alias("regra_violada")),
-        rule("V3", citations, missing),
-        rule("V4", known, (F.col("inicio") < 0) | (F.col("inicio") >= F.col("fim")) | (F.col("fim") > F.length("_t"))),
-        rule("V5", known, F.substring(F.col("_t"), F.col("inicio") + 1, F.col("fim") - F.col("inicio")) != F.col("trecho")),
-        rule("V6", citations, ~F.col("tipo").isin("lei", "jurisprudencia")),
-        rule("V7", citations, ~F.col("classificacao").isin("real", "inventada", "incompleta")),
-        rule("V8", with_base, F.col("id_canonico").isNull() | F.col("_in").isNull()),
-        rule("V9", citations, ~real & F.col("id_canonico").isNotNull()),
-        rule("V10", citations, ~F.col("confianca").between(0.0, 1.0)),
-        rule("V12", j, F.col("_t").isNull()),
+        none.select("documento_id", F.lit(None).cast("int").alias("inicio"), F.lit(None).cast("int").alias("fim"), F.lit("V1").alias("regra_violada")),
+        j.select("documento_id", "inicio", "fim", F.explode(rules).alias("regra_violada")),
     ]
     pairs = spans.iou_pairs(citations.withColumn("_id", F.struct("inicio", "fim")), "documento_id", "inicio", "fim", "_id")
     out.append(pairs.select("documento_id", F.col("b_s").alias("inicio"), F.col("b_e").alias("fim"), F.lit("V11").alias("regra_violada")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from citeresolve import dims
 from citeresolve.functions.text import MOJIBAKE
+from citeresolve.operators import expand
 from citeresolve.session import spread
 
 #: Shapes a page reader confuses with each character.
@@ -57,7 +59,7 @@ COURT = r"(?:[S5]TJ|[S5]TF|T[S5]T|T[S5]E|[S5]TM|" + "|".join(tolerant(x) for x i
 CODES = any_of([c for c, _, _ in dims.CLASSES] + ["REspe", "RR", "AIRR"])
 NAMES = any_of([n for _, n, _ in dims.CLASSES])
 APPEAL = r"(?:" + any_of(["AgInt", "AgRg", "EDcl", "EDv", "ED", "PExt", "agravo interno", "agravo regimental", "embargos de declaração", "embargos de divergência"]) + r"\s*(?:-|\s(?:n[oa]s?|em|ao)\s)\s*)"
-STATUTES = any_of(["Código de Processo Civil", "Código de Processo Penal", "Código Penal Militar", "Código Penal", "Código Civil", "Código Eleitoral", "Código de Defesa do Consumidor", "Constituição Federal", "Constituição da República", "Consolidação das Leis do Trabalho"]) + r"|(?:CF|CLT|N?CPC|CPP|CPM|CP|CC|CDC|CRFB)(?:/\d{2,4})?(?![A-Za-z])|(?:Lei(?: Complementar)?|Decreto-Lei|LC)\s(?:n[º°o]?\.?[º°]?\s?)?[\d.]+/\d{2,4}"
+STATUTES = any_of(["Código de Processo Civil", "Código de Processo Penal", "Código Penal Militar", "Código Penal", "Código Civil", "Código Eleitoral", "Código de Defesa do Consumidor", "Constituição Federal", "Constituição da República", "Consolidação das Leis do Trabalho"]) + r"|(?:CF|CLT|N?CPC|CPP|CPM|CP|CC|CDC|CRFB)(?:/\d{2,4})?(?![A-Za-z])|(?:Lei(?: Complementar)?|Decreto-Lei|LC)\s(?:n[º°o]?\.?[º°]?\s?)?[\d.]+(?:/\d{2,4}|,?\sde\s(?:\d{1,2}[º°]?\sde\s[a-zç]+\sde\s)?\d{4})"
 _NAME = r"[A-ZÀ-Ö](?:[A-Za-zÀ-ÖØ-öø-ÿ0-9'-]+|\.(?=\s))"
 PERSON = rf"(?:(?:[Ee]xm[oa]\.|[Ss]r[a]?\.|[Mm]in(?:istr[oa]|\.ª|\.)|MINISTR[OA]|[Dd]es\.ª?|[Rr]el\.|[Rr]elatora?:|[Dd]r[a]?\.|conv\.)\s+)*{_NAME}(?:,?\s+(?:d[aeo]s?\s+)?{_NAME}){{0,5}}"
 
@@ -74,14 +76,25 @@ PATTERNS = {
 }
 #: Anchors (cue and number or statute nearby) in the order in which they may take spans.
 ANCHORS = (
-    ("sumulas", "jurisprudencia", re.compile(rf"(?:{tolerant('súmula')}|{tolerant('enunciado')})[^\n.;0-9]{{0,60}}?[0-9]{DIGIT}{{0,3}}", re.I)),
-    ("artigos", "lei", re.compile(rf"[Aa]rt(?:igo)?s?\.?\s?[0-9]{DIGIT}{{0,3}}[^\n.;]{{0,60}}?(?:{STATUTES})")),
-    ("processos", "jurisprudencia", re.compile(rf"(?<![A-Za-z])(?:{CODES})[^\n.;0-9]{{0,20}}(?:{NUM_LONG}|{NUM_SHORT})")),
-    ("julgados_descritivos", "jurisprudencia", re.compile(rf"{COURT}[^\n.;]{{0,60}}?(?:19|20)\d{{2}}[^\n.;]{{0,40}}?[Rr]elat[^\n.;]{{0,20}}?{PERSON}")),
+    ("sumulas", "jurisprudencia", re.compile(rf"(?:{tolerant('súmula')}|{tolerant('enunciado')})[^\n.;0-9]{{0,80}}?[0-9]{DIGIT}{{0,3}}", re.I)),
+    ("artigos", "lei", re.compile(rf"[Aa]rt(?:igo)?s?\.?\s?[0-9]{DIGIT}{{0,3}}(?:\.{DIGIT}{{3}})?[^\n.;]{{0,80}}?(?:{STATUTES})")),
+    ("artigos", "lei", re.compile(rf"(?:{STATUTES})[^\n.;0-9]{{0,80}}?[Aa]rt(?:igo)?s?\.?\s?[0-9]{DIGIT}{{0,3}}(?:\.{DIGIT}{{3}})?(?![0-9])")),
 )
-_COMPILED = [(k, t, re.compile(r"(?<![A-Za-zÀ-ÿ])(?:" + re.sub(r"\\s(?![?+*{\]])", r"\\s+", p) + ")", re.I if k in ("sumulas", "temas") else 0)) for k, (t, p) in PATTERNS.items()]
+_COMPILED = [(k, t, re.compile(r"(?<![A-Za-zÀ-ÿ0-9])(?:" + re.sub(r"\\s(?![?+*{\]])", r"\\s+", p) + ")", re.I if k in ("sumulas", "temas") else 0)) for k, (t, p) in PATTERNS.items()]
 #: The same patterns for texts written in capitals.
 _CAPITALS = [(k, t, re.compile(p.pattern, re.I)) for k, t, p in _COMPILED]
+#: Length of a clause in which a rapporteur, a court and a year describe a decision.
+CLAUSE = 220
+LEGAL = frozenset(dims.LEGAL_WORDS)
+_CUE = re.compile(r"(?:da\s+)?[Rr]elatoria\s+d[aeo]s?\s*$|[Rr]el(?:ator[a]?)?\.?:?\s+(?:[Mm]in\.?)?\s*$")
+_COURT = re.compile(rf"(?<![A-Za-z]){COURT}(?![A-Za-z])")
+_YEAR = re.compile(r"(?<![\w./-])(?:19|20)[0-9]{2}(?![\w/-])")
+_CLAUSE_END = re.compile(r"[;\n]|(?<=[a-zà-ÿ0-9]{3})\.\s")
+_HEAD = re.compile(rf"(?:julgado|ac[óo]rd[ãa]o|precedente|decis[ãa]o)\s+d[oa]\s+$|(?<![A-Za-z])(?:{CODES})\s+(?:d[eoa]\s+)?$", re.I)
+#: Numbers that can be a case's: long ones, groups of three digits, or five digits and more.
+_CASE_NUMBER = re.compile(rf"(?<![\w.,/-])(?:{NUM_LONG}|[0-9OIl]{DIGIT}{{0,2}}(?:\.\s?{DIGIT}{{3}})+|[0-9]{{5,8}})(?!\w)")
+_AMOUNT = re.compile(r"\sde\s*$")
+_NUMBERED = re.compile(rf"(?:{NUM_LONG})|[0-9]{{1,3}}(?:\.[0-9]{{3}})+")
 _OWN = re.compile(r"(?:o presente|este|neste|deste)\s*$", re.I)
 _INVISIBLE = set(dims.INVISIBLE)
 _SPACES = set(dims.ODD_SPACES)
@@ -176,8 +189,8 @@ def clean(text: str, vocabulary: frozenset[str] = frozenset()) -> tuple[str, lis
 def join_split(s: str, at: list[int], vocabulary: frozenset[str]) -> tuple[str, list[int]]:
     """Two parts of a split word put together if the whole is a known word and neither part is one."""
     drop = []
-    for m in re.finditer(r"([^\W\d_]{2,}) ([^\W\d_]{2,})", s):
-        a, b = m.group(1).lower(), m.group(2).lower()
+    for m in re.finditer(r"(?<![^\W\d_])([^\W\d_]{2,}) (?=([^\W\d_]{2,}))", s):
+        a, b = _plain(m.group(1)), _plain(m.group(2))
         if a + b in vocabulary and a not in vocabulary and b not in vocabulary:
             drop.append(m.start(2) - 1)
     for k in reversed(drop):
@@ -227,8 +240,41 @@ def to_original(at: list[int], s: int, e: int) -> tuple[int, int]:
     return at[s], at[e - 1] + 1
 
 
-def spans(text: str, vocabulary: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, family, tipo, origin) of the citations of a text, by start."""
+def contained_out(found: list[tuple]) -> list[tuple]:
+    """Spans (start, end, ...) in order without those inside an earlier one; spans that overlap in part stay."""
+    kept, last = [], -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        if x[1] > last:
+            kept.append(x)
+            last = x[1]
+    return kept
+
+
+def descriptions(c: str) -> Iterator[tuple[int, int]]:
+    """Spans of descriptive mentions: a rapporteur with the nearest court and the nearest year of the same clause, in any order, at most CLAUSE characters."""
+    courts = years = None
+    for s, e, _ in relator_mentions(c):
+        cue = _CUE.search(c, max(0, s - 40), s)
+        s = cue.start() if cue else s
+        lo = max([m.end() for m in _CLAUSE_END.finditer(c, max(0, s - CLAUSE), s)], default=max(0, s - CLAUSE))
+        end = _CLAUSE_END.search(c, e, e + CLAUSE)
+        hi = end.start() if end else min(len(c), e + CLAUSE)
+        courts = [m.span() for m in _COURT.finditer(c, lo, hi)]
+        years = [m.span() for m in _YEAR.finditer(c, lo, hi)]
+        if not courts or not years:
+            continue
+        gap = lambda x: max(x[0] - e, s - x[1], 0)
+        a, b = min(courts, key=gap), min(years, key=gap)
+        span = min(s, a[0], b[0]), max(e, a[1], b[1])
+        head = _HEAD.search(c, lo, span[0])
+        if head:
+            span = head.start(), span[1]
+        if span[1] - span[0] <= CLAUSE and not _NUMBERED.search(c, *span):
+            yield span
+
+
+def spans(text: str, vocabulary: frozenset[str] = LEGAL) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, family, tipo, origin) of the citations of a text, by start: patterns, widened by what belongs to them, then anchors where nothing was found."""
     c, at = clean(text, vocabulary)
     found = []
     capitals = sum(x.isupper() for x in c) > 2 * sum(x.islower() for x in c)
@@ -236,21 +282,37 @@ def spans(text: str, vocabulary: frozenset[str] = frozenset()) -> list[tuple[int
         for m in p.finditer(c):
             if m.end() > m.start() and not _OWN.search(c[max(0, m.start() - 14) : m.start()]):
                 found.append((m.start(), m.end(), k, fam.removesuffix("_invertidos"), tipo))
-    found.sort(key=lambda x: (x[0], -x[1], x[2]))
-    kept, last = [], -1
-    for s, e, _, fam, tipo in found:  # inside a kept one: dropped
-        if e > last:
-            if kept and s < kept[-1][1]:
-                continue
-            kept.append((s, e, fam, tipo, "padrao"))
-            last = e
-    taken = [(s, e) for s, e, *_ in kept]
+    kept, floor = [], 0
+    for s, e, _, fam, tipo in contained_out(found):
+        w = expand.widened(c, s, e, fam, min(floor, s))
+        if w is not None:
+            kept.append((*w, fam, tipo, "padrao"))
+            floor = max(floor, w[1])
+    kept = contained_out(kept)
+    taken = sorted((s, e) for s, e, *_ in kept)
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(taken, (e, -1))
+        return not any(b > s for _, b in taken[max(0, k - 3) : k]) and not _OWN.search(c[max(0, s - 14) : s])
+
     for fam, tipo, p in ANCHORS:
         for m in p.finditer(c):
-            s, e = m.start(), m.end()
-            if all(e <= a or b <= s for a, b in taken) and not _OWN.search(c[max(0, s - 14) : s]):
-                kept.append((s, e, fam, tipo, "ancora"))
-                taken.append((s, e))
+            if free(m.start(), m.end()):
+                w = expand.widened(c, m.start(), m.end(), fam)
+                w = w if free(*w) else m.span()
+                kept.append((*w, fam, tipo, "ancora"))
+                insort(taken, w)
+    for m in _CASE_NUMBER.finditer(c):
+        if free(m.start(), m.end()):
+            k = bisect_left(taken, m.span())
+            w = expand.widened(c, m.start(), m.end(), "processos", max((b for _, b in taken[max(0, k - 3) : k] if b <= m.start()), default=0))
+            if w and w[0] < m.start() and free(*w) and not _AMOUNT.search(c, w[0], m.start()):  # words of a class lead to the number
+                kept.append((*w, "processos", "jurisprudencia", "ancora"))
+                insort(taken, w)
+    for s, e in descriptions(c):
+        if free(s, e):
+            kept.append((s, e, "julgados_descritivos", "jurisprudencia", "ancora"))
+            insort(taken, (s, e))
     kept.sort()
     return [(*to_original(at, s, e), fam, tipo, o) for s, e, fam, tipo, o in kept]
 

@@ -77,20 +77,29 @@ def iou_pairs(df: DataFrame, doc: str, start: str, end: str, ident: str, least:
     return j.withColumn("iou", X.iou(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e"))).where(F.col("iou") >= least)
 
 
+def islands(df: DataFrame, doc: str, start: str, end: str, name: str = "island") -> DataFrame:
+    """The spans with the start of their island: spans of a document that hang together by overlapping. One sort, no pairs."""
+    w = Window.partitionBy(doc).orderBy(start, end)
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.when(before.isNull() | (F.col(start) >= before), F.col(start))
+    return df.withColumn("_first", first).withColumn(name, F.last("_first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_first")
+
+
 def suppress(df: DataFrame, doc: str, start: str, end: str, confidence: str, ident: str, least: float = 0.5) -> DataFrame:
     """Greedy suppression: spans by confidence, length, start and ident; each is kept unless a kept one overlaps it by `least` or more.
 
-    A span suppressed suppresses nothing, so this is a fold over each document's sorted spans rather than a join.
+    A span suppressed suppresses nothing, so this is a fold over sorted spans rather than a join. Spans of different islands
+    don't overlap, so each island is folded by itself, however many spans a document has.
     """
     s = F.struct(
         (-F.coalesce(F.col(confidence), F.lit(0.0))).alias("c"), (F.col(start) - F.col(end)).alias("l"), F.col(start).alias("s"), F.col(ident).alias("id"), F.col(end).alias("e")
     )
-    spans = df.groupBy(doc).agg(F.array_sort(F.collect_list(s)).alias("spans"))
+    spans = islands(df, doc, start, end, "_island").groupBy(doc, "_island").agg(F.array_sort(F.collect_list(s)).alias("spans"))
     empty = F.filter("spans", lambda x: F.lit(False))
     kept = F.aggregate(
         "spans", empty, lambda k, x: F.when(F.exists(k, lambda y: X.iou(y["s"], y["e"], x["s"], x["e"]) >= least), k).otherwise(F.concat(k, F.array(x)))
     )
-    out = spans.select(doc, F.explode(kept).alias("k"))
+    out = spans.select(doc, F.explode(F.when(F.size("spans") == 1, F.col("spans")).otherwise(kept)).alias("k"))
     return out.select(doc, F.col("k.id").alias(ident), F.col("k.s").alias(start), F.col("k.e").alias(end))
 
 

@@ -227,6 +227,26 @@ dk AS (SELECT id, artigo, {S.diploma("nome")} AS diploma FROM d_m),
 dispositivos_k AS (SELECT diploma, artigo, cast(max(id) AS VARCHAR) AS doc_id FROM dk WHERE diploma IS NOT NULL AND artigo IS NOT NULL GROUP BY 1, 2)"""
 
 
+@query(f"""WITH {S.RULINGS} SELECT doc_id, CASE WHEN seq IS NOT NULL THEN printf('%07d-%s.%s.%s.%s.%s', seq, substr(tail, 1, 2), substr(tail, 3, 4), substr(tail, 7, 1), substr(tail, 8, 2), substr(tail, 10, 4))
+  ELSE regexp_replace(reverse(regexp_replace(reverse(numero::VARCHAR), '([0-9]{{3}})', '\\1.', 'g')), '^[.]', '') END AS numero FROM rulings""")
+def format_numbers(spark, d):
+    """Own numbers of rulings as they are written."""
+    r = keys(spark, d)[0]
+    return r.select("doc_id", F.coalesce(X.format_cnj(F.col("seq"), F.col("tail")), X.format_short(F.col("numero"))).alias("numero"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all({S.fold("texto")}, '([a-z]{{2,4}})[.] ', 1)) AS short FROM documentos WHERE natureza = 'acordao' OR natureza IS NULL),
+v AS (SELECT DISTINCT unnest(list_filter(string_split({S.fold("string_split(texto, chr(10))[1]")}, ' '), lambda x: regexp_matches(x, '^[a-z]{{5,}}$'))) AS word FROM documentos)
+SELECT short, word FROM w JOIN v ON substr(short, 1, 1) = substr(word, 1, 1) AND regexp_matches(word, '^' || regexp_replace(short, '(.)', '\\1.*', 'g'))""")
+def abbreviated_words(spark, d):
+    """Abbreviations in rulings with the words of headers they may stand for: their letters in order, the first one first."""
+    docs = table(spark, d, "documentos")
+    w = docs.where("natureza = 'acordao' OR natureza IS NULL").select(F.explode(F.regexp_extract_all(X.fold(F.col("texto")), F.lit("([a-z]{2,4})[.] "), F.lit(1))).alias("short")).distinct()
+    v = docs.select(F.explode(F.split(X.fold(F.regexp_extract("texto", r"^[^\n]*", 0)), " ")).alias("word")).where(F.col("word").rlike("^[a-z]{5,}$")).distinct()
+    w, v = w.withColumn("k", F.substring("short", 1, 1)), v.withColumn("k", F.substring("word", 1, 1))
+    return w.join(v, "k").where(X.is_subsequence(F.col("short"), F.col("word"))).select("short", "word")
+
+
 @query(f"WITH {SUM_SQL} SELECT * FROM sumulas_k")
 def canon_sumulas(spark, d):
     return canon.sumulas(table(spark, d, "documentos"))
@@ -524,6 +544,17 @@ def extract_and_resolve(spark, d):
     return s.withColumn("cit", cit).join(r, "cit").drop("cit")
 
 
+@query()
+def extraction_overlap(spark, d):
+    """Found citations by family and origin: those that are a listed span, that overlap one, and that overlap none (not every citation is listed)."""
+    s = extract.extract(table(spark, d, "documents"), "documento_id", "text").select("documento_id", F.col("inicio").alias("a_s"), F.col("fim").alias("a_e"), "familia", "origem")
+    s = materialize(s, "spans")
+    b = cits(spark, d).select("documento_id", F.col("inicio").alias("b_s"), F.col("fim").alias("b_e"))
+    over = spans.overlap_join(s, b, "documento_id").groupBy("documento_id", "a_s", "a_e").agg(F.max(((F.col("a_s") == F.col("b_s")) & (F.col("a_e") == F.col("b_e"))).cast("int")).alias("same"))
+    j = s.join(over, ["documento_id", "a_s", "a_e"], "left")
+    return j.groupBy("familia", "origem").agg(F.count("*").alias("found"), F.count_if(F.expr("same = 1")).alias("listed"), F.count_if(F.expr("same = 0")).alias("overlapping"), F.count_if(F.expr("same IS NULL")).alias("unlisted"))
+
+
 @query()
 def extraction_recall(spark, d):
     """Listed citations whose span was found, by kind."""

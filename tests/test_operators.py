@@ -166,6 +166,24 @@ def test_extraction_offsets_and_cleaning():
     assert extract.spans("") == [] and extract.spans("jurisprudência pacífica desta Corte; Lei nº 13.467/2017") == []
 
 
+def test_spans_are_widened_and_descriptions_found():
+    def found(t):
+        return [(t[s:e], f) for s, e, f, *_ in extract.spans(t)]
+
+    assert found("STJ, EDcl no Ag. Reg. no Rec. Esp. nº 1.528.455/SP (STJ), Agravo Interno, Embargos de Declaração. E Súmula 331, IV, do TST.") == [("STJ, EDcl no Ag. Reg. no Rec. Esp. nº 1.528.455/SP (STJ), Agravo Interno, Embargos de Declaração", "processos"), ("Súmula 331, IV, do TST", "sumulas")]
+    assert found("REsp 2019, Rel. Min. Beltrano, STJ.") == [("REsp 2019, Rel. Min. Beltrano, STJ", "julgados_descritivos")]
+    assert found("conforme a relatoria de Fulano de Tal, o STF em 2019 decidiu") == [("relatoria de Fulano de Tal, o STF em 2019", "julgados_descritivos")]
+    assert found("o recurso espe cial nº 1.234.567/RJ, julgado ontem, e o REsp 1.111.222/SP, AgInt no REsp 3.333.444/SP") == [("recurso espe cial nº 1.234.567/RJ", "processos"), ("REsp 1.111.222/SP", "processos"), ("AgInt no REsp 3.333.444/SP", "processos")]
+    assert found("Autos nº 0005153-84.2012.8.31.5000, CPF 12345678, às fls. 12.345, recurso de 123456 reais") == []
+    assert found("CPM, art. 290, incisos I a III, e art. 5º da Lei 8.078 de 1990") == [("CPM, art. 290, incisos I a III", "artigos"), ("art. 5º da Lei 8.078 de 1990", "artigos")]
+    assert extract.contained_out([(0, 9, "b"), (2, 5, "a"), (4, 12, "c"), (4, 12, "d")]) == [(0, 9, "b"), (4, 12, "c")]
+
+
+def test_islands(spark):
+    df = spark.createDataFrame([("d", 0, 5), ("d", 3, 8), ("d", 8, 9), ("d", 20, 30), ("d", 22, 24), ("e", 1, 2)], "doc string, s int, e int")
+    assert sorted((r["s"], r["island"]) for r in spans.islands(df, "doc", "s", "e").where("doc = 'd'").collect()) == [(0, 0), (3, 0), (8, 8), (20, 20), (22, 20)]
+
+
 def test_extract_handles_null_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", None, 1), ("b", "", 2), ("c", "Súmula 7 do STJ " * 500, 3)], "documento_id string, text string, inicio int")
     got = extract.extract(df, "documento_id", "text")
@@ -242,6 +260,8 @@ def test_sources(spark, tmp_path):
     got = sources.canonical(spark, str(tmp_path / "c.db"))
     assert got.count() == len(CANON) and got.where("id = 3").first()["tribunal"] == "TST"
     c = spark.createDataFrame([("a", 0, 6, "REsp 1", "lei", "real", "1", 0.9)], "documento_id string, inicio int, fim int, trecho string, tipo string, classificacao string, id_canonico string, confianca double")
+    sources.write_packed(contract.packed(c, spark.createDataFrame([("a",), ("b",)], "documento_id string")), str(tmp_path / "p"))
+    assert {tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "p")).collect()} == {("a", "0,6,real,1,0.9000"), ("b", "-")}
     sources.write_json(contract.nested(c), str(tmp_path / "j"))
     back = sources.contract_json(spark, str(tmp_path / "j")).collect()
     assert [tuple(r) for r in back] == [("a", 0, 6, "REsp 1", "lei", "real", "1", 0.9)]
