@@ -72,11 +72,12 @@ MARKERS = (
     ("PEXT", " pext ", None),
 )
 #: Abbreviations of class and appeal names, with a full stop: what is written, what it stands for.
-ABBREVIATIONS = (
-    ("rec", "recurso"), ("agr?", "agravo"), ("esp(?:ec)?", "especial"), ("extr(?:aord)?", "extraordinario"), ("ord", "ordinario"), ("inst", "instrumento"), ("rev", "revista"),
-    ("hab", "habeas"), ("corp", "corpus"), ("mand", "mandado"), ("seg", "seguranca"), ("susp", "suspensao"), ("lim", "liminar"), ("apel", "apelacao"), ("recl", "reclamacao"),
-    ("resc", "rescisoria"), ("embs?", "embargos"), ("decl", "declaracao"), ("div(?:erg)?", "divergencia"), ("int", "interno"), ("reg", "regimental"), ("eleit", "eleitoral"),
-)
+ABBREVIATIONS = {
+    "rec.": "recurso", "ag.": "agravo", "agr.": "agravo", "esp.": "especial", "espec.": "especial", "extr.": "extraordinario", "extraord.": "extraordinario", "ord.": "ordinario",
+    "inst.": "instrumento", "rev.": "revista", "hab.": "habeas", "corp.": "corpus", "mand.": "mandado", "seg.": "seguranca", "susp.": "suspensao", "lim.": "liminar",
+    "apel.": "apelacao", "recl.": "reclamacao", "resc.": "rescisoria", "emb.": "embargos", "embs.": "embargos", "decl.": "declaracao", "div.": "divergencia", "diverg.": "divergencia",
+    "int.": "interno", "reg.": "regimental", "eleit.": "eleitoral",
+}
 STOPWORDS = (
     "a o as os de da do das dos e em no na nos nas por para com que se nao ao aos um uma "
     "ou como mais pelo pela pelos pelas sua seu suas seus art lei nº n recurso"

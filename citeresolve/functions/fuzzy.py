@@ -210,7 +210,16 @@ def names_match(cited: list[str] | None, record: list[str] | None) -> bool:
     """Whether every word cited has a word of the record at least 0.75 similar."""
     if not cited or not record:
         return False
-    return all(any(c == r or similarity(c, r) >= 0.75 for r in record) for c in cited)
+    return all(c in record or any(alike(c, r) for r in record) for c in cited)
+
+
+@lru_cache(500_000)
+def alike(a: str, b: str, least: float = 0.75) -> bool:
+    """Whether two words are similar enough; words that can't be are told by their lengths and letters."""
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= least and m.ratio() >= least
 
 
 @F.pandas_udf(T.DoubleType())

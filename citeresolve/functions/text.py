@@ -197,12 +197,8 @@ def diploma_key(folded: Column) -> Column:
 
 def expanded(folded: Column) -> Column:
     """A folded text with the abbreviations of class and appeal names written out."""
-    def all_of(c: Column) -> Column:
-        for short, word in dims.ABBREVIATIONS:
-            c = F.regexp_replace(c, rf"(^|[^a-z]){short}\. ?", f"$1{word} ")
-        return c
-
-    return F.when(folded.rlike(r"[a-z]\."), all_of(folded)).otherwise(folded)
+    words = F.split(F.regexp_replace(folded, "[.]([a-z])", ". $1"), " ")
+    return F.when(folded.rlike(r"[a-z]\."), F.array_join(F.transform(words, lambda w: F.coalesce(lookup(dims.ABBREVIATIONS, w), w)), " ")).otherwise(folded)
 
 
 def spread_words(folded: Column) -> Column:

@@ -21,13 +21,17 @@ RELATOR_AFTER = r"^[^.;]{0,40}?Rel(?:ator[a]?)?\.?\s*(?:Min(?:istr[oa])?\.?)?\s*
 
 
 def family(m: DataFrame) -> DataFrame:
-    """Mentions with their family: temas, sumulas, artigos, descritivos or processos."""
+    """Mentions with their family - temas, sumulas, artigos, descritivos or processos - and the key of their text and what counts behind it."""
     f = X.fold(F.col("trecho"))
     descr = f.rlike("relatoria|rel\\. ?min|relator") & ~F.col("trecho").rlike(X.CNJ) & ~F.col("trecho").rlike(r"[0-9]{1,3}(?:\.[0-9OolIS]{3})+")
     fam = (
         F.when(f.rlike("^tema "), "temas").when(f.rlike("sumula|^sum\\."), "sumulas").when(F.col("tipo") == "lei", "artigos").when(descr, "descritivos").otherwise("processos")
     )
-    return m.withColumn("folded", f).withColumn("familia", fam)
+    # of the text behind a mention only this counts: a rapporteur, and a state that the mention lacks
+    after = F.coalesce("depois", F.lit("")) if "depois" in m.columns else F.lit("")
+    tail = F.concat(F.regexp_extract("trecho", r"[0-9](?:[^0-9]*)$", 0), after)
+    m = m.withColumn("folded", f).withColumn("familia", fam).withColumn("relator_depois", F.regexp_extract(tail, RELATOR_AFTER, 1)).withColumn("cut", after.rlike("^/[A-Z]"))
+    return m.withColumn("key", F.xxhash64("trecho", "relator_depois", "cut"))
 
 
 def labelled(df: DataFrame, rule: Column, doc_id: Column) -> DataFrame:
@@ -59,25 +63,21 @@ def other_number(trecho: Column) -> Column:
 
 
 def features(m: DataFrame) -> DataFrame:
-    """What a numbered case says of itself: (trecho, depois, key, digits, fixes, again, broken, uf, chain, courts, named, rel), once for each text."""
-    after = F.col("depois") if "depois" in m.columns else F.lit(None).cast("string")
-    p = m.where("familia = 'processos'").select("trecho", "folded", after.alias("depois")).distinct().withColumn("n", X.locate_number(F.col("trecho")))
-    tail = F.concat(F.regexp_extract("trecho", r"[0-9](?:[^0-9]*)$", 0), F.coalesce("depois", F.lit("")))
-    again = other_number(F.col("trecho"))
+    """What a numbered case says of itself: (key, digits, fixes, again, broken, no_state, uf, chain, courts, named, rel), once for each text."""
+    p = m.where("familia = 'processos'").select("key", "trecho", "folded", "relator_depois", "cut").dropDuplicates(["key"])
+    p = p.select("*", X.locate_number(F.col("trecho")).alias("n"), other_number(F.col("trecho")).alias("other"))
     return p.select(
-        F.xxhash64("trecho", "depois").alias("key"),
-        "trecho",
-        "depois",
+        "key",
         F.col("n.digits").alias("digits"),
         F.coalesce("n.fixes", F.lit(0)).alias("fixes"),
-        F.when(again != F.coalesce("n.digits", F.lit("")), again).alias("again"),
+        F.when(F.col("other") != F.coalesce("n.digits", F.lit("")), F.col("other")).alias("again"),
         F.col("trecho").rlike(BROKEN).alias("broken"),
-        (F.col("trecho").rlike(BROKEN_STATE) | F.coalesce(F.col("depois").rlike("^/[A-Z]"), F.lit(False))).alias("no_state"),
+        (F.col("trecho").rlike(BROKEN_STATE) | F.col("cut")).alias("no_state"),
         X.trailing_uf(F.col("trecho")).alias("uf"),
         X.appeal_chain(F.col("folded")).alias("chain"),
         X.class_courts(X.class_code(F.col("trecho"))).alias("courts"),
         X.courts_in(F.col("trecho")).alias("named"),
-        X.name_tokens(F.nullif(F.regexp_extract(tail, RELATOR_AFTER, 1), F.lit(""))).alias("rel"),
+        X.name_tokens(F.nullif(F.col("relator_depois"), F.lit(""))).alias("rel"),
     )
 
 
@@ -97,28 +97,30 @@ def candidates(p: DataFrame, rulings: DataFrame) -> DataFrame:
         & ((F.size("named") == 0) | F.array_contains("named", F.col("r_court")))
     )
     c = long.unionByName(short).where(ok)
-    other = F.when(F.size("rel") > 0, ~F.coalesce(fuzzy.name_matches("rel", X.name_tokens(F.col("r_rel"))), F.lit(False))).otherwise(F.lit(False))
-    return c.select("key", "again", "doc_id", X.chain_distance(F.col("chain"), F.col("r_chain")).alias("dist"), other.alias("other_rel"))
+    c = c.select("key", "again", "doc_id", X.chain_distance(F.col("chain"), F.col("r_chain")).alias("dist"), "rel", "r_rel")
+    # few mentions name a rapporteur: only their names are compared
+    named = c.where("coalesce(size(rel), 0) > 0").withColumn("other_rel", ~F.coalesce(fuzzy.name_matches("rel", X.name_tokens(F.col("r_rel"))), F.lit(False)))
+    return c.where("coalesce(size(rel), 0) <= 0").withColumn("other_rel", F.lit(False)).unionByName(named).drop("rel", "r_rel")
 
 
-def processes(m: DataFrame, rulings: DataFrame, salts: int = 8) -> DataFrame:
+def processes(m: DataFrame, rulings: DataFrame, around: DataFrame | None = None, beginnings: DataFrame | None = None, salts: int = 8) -> DataFrame:
     """Numbered cases: candidates by key, filters that let unknown values pass, best candidate by rank.
 
     Mentions with one text are looked up once, so that a record cited over and over is joined once a text; the texts around the
-    mention and of the record are fetched only where several records are equally near.
+    mention (`around`: cit, contexto) and of the record (`beginnings`: doc_id, inicio) are fetched only where several records are equally near.
     """
+    around, beginnings = m if around is None else around, rulings if beginnings is None else beginnings
     p = materialize(features(m), "resolve-features")
     w = Window.partitionBy("key").orderBy("again", "dist", "other_rel")
     top = candidates(p, rulings).withColumn("k", F.rank().over(w)).where("k = 1").drop("k")
     top = top.groupBy("key", "again", "dist", "other_rel").agg(F.collect_list("doc_id").alias("docs"))
-    after = F.col("depois") if "depois" in m.columns else F.lit(None).cast("string")
-    mine = m.where("familia = 'processos'").select("cit", F.xxhash64("trecho", after).alias("key"), F.pmod(F.xxhash64("cit"), F.lit(salts)).cast("int").alias("_s"))
+    mine = m.where("familia = 'processos'").select("cit", "key", F.pmod(F.xxhash64("cit"), F.lit(salts)).cast("int").alias("_s"))
     known = p.drop("again").join(top, "key", "left").select("key", "digits", "fixes", "broken", "no_state", "again", "dist", "other_rel", "docs").withColumn("_s", F.explode(F.array(*map(F.lit, range(salts)))))
     j = materialize(mine.join(known, ["key", "_s"]).drop("_s", "key"), "resolve-known")
     tied = j.where("size(docs) > 1").select("cit", F.explode("docs").alias("doc_id"))
-    around = m.select("cit", X.content_terms(F.col("contexto")).alias("here"))
-    there = rulings.select("doc_id", X.content_terms(F.col("inicio")).alias("there"))
-    common = tied.join(around, "cit").join(there, "doc_id").select("cit", "doc_id", F.coalesce(F.size(F.array_intersect("here", "there")), F.lit(0)).alias("common"))
+    here = around.join(tied.select("cit").distinct(), "cit", "left_semi").select("cit", X.content_terms(F.col("contexto")).alias("here"))
+    there = beginnings.join(tied.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", X.content_terms(F.col("inicio")).alias("there"))
+    common = tied.join(here, "cit").join(there, "doc_id").select("cit", "doc_id", F.coalesce(F.size(F.array_intersect("here", "there")), F.lit(0)).alias("common"))
     best = common.groupBy("cit").agg(F.min_by("doc_id", F.struct(-F.col("common"), F.col("doc_id").cast("bigint"))).alias("best"))
     j = j.join(best, "cit", "left").withColumn("doc_id", F.coalesce("best", F.element_at("docs", 1)))
     fixes = F.greatest("fixes", F.coalesce("again", F.lit(0)))
@@ -198,7 +200,8 @@ def descriptive_mentions(m: DataFrame, rulings: DataFrame) -> DataFrame:
     asked = d.where("size(nome) > 0 AND ano IS NOT NULL").select(F.explode("tribunais").alias("tribunal"), "ano", "nome").distinct()
     known = r.select("tribunal", "ano", "r_nome").distinct()
     x, y = asked.withColumn("_e", F.explode(ends(F.col("nome")))), known.withColumn("_e", F.explode(ends(F.col("r_nome"))))
-    alike = x.join(y, ["tribunal", "ano", "_e"]).select("tribunal", "ano", "nome", "r_nome").distinct().where(fuzzy.name_matches("nome", "r_nome"))
+    n = d.sparkSession.sparkContext.defaultParallelism
+    alike = x.join(y, ["tribunal", "ano", "_e"]).select("tribunal", "ano", "nome", "r_nome").distinct().repartition(n).where(fuzzy.name_matches("nome", "r_nome"))
     records = alike.join(r, ["tribunal", "ano", "r_nome"]).groupBy("tribunal", "ano", "nome").agg(F.collect_set(F.struct("doc_id", "classe")).alias("found"))
     hit = d.select("cit", F.explode("tribunais").alias("tribunal"), "ano", "nome", F.col("classe").alias("c")).join(records, ["tribunal", "ano", "nome"])
     hit = hit.withColumn("found", F.filter("found", lambda x: F.col("c").isNull() | (x["classe"] == F.col("c")))).groupBy("cit").agg(F.sum(F.size("found")).alias("n"), F.min(F.try_element_at("found.doc_id", F.lit(1))).alias("doc_id"))
@@ -228,9 +231,9 @@ def resolve(mentions: DataFrame, rulings: DataFrame, sumulas: DataFrame, disposi
     m = family(mentions)
     known = F.col("familia").isin(*FAMILIES) & F.col("trecho").isNotNull()
     failed = labelled(m.where(~F.coalesce(known, F.lit(False))), F.lit("erro_interno"), F.lit(None).cast("string"))
-    m = materialize(m.where(known), "resolve-mentions")
-    r = materialize(rulings, "resolve-rulings")
-    parts = [processes(m, r), sumula_mentions(m, sumulas), article_mentions(m, dispositivos), descriptive_mentions(m, r), topic_mentions(m), failed]
+    m = materialize(m.where(known).select("cit", "trecho", "tipo", "folded", "familia", "relator_depois", "cut", "key"), "resolve-mentions")
+    r = materialize(rulings.drop("inicio"), "resolve-rulings")
+    parts = [processes(m, r, mentions.select("cit", "contexto"), rulings.select("doc_id", "inicio")), sumula_mentions(m, sumulas), article_mentions(m, dispositivos), descriptive_mentions(m, r), topic_mentions(m), failed]
     out = parts[0].select(*OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*OUT))

@@ -65,9 +65,8 @@ def year4(y: str) -> str:
 
 
 def expanded(f: str) -> str:
-    for short, word in dims.ABBREVIATIONS:
-        f = f"regexp_replace({f}, '(^|[^a-z]){short}\\. ?', '\\1{word} ', 'g')"
-    return f
+    case = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in dims.ABBREVIATIONS.items())
+    return f"array_to_string(list_transform(string_split(regexp_replace({f}, '[.]([a-z])', '. \\1', 'g'), ' '), lambda w: CASE w {case} ELSE w END), ' ')"
 
 
 def chain(f: str) -> str:
