@@ -173,7 +173,14 @@ CITED_YEAR = r"(?:/ ?|,? de )([0-9]{4}|[0-9]{2})$"
 
 def lookup(table: dict, c: Column) -> Column:
     """Value of a small literal table; null for other keys."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+    return F.try_element_at(F.expr(f"map({', '.join(literal(x) for kv in table.items() for x in kv)})"), c)
+
+
+def literal(x: str | float | tuple) -> str:
+    """A value as SQL text: a table of values is one expression then, not one call each."""
+    if isinstance(x, tuple):
+        return f"array({', '.join(map(literal, x))})"
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}D"
 
 
 def year_text(c: Column) -> Column:
@@ -251,8 +258,7 @@ def class_code(text: Column) -> Column:
 
 def class_courts(code: Column) -> Column:
     """Courts that have a class; null for an unknown class."""
-    table = [x for c, _, courts in dims.CLASSES for x in (F.lit(c), F.array(*map(F.lit, courts)))]
-    return F.try_element_at(F.create_map(*table), code)
+    return lookup({c: courts for c, _, courts in dims.CLASSES}, code)
 
 
 def name_tokens(c: Column) -> Column:
