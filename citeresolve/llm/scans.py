@@ -34,7 +34,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import ChainMap, Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeresolve.llm import mojibake, unify
-from citeresolve.llm.rows import once
+from citeresolve.llm.rows import once, pieces
 from citeresolve.session import materialize
 
 #: Occurrences from which a word is of the vocabulary and a pair is known.
@@ -153,15 +153,15 @@ def statistics(texts: DataFrame) -> DataFrame:
     """(kind, a, b, n, at_page) counted over all rows (id, t); counted per partition first, so little is shuffled."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Counts()
+        c, columns = Counts(), ["kind", "a", "b", "n", "at_page"]
         for p in it:
             for t in p["t"]:
                 if t:
                     c.add(t)
-            if len(c.pairs) > 500_000:
-                yield pd.DataFrame(c.rows(), columns=["kind", "a", "b", "n", "at_page"])
-                c = Counts()
-        yield pd.DataFrame(c.rows(), columns=["kind", "a", "b", "n", "at_page"])
+                if len(c.pairs) > 500_000:
+                    yield from pieces(c.rows(), columns)
+                    c = Counts()
+        yield from pieces(c.rows(), columns)
 
     s = texts.select("t").mapInPandas(run, "kind string, a string, b string, n long, at_page long")
     s = s.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("at_page").alias("at_page"))
@@ -251,9 +251,8 @@ def intersect(root: dict, word: str, edits: int) -> Iterator[tuple[str, dict]]:
                     stack.append((child, new, later))
 
 
-def accepted(root: dict, word: str, edits: int) -> dict[str, list[float | None]]:
+def accepting(root: dict, word: str, edits: int) -> Iterator[tuple[str, list[float | None]]]:
     """Every other word of the trie that the automaton accepts within its budget, with its least cost by the edits used besides the confusions."""
-    out: dict[str, list[float | None]] = {}
     n = len(word)
     for w, states in intersect(root, word, edits):
         if w != word:
@@ -263,8 +262,12 @@ def accepted(root: dict, word: str, edits: int) -> dict[str, list[float | None]]
                 if p == n and (cost[used] is None or v < cost[used]):
                     cost[used] = v
             if any(c is not None for c in cost):
-                out[w] = cost
-    return out
+                yield w, cost
+
+
+def accepted(root: dict, word: str, edits: int) -> dict[str, list[float | None]]:
+    """The words that accepting() gives, each with its costs."""
+    return dict(accepting(root, word, edits))
 
 
 class _Fine(dict):
@@ -556,10 +559,26 @@ def shards(words: DataFrame) -> list[str]:
         n += 1
 
 
-def retrieve(queries: DataFrame, words: DataFrame, edits: int) -> DataFrame:
-    """(word, options): of each query (word) the words of the vocabulary (word, n) its automaton accepts, with their costs by the edits used.
+def answers(rows: Iterable[tuple], search: Callable[[dict, dict[str, int], str, int], Iterator[tuple]]) -> Iterator[tuple]:
+    """What `search` gives for the queries among rows (shard, asked, word, n) that come by shard and salt, the vocabulary before the queries: one trie at a time."""
+    at, count, root = None, {}, None
+    for shard, asked, w, n in rows:
+        if shard != at:
+            at, count, root = shard, {}, None
+        if not asked:
+            if root is None:  # the next salt has the same vocabulary
+                count[w] = n
+        else:
+            if root is None:
+                root = Trie(count).root
+            yield from search(root, count, w, n)
+
+
+def searched(queries: DataFrame, words: DataFrame, edits: int, search: Callable[[dict, dict[str, int], str, int], Iterator[tuple]], schema: str) -> tuple[DataFrame, int]:
+    """What `search` gives for each query (word, n) in each shard of the vocabulary (word, n) that its automaton can end in, and the number of shards.
 
-    Beginnings are packed into shards; queries go to the shards that the automaton can end in.
+    Beginnings are packed into shards. A task reads its vocabulary and queries one after the other and returns its answers in
+    pieces, so that neither depends on how many there are.
     """
     spark = queries.sparkSession
     heads = shards(words)
@@ -569,13 +588,13 @@ def retrieve(queries: DataFrame, words: DataFrame, edits: int) -> DataFrame:
     shard_of = {p: k % parts for k, p in enumerate(sorted(heads))}
     longest = max(map(len, heads), default=0)
     shared = spark.sparkContext.broadcast((shard_of, longest))
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = shared.value[0]
         root = Trie(of).root
         for p in it:
-            got = [(w, k) for w in p["word"] for k in ({of[h] for h, _ in intersect(root, w, edits)} | ({of[h] for h in waiting(root, w, edits)}) if parts > 1 else {0})]
-            yield pd.DataFrame(got, columns=["word", "shard"])
+            yield from pieces(((w, n, k) for w, n in zip(p["word"], p["n"]) for k in ({of[h] for h, _ in intersect(root, w, edits)} | ({of[h] for h in waiting(root, w, edits)}) if parts > 1 else {0})), ["word", "n", "shard"])
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, most = shared.value
@@ -583,21 +602,46 @@ def retrieve(queries: DataFrame, words: DataFrame, edits: int) -> DataFrame:
             p["shard"] = [next(of[w[:k]] for k in range(1, most + 1) if w[:k] in of) for w in p["word"]]
             yield p
 
-    def look_up(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        root = Trie(known["word"]).root
-        n = dict(zip(known["word"], known["n"]))
-        got = [(q, [{"w": w, "n": n[w], "costs": c} for w, c in accepted(root, q, edits).items()]) for q in asked["word"]]
-        return pd.DataFrame([g for g in got if g[1]], columns=["word", "options"])
+    def look_up(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for p in it for r in zip(p["shard"], p["asked"], p["word"], p["n"]))
+        yield from pieces(answers(rows, search), columns)
 
     salt = F.pmod(F.xxhash64("word"), F.lit(salts))
-    q = queries.select("word").mapInPandas(route, "word string, shard int").withColumn("salt", salt)
+    q = queries.select("word", "n").mapInPandas(route, "word string, n long, shard int").withColumn("salt", salt)
     v = words.select("word", "n").mapInPandas(place, "word string, n long, shard int").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     width = max(1, min(parts * salts, 4 * spark.sparkContext.defaultParallelism))
-    q, v = q.repartition(width, "shard", "salt"), v.repartition(width, "shard", "salt")
-    got = q.groupBy("shard", "salt").cogroup(v.groupBy("shard", "salt")).applyInPandas(look_up, f"word string, options {OPTIONS}")
+    both = v.withColumn("asked", F.lit(False)).unionByName(q.withColumn("asked", F.lit(True)))
+    both = both.repartition(width, "shard", "salt").sortWithinPartitions("shard", "salt", "asked")
+    return both.select("shard", "asked", "word", "n").mapInPandas(look_up, schema), parts
+
+
+def retrieve(queries: DataFrame, words: DataFrame, edits: int) -> DataFrame:
+    """(word, options): of each query (word) the words of the vocabulary (word, n) its automaton accepts, with their costs by the edits used."""
+
+    def search(root: dict, count: dict[str, int], w: str, _: int) -> Iterator[tuple]:
+        got = [{"w": x, "n": count[x], "costs": c} for x, c in accepting(root, w, edits)]
+        if got:
+            yield w, got
+
+    got, parts = searched(queries.select("word", F.lit(0).cast("long").alias("n")), words, edits, search, f"word string, options {OPTIONS}")
     return got if parts == 1 else got.groupBy("word").agg(F.flatten(F.collect_list("options")).alias("options"))
 
 
+def overshadowed(vocabulary: DataFrame) -> DataFrame:
+    """(word): of a vocabulary (word, n) the words that a RATIO times as frequent one may have been misread as. A word can come several times.
+
+    Only whether there is one is asked, so the first is enough: the look-alikes of a frequent word are many.
+    """
+    most = vocabulary.agg(F.max("n")).first()[0] or 0
+    doubtful = vocabulary.where((F.col("n") * RATIO <= most) & ~F.col("word").rlike("^[0-9]+$"))
+
+    def search(root: dict, count: dict[str, int], w: str, n: int) -> Iterator[tuple]:
+        if any(count[x] >= RATIO * n for x, _ in accepting(root, w, 0)):
+            yield (w,)
+
+    return searched(doubtful, vocabulary.where(F.col("n") >= RATIO * KNOWN), 0, search, "word string")[0]
+
+
 OPTIONS = "array<struct<w:string,n:long,costs:array<double>>>"
 
 
@@ -627,11 +671,8 @@ class Lexicon:
         self.pairs = s.where("kind = 'p'").select("a", "b", "n")
         self.heads = s.where("kind = 'h'").select(F.col("a").alias("head"))
         vocabulary = self.words.where((F.col("n") >= KNOWN) & ~F.col("word").contains("-"))
-        most = vocabulary.agg(F.max("n")).first()[0] or 0
         # a word that a RATIO times as frequent one may have been misread as is not trusted
-        doubtful = vocabulary.where((F.col("n") * RATIO <= most) & ~F.col("word").rlike("^[0-9]+$"))
-        near = retrieve(doubtful, vocabulary, 0).join(doubtful, "word").where(F.exists("options", lambda o: o["n"] >= RATIO * F.col("n"))).select("word")
-        self.trusted = materialize(vocabulary.join(near, "word", "left_anti"), "p2-trusted")
+        self.trusted = materialize(vocabulary.join(overshadowed(vocabulary), "word", "left_anti"), "p2-trusted")
         self.top = {r["word"]: r["n"] for r in self.trusted.orderBy(F.desc("n"), "word").limit(top_words).collect()}
         self.short = Short(r["word"] for r in self.trusted.where("length(word) <= 3").select("word").collect())
         few = self.heads.limit(top_heads + 1).collect()
@@ -646,8 +687,7 @@ class Lexicon:
 
         def beginnings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in it:
-                got = [(i, h) for i, t in zip(p["id"], p["t"]) if t for h in {head(x) for x in LINE.split(t)} - {None}]
-                yield pd.DataFrame(got, columns=["id", "head"])
+                yield from pieces(((i, h) for i, t in zip(p["id"], p["t"]) if t for h in {head(x) for x in LINE.split(t)} - {None}), ["id", "head"])
 
         of = texts.select("id", "t").mapInPandas(beginnings, f"id {kind}, head string").join(self.heads, "head").groupBy("id").agg(F.collect_list("head").alias("heads"))
         return texts.join(of, "id", "left").select("id", "t", F.coalesce("heads", F.array().cast("array<string>")).alias("heads"))
@@ -680,19 +720,17 @@ def read(df: DataFrame, id_col: str, text_col: str, with_text: bool = True, top_
     def needed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The words of each text that are not known to need no correction; "" for a text with other traces to look at."""
         words, heads = top.value
+
+        def of(t: str, h: list[str] | None) -> set[str]:
+            body = Reader({}, {}, heads if h is None else set(h)).body(t)
+            k = {w for w in set(WORD.findall(body.lower())) - words.keys() if not simple(w)}
+            cut = cut_words(body)
+            if body is not t or cut:
+                k.add("")
+            return k | cut - words.keys()
+
         for p in it:
-            ids, keys = [], []
-            for i, t, h in zip(p["id"], p["t"], p["heads"]):
-                r = Reader({}, {}, heads if h is None else set(h))
-                body = r.body(t)
-                k = {w for w in set(WORD.findall(body.lower())) - words.keys() if not simple(w)}
-                cut = cut_words(body)
-                if body is not t or cut:
-                    k.add("")
-                k |= cut - words.keys()
-                ids += [i] * len(k)
-                keys += k
-            yield pd.DataFrame({"id": ids, "word": keys})
+            yield from pieces(((i, w) for i, t, h in zip(p["id"], p["t"], p["heads"]) for w in of(t, h)), ["id", "word"])
 
     texts = lex.with_heads(texts)
     need = materialize(texts.mapInPandas(needed, f"id {kind}, word string"), "p2-needed")
@@ -719,20 +757,20 @@ def read(df: DataFrame, id_col: str, text_col: str, with_text: bool = True, top_
 
     def wanted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            got = [(i, a, b) for i, t, h, x in zip(p["id"], p["t"], p["heads"], p["info"]) for a, b in reader(x, h, {}).evidence(t)]
-            yield pd.DataFrame(got, columns=["id", "a", "b"])
+            yield from pieces(((i, a, b) for i, t, h, x in zip(p["id"], p["t"], p["heads"], p["info"]) for a, b in reader(x, h, {}).evidence(t)), ["id", "a", "b"])
 
     pairs = doubtful.mapInPandas(wanted, f"id {kind}, a string, b string").join(lex.pairs, ["a", "b"]).groupBy("id").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
 
+    def decided(p: pd.DataFrame) -> Iterator[tuple]:
+        for i, t, h, x, y in zip(p["id"], p["t"], p["heads"], p["info"], p["pairs"]):
+            r = reader(x, h, {(z["a"], z["b"]): z["n"] for z in y} if y is not None else {})
+            text, kinds = r.repair(t) if with_text else (None, r.traces(t))
+            if kinds:
+                yield (i, kinds, text) if with_text else (i, kinds)
+
     def decide(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:
-            rows = []
-            for i, t, h, x, y in zip(p["id"], p["t"], p["heads"], p["info"], p["pairs"]):
-                r = reader(x, h, {(z["a"], z["b"]): z["n"] for z in y} if y is not None else {})
-                text, kinds = r.repair(t) if with_text else (None, r.traces(t))
-                if kinds:
-                    rows.append((i, kinds, text) if with_text else (i, kinds))
-            yield pd.DataFrame(rows, columns=[id_col, "traces", "repaired"][: 2 + with_text])
+            yield from pieces(decided(p), [id_col, "traces", "repaired"][: 2 + with_text])
 
     return doubtful.join(pairs, "id", "left").mapInPandas(decide, f"{id_col} {kind}, traces array<string>" + (", repaired string" if with_text else ""))
 

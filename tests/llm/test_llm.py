@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeresolve.llm import abuse, bpe, mix, mojibake, names, scans, split, unify
+from citeresolve.llm.rows import pieces, weight
 
 # ---- 1
 
@@ -194,6 +195,27 @@ def test_shards_retrieve_what_one_trie_does(spark, monkeypatch):
     assert {r["word"]: {o["w"]: same(o["costs"]) for o in r["options"]} for r in got} == {w: a for w in asked if (a := scans.accepted(trie.root, w, 1))}
 
 
+def test_answers_come_in_bounded_pieces():
+    words = {"a" * 8 + x: 9 for x in "bcdefghijk"}
+    rows = [(0, False, w, n) for w, n in words.items()] + [(0, True, "a" * 8 + chr(945 + k), 0) for k in range(25)]
+    search = lambda root, count, w, n: [(w, [{"w": x, "n": count[x], "costs": c} for x, c in scans.accepting(root, w, 1)])]
+    got = list(pieces(scans.answers(rows, search), ["word", "options"], 1000, 700))
+    assert len(got) > 10 and all(len(p) == 1 or sum(map(weight, p.itertuples(index=False))) <= 700 for p in got)
+    assert [w for p in got for w in p["word"]] == [w for _, asked, w, _ in rows if asked] and all(len(o) == 10 for p in got for o in p["options"])
+    assert [len(p) for p in pieces(((k,) for k in range(7)), ["k"], 3)] == [3, 3, 1] and not list(pieces((), ["k"]))
+
+
+def test_words_overshadowed_by_frequent_ones(spark, monkeypatch):
+    n = {"recurso": 9000, "recuiso": 12, "recuno": 3, "autor": 400, "aut0r": 21, "aulor": 20, "autoi": 500, "xyzw": 3, "1234": 3, "l234": 9000}
+    v = spark.createDataFrame(list(n.items()), "word string, n long")
+    trie = scans.Trie(n)
+    want = {w for w in n if not w.isdigit() and any(n[x] >= scans.RATIO * n[w] for x in scans.accepted(trie.root, w, 0))}
+    assert {r["word"] for r in scans.overshadowed(v).collect()} == want and "aulor" in want and "aut0r" not in want
+    monkeypatch.setattr(scans, "SHARD", 2)
+    monkeypatch.setattr(scans, "LOOKUPS", 1)
+    assert {r["word"] for r in scans.overshadowed(v).collect()} == want
+
+
 def test_scan_query_handles_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "fl. 237\no autor", 0), (3, "fl. 237\no autor", 1)], "i long, t string, traces int")
     assert [(r["i"], list(r["traces"])) for r in scans.read(df, "i", "t").collect()] == [(3, ["furniture"])]
