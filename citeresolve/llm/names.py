@@ -3,13 +3,9 @@
 Method: every distinct spelling is read into its parts (titles and remarks off, "Surname, Given" and "Names (Organ)" turned
 round, generation suffix apart, accents folded, names run together taken apart). Spellings with equal parts are one node.
 
-Candidates come from MinHash banding over padded q-grams. Names share surnames far more often than they name the same
-entity, so a band's key is made of two parts of a name at once: the band's minhashes of the q-grams of both. Two
-names meet where two of their parts agree up to typing errors. By the first two parts of a longer name (two given names, the kind
-of an organ) only names of two parts meet it. The number of bands follows from the collision curve 1 - (1 - s^r)^b for the wanted recall at the
-least similarity s of a mistyped part. An abbreviated name (initials have no q-grams) meets all names with
-its first letter and a part in common, by bands likewise. Buckets of more than `HOT` names are not paired up: their members
-meet the bucket's fullest names, those verified leave the bucket, and so on until it is small.
+Candidates are complete: which parts are alike (edit distance, initials, prefixes, nicknames) is found among the distinct parts, by
+deletion neighbourhoods and keys of the other rules. Every part of the shorter of two linked names is like one of the longer, so a name
+looks up the names that have parts like its two rarest ones. No part or pair of parts is too frequent to be compared.
 
 A pair is verified by Monge-Elkan similarity: each part of the shorter name is assigned to another part of the longer
 one - in any order - and the mean similarity of the parts has to reach LEAST_MEAN. Parts are similar as equals, as initial, abbreviation
@@ -32,7 +28,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeresolve.llm.rows import pieces
 from citeresolve.session import discard, materialize
 
 Q, ROWS, LEAST, RECALL = 3, 3, 0.38, 0.97
-#: Rows of the bands of names with fewer than two whole parts; names in a bucket from which it is reduced by its fullest ones, and how many of these at a time.
-SHORT_ROWS, HOT, LEADERS = 2, 2000, 16
+#: Names of a key from which their lookup is spread over salts, and how many.
+HOT, SALTS = 2000, 16
 #: Least mean similarity of the parts; how many times as frequent a given name must be for a look-alike to be its typing error.
 LEAST_MEAN, RATIO = 0.8, 20
 #: Nicknames of the corpus: how many surnames they share with the name at least, and what share of all of theirs.
@@ -275,66 +271,6 @@ def bands(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int
     return math.ceil(math.log(1 - recall) / math.log(1 - least**rows))
 
 
-def grams(part: str, q: int = Q) -> set[str]:
-    s = "#" * (q - 1) + part + "#" * (q - 1)
-    return {s[i : i + q] for i in range(len(s) - q + 1)}
-
-
-class Signer:
-    """MinHash bands of parts: an array of `b` keys of 64 bits, each of `rows` minhashes."""
-
-    def __init__(self, b: int, rows: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.mul = rng.integers(1, 1 << 63, b * rows, dtype=np.uint64) | np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, b * rows, dtype=np.uint64)
-        self.b, self.rows = b, rows
-        self.of = lru_cache(100_000)(self._of)
-
-    def _of(self, part: str) -> np.ndarray:
-        import xxhash
-
-        h = np.array([xxhash.xxh64_intdigest(g) for g in sorted(grams(part))], np.uint64)
-        with np.errstate(over="ignore"):
-            m = ((h[:, None] * self.mul[None, :] + self.add[None, :]) >> np.uint64(11)).min(axis=0).reshape(self.b, self.rows)
-            key = m[:, 0] * np.uint64(0x9E3779B97F4A7C15)
-            for r in range(1, self.rows):
-                key = (key ^ m[:, r]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            return key * np.uint64(0x9E3779B97F4A7C15) + np.arange(self.b, dtype=np.uint64)
-
-
-def whole(n: Name) -> list[str]:
-    return list(dict.fromkeys(p for p in n[1] if len(p) > 1))
-
-
-def abbreviated(n: Name) -> bool:
-    """Whether a name begins with an initial, has fewer than two whole parts, or initials beside fewer than two long ones (the other may be an acronym)."""
-    return len(n[1][0]) == 1 or len(whole(n)) < 2 or any(len(p) == 1 for p in n[1]) and sum(len(p) > 5 for p in whole(n)) < 2
-
-
-def hash_text(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s)
-
-
-def pair_keys(n: Name, given: list[str], signer: Signer, leading: bool = False) -> np.ndarray:
-    """The keys of a name's pairs of whole parts, without the pair of its first two if it has others; `leading`: of that pair alone. `given`: full forms of its nickname."""
-    parts = whole(n)
-    first = {(parts[0], parts[1])} if len(parts) > 2 else set()
-    pairs = sorted(first) if leading else [x for x in combinations(parts, 2) if x not in first] + [(g, p) for g in given for p in parts if p != n[1][0] and p != g]
-    head = np.uint64(hash_text(n[0]))
-    with np.errstate(over="ignore"):
-        keys = [(signer.of(p) ^ signer.of(q)) * np.uint64(0x9E3779B97F4A7C15) ^ head for p, q in pairs]
-    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
-
-
-def letter_keys(n: Name, signer: Signer) -> np.ndarray:
-    """The keys of each whole part with the name's first letter."""
-    head = np.uint64(hash_text(f"{n[0]}|{n[1][0][0]}"))
-    keys = [signer.of(p) ^ head for p in whole(n)]
-    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
-
-
 def _pack(n: Name) -> str:
     return "|".join((n[0], " ".join(n[1])))
 
@@ -390,37 +326,111 @@ def described(node_table: DataFrame) -> DataFrame:
     return materialize(d.withColumn("given", given).join(n, "given").select("id", "node", "uses"), "p4-described")
 
 
-def _keyed(d: DataFrame, nicknames: list[tuple[str, str]], least: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(bucket, id, rank, kind) of the pairs of parts - kind 0 of names of two whole parts, 1 of others, 2 of the leading pair -
-    and (bucket, id, short) of parts with the first letter."""
-    b, b2 = bands(least, recall), bands(least, recall, SHORT_ROWS)
+def deletions(p: str, k: int) -> set[str]:
+    """The string without up to `k` of its characters: strings within distance `k` of each other, transpositions included, share one."""
+    out = last = {p}
+    for _ in range(k):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
 
-    def pairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer, m = Signer(b, ROWS), Matcher(nicknames)
+
+def part_keys(p: str, given: bool, m: Matcher) -> tuple[set[str], set[str]]:
+    """Keys of a whole part as the shorter and as the longer of two: Matcher.part() is above 0 only for parts that share one."""
+    near = {f"d{x}" for x in deletions(p, 2 if len(p) >= 7 else 1)}
+    short, full = near | {f"p{p}"}, near | {f"p{p[:k]}" for k in (2, 3, 4) if k < len(p)} | {f"p{p[: -len(x)]}" for x in PARTICLES if p.endswith(x) and len(p) > len(x)}
+    if given:
+        v = lambda t: t.replace("w", "v").replace("y", "i")
+        short |= {f"d{x}" for t in m.nick.get(p, ()) if len(t) == 1 for x in deletions(t[0], 1)} | {f"q{v(p)}", f"e{v(p)}", f"q{v(p[:-1])}"}
+        if len(p) == 4 and v(p[:2]) == v(p[2:]):
+            short.add(f"b{v(p[:2])}")
+        stem = re.sub("z?inh[ao]$", "", p)
+        if stem != p:
+            short.add(f"i{stem}")
+        w = v(p)
+        full |= {f"q{w[:k]}" for k in range(1, len(w) + 1)} | {f"e{w[-k:]}" for k in (3, 4, 5)} | {f"b{w[k : k + 2]}" for k in range(len(w) - 1)} | {f"i{p[k:l]}" for k in range(len(p)) for l in range(k + 3, len(p) + 1)}
+    return short, full
+
+
+def alike(parts: DataFrame, nicknames: list[tuple[str, str]]) -> DataFrame:
+    """(part, like): all pairs of whole parts (part, given) that may be one, each part with itself too."""
+
+    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Matcher(nicknames)
         for p in it:
-            ids, ranks, kinds, out = [], [], [], []
-            for i, s in zip(p["id"], p["node"]):
-                n = _unpack(s)
-                w = whole(n)
-                full = sorted({y for x in m.nick.get(n[1][0], ()) for y in x})
-                for leading in (False, True) if len(w) > 2 else (False,):
-                    k = pair_keys(n, full, signer, leading)
-                    out.append(k), ids.append(np.full(len(k), i, np.int64)), ranks.append(np.full(len(k), len(n[1]) * 1000 + min(999, len(s)), np.int32))
-                    kinds.append(np.full(len(k), 2 if leading else int(len(w) > 2), np.int32))
-            yield pd.DataFrame({"bucket": np.concatenate(out), "id": np.concatenate(ids), "rank": np.concatenate(ranks), "kind": np.concatenate(kinds)} if out else {"bucket": [], "id": [], "rank": [], "kind": []})
-
-    def letters(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer(b2, SHORT_ROWS, 11)
+            yield from pieces(((w, k, side) for w, g in zip(p["part"], p["given"]) for side, ks in enumerate(part_keys(w, g, m)) for k in ks), ["part", "key", "side"])
+
+    def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Matcher(nicknames)
         for p in it:
-            ids, short, out = [], [], []
-            for i, s in zip(p["id"], p["node"]):
-                n = _unpack(s)
-                k = letter_keys(n, signer)
-                out.append(k), ids.append(np.full(len(k), i, np.int64)), short.append(np.full(len(k), abbreviated(n)))
-            yield pd.DataFrame({"bucket": np.concatenate(out), "id": np.concatenate(ids), "short": np.concatenate(short)} if out else {"bucket": [], "id": [], "short": []})
+            yield p[[m._part(a, b, False) > 0 or m._part(a, b, True) > 0 for a, b in zip(p["part"], p["like"])]]
+
+    k = materialize(parts.mapInPandas(keys, "part string, key string, side int"), "p4-part-keys")
+    both = k.where("side = 0").select("key", "part").join(k.where("side = 1").select("key", F.col("part").alias("like")), "key").where("part <> like")
+    both = both.select(F.least("part", "like").alias("part"), F.greatest("part", "like").alias("like")).distinct().mapInPandas(verify, "part string, like string")
+    both = materialize(both, "p4-alike")
+    return both.unionByName(both.select(F.col("like").alias("part"), F.col("part").alias("like"))).unionByName(parts.select("part", F.col("part").alias("like")))
 
-    src = d.select("id", "node")
-    return src.mapInPandas(pairs, "bucket long, id long, rank int, kind int"), src.mapInPandas(letters, "bucket long, id long, short boolean")
+
+def composites(n: tuple[str, ...], m: Matcher) -> Iterator[tuple[int, str]]:
+    """(position, part) of the parts that may stand for two neighbours: both run together, their beginnings, or the nickname of two given names."""
+    for k, (x, y) in enumerate(zip(n, n[1:])):
+        if min(len(x), len(y)) > 1:
+            yield from ((k, c) for c in {x + y} | {x[:i] + y[:j] for i in range(1, 5) for j in range(1, 6 - i)})
+        if not k:
+            yield from ((k, p) for p, ts in m.nick.items() if any(len(t) == 2 and m.part(t[0], x, False) and m.part(t[1], y, False) for t in ts))
+
+
+def _key(suffix: F.Column, x: F.Column, y: F.Column) -> F.Column:
+    return F.xxhash64(suffix, F.least(x, y), F.greatest(x, y))
+
+
+def candidates(d: DataFrame, nicknames: list[tuple[str, str]], hot: int = HOT) -> DataFrame:
+    """(i, j): every pair of ids of nodes (id, node) that Matcher.similarity() can find similar.
+
+    Each part of the shorter name has to be like one of the longer's, so it is enough that a name looks up the two of its parts that
+    fewest names have, in all forms that are like them. A part that stands for two neighbours is looked up with each of the other parts.
+    """
+    split_ = F.split("node", "\\|")
+    at = d.select("id", F.element_at(split_, 1).alias("suffix"), F.posexplode(_parts(F.col("node"))).alias("pos", "part"))
+    at = materialize(at, "p4-parts")
+    parts = materialize(at.where("length(part) > 1").groupBy("part").agg(F.max(F.col("pos") == 0).alias("given")), "p4-vocabulary")
+    letter = F.concat(F.substring("part", 1, 1), F.lit("*"))
+    has = at.select("id", "suffix", "pos", F.explode(F.array("part", letter)).alias("token"))
+    # what a name is found by: its pairs of parts, one of them by its first letter alone or not; each part alone
+    x, y = has.select("id", "suffix", F.col("pos").alias("k"), F.col("token").alias("t")), has.select("id", F.col("pos").alias("l"), F.col("token").alias("u"))
+    pairs = x.join(y, "id").where("k < l AND NOT (endswith(t, '*') AND endswith(u, '*'))").select("id", _key(F.col("suffix"), F.col("t"), F.col("u")).alias("key"))
+    alone = at.select("id", _key(F.col("suffix"), F.col("part"), F.lit("")).alias("key"))
+    stored = materialize(pairs.unionByName(alone).distinct(), "p4-stored")
+    # the forms of each part
+    like = alike(parts, nicknames).unionByName(parts.select("part", F.substring("part", 1, 1).alias("like")))
+    like = like.unionByName(at.where("length(part) = 1").select("part", letter.alias("like")).distinct())
+    used = has.groupBy(F.col("token").alias("like")).agg(F.count("*").alias("n"))
+    forms = materialize(like.distinct().join(used, "like").groupBy("part").agg(F.collect_list("like").alias("forms"), F.sum("n").alias("n")), "p4-forms")
+    of = at.join(forms, "part").groupBy("id", "suffix").agg(F.array_sort(F.collect_list(F.struct((F.length("part") == 1).alias("initial"), "n", "pos", "part", "forms"))).alias("p"))
+    two = of.select("id", "suffix", F.explode(F.col("p")[0]["forms"]).alias("t"), F.when(F.size("p") > 1, F.col("p")[1]["forms"]).otherwise(F.array(F.lit(""))).alias("us"))
+    asked = two.select("id", "suffix", "t", F.explode("us").alias("u"))
+
+    def made(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Matcher(nicknames)
+        for p in it:
+            yield from pieces(((i, k, c) for i, s in zip(p["id"], p["node"]) for k, c in composites(_unpack(s)[1], m)), ["id", "k", "t"])
+
+    c = d.select("id", "node").mapInPandas(made, "id long, k int, t string").join(parts.select(F.col("part").alias("t")), "t", "left_semi")
+    c = materialize(c.distinct(), "p4-composites")
+    others = at.join(forms, "part").select("id", "suffix", "pos", F.explode("forms").alias("u"))
+    sizes = at.groupBy("id", "suffix").agg(F.count("*").alias("m"))
+    asked = asked.unionByName(c.join(others, "id").where("pos <> k AND pos <> k + 1").select("id", "suffix", "t", "u"))
+    asked = asked.unionByName(c.join(sizes.where("m = 2"), "id").select("id", "suffix", "t", F.lit("").alias("u")))
+    twice = c.join(c.select("id", F.col("k").alias("l"), F.col("t").alias("u")), "id").where("l > k + 1").join(sizes, "id")
+    asked = asked.unionByName(twice.select("id", "suffix", "t", "u"))
+    asked = materialize(asked.select("id", _key(F.col("suffix"), F.col("t"), F.col("u")).alias("key")).distinct(), "p4-asked")
+    # keys that many names have are joined in salted parts
+    many = stored.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("many"))
+    salted = lambda t, name, salt: t.join(many, "key", "left").select("key", F.col("id").alias(name), salt.alias("_s"))
+    l_ = salted(asked, "k", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    r_ = salted(stored, "l", F.when(F.col("many"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    return l_.join(r_, ["key", "_s"]).where("k <> l").select(F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j")).distinct()
 
 
 def verified(d: DataFrame, ids: DataFrame, nicknames: list[tuple[str, str]]) -> DataFrame:
@@ -439,37 +449,11 @@ def verified(d: DataFrame, ids: DataFrame, nicknames: list[tuple[str, str]]) ->
     return pairs.mapInPandas(verify, "i long, j long, a string, b string, similarity double")
 
 
-def links(node_table: DataFrame, nicknames: list[tuple[str, str]], least: float = LEAST, recall: float = RECALL, hot: int = HOT) -> DataFrame:
+def links(node_table: DataFrame, nicknames: list[tuple[str, str]], hot: int = HOT) -> DataFrame:
     """(a, b, similarity), a < b: verified pairs of nodes."""
     d = described(node_table)
-    n = d.sparkSession.sparkContext.defaultParallelism * 4
-    keyed, letters = _keyed(d, nicknames, least, recall)
-    every = materialize(keyed, "p4-keys")
-    keyed = every.where("kind < 2").select("bucket", "id", "rank")
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    cold = keyed.join(sizes.where(F.col("n") <= hot), "bucket", "left_semi").select("bucket", "id").repartition(n, "bucket")
-    ids = cold.withColumnRenamed("id", "i").join(cold.withColumnRenamed("id", "j"), "bucket").where("i < j").select("i", "j")
-    letters = materialize(letters, "p4-letters")
-    x, y = letters.where("short").select("bucket", F.col("id").alias("k")), letters.select("bucket", F.col("id").alias("l"))
-    # a leading pair (two given names, the kind of organ) is much the same in many names, so only names of nothing else meet by it
-    x2, y2 = every.where("kind = 0").select("bucket", F.col("id").alias("k")), every.where("kind = 2").select("bucket", F.col("id").alias("l"))
-    ids = ids.unionByName(x2.join(y2.repartition(n, "bucket"), "bucket").select(F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j")))
-    ids = ids.unionByName(x.join(y.repartition(n, "bucket"), "bucket").where("k <> l").select(F.least("k", "l").alias("i"), F.greatest("k", "l").alias("j")))
-    out = materialize(verified(d, ids.distinct(), nicknames), "p4-verified")
-    rest = keyed.join(sizes.where(F.col("n") > hot), "bucket", "left_semi")
-    rest = materialize(rest, "p4-hot")
-    while not rest.isEmpty():
-        # the fullest of each part of a hot bucket meet all its members; who is verified with one of them leaves, and so do they
-        lead = rest.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(LEADERS))).agg(F.max_by("id", F.struct("rank", "id")).alias("l"))
-        lead = lead.select("bucket", "l").distinct()
-        meet = rest.join(lead, "bucket").where("id <> l").select("bucket", "id", "l")
-        got = materialize(verified(d, meet.select(F.least("id", "l").alias("i"), F.greatest("id", "l").alias("j")).distinct(), nicknames), "p4-verified")
-        out = out.unionByName(got)
-        both = got.select(F.col("i").alias("id"), F.col("j").alias("l")).unionByName(got.select(F.col("j").alias("id"), F.col("i").alias("l")))
-        gone = meet.join(both, ["id", "l"], "left_semi").select("bucket", "id").unionByName(lead.select("bucket", F.col("l").alias("id"))).distinct()
-        before, rest = rest, materialize(rest.join(gone, ["bucket", "id"], "left_anti"), "p4-hot")
-        discard(before)
-    return out.select("a", "b", "similarity").distinct()
+    ids = materialize(candidates(d, nicknames, hot), "p4-candidates")
+    return materialize(verified(d, ids, nicknames), "p4-verified").select("a", "b", "similarity")
 
 
 def fullness(node: F.Column) -> F.Column:

@@ -360,6 +360,25 @@ def test_candidates_against_brute_force_and_hot_buckets(spark):
     assert hot <= got and {x for p in hot for x in p} == {x for p in got for x in p}
 
 
+def test_links_are_those_of_all_pairs(spark):
+    from itertools import combinations
+
+    more = ["V. Trab. Recife", "Vara do Trabalho de Recife", "TR Ponorrilde Trevalim", "Turma Recursal Ponorrilde Trevalim", "OlíviaBrinjemira Trevalim", "Olívia Brinjemira Trevalim", "Malu Ponorrilde Trevalim", "Maria Luísa Ponorrilde Trevalim", "Lulu Ponorrilde", "Luciana Ponorrilde", "Nando Trevalim", "Fernando Trevalim", "J. C. A. Lima", "José Carlos Almeida Lima", "Carlinhos Lima", "Carlos Lima", "Silva Carlos José", "José Carlos Silva", "Davi BabadolCrecre", "Ponorrilde", "Ponorrilda"]
+    more += [f"Helena {x} Brinjemira" for x in ("Mur", "Murcia", "Murci", "Murcio", "M.", "Dolfim", "D.")]
+    nick = [("Malu", "Maria Luísa"), ("Nando", "Fernando")]
+    parsed = {names._pack(n) for x in random_names(25, 5) + more if (n := names.parse(x))}
+    uses = {}
+    for x in parsed:
+        g = x.split("|")[1].split(" ")[0]
+        uses[g] = uses.get(g, 0) + 1
+    in_use = lambda a, b: min(u := [uses[x.split("|")[1].split(" ")[0]] for x in (a, b)]) >= 3 and min(u) * names.RATIO >= max(u)
+    m = names.Matcher(nick)
+    want = {(a, b) for a, b in combinations(sorted(parsed), 2) if m.similarity(names._unpack(a), names._unpack(b), in_use(a, b)) > 0}
+    n = spark.createDataFrame([(x,) for x in parsed], "node string")
+    assert {(r["a"], r["b"]) for r in names.links(n, nick).collect()} == want
+    assert {(r["a"], r["b"]) for r in names.links(n, nick, hot=4).collect()} == want
+
+
 def test_bands_reach_the_recall():
     b = names.bands(0.3, 0.97)
     assert 1 - (1 - 0.3**names.ROWS) ** b >= 0.97 > 1 - (1 - 0.3**names.ROWS) ** (b - 1)
