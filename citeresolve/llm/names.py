@@ -341,7 +341,13 @@ def part_keys(p: str, given: bool, m: Matcher) -> tuple[set[str], set[str]]:
     short, full = near | {f"p{p}"}, near | {f"p{p[:k]}" for k in (2, 3, 4) if k < len(p)} | {f"p{p[: -len(x)]}" for x in PARTICLES if p.endswith(x) and len(p) > len(x)}
     if given:
         v = lambda t: t.replace("w", "v").replace("y", "i")
-        short |= {f"d{x}" for t in m.nick.get(p, ()) if len(t) == 1 for x in deletions(t[0], 1)} | {f"q{v(p)}", f"e{v(p)}", f"q{v(p[:-1])}"}
+        short |= {f"d{x}" for t in m.nick.get(p, ()) if len(t) == 1 for x in deletions(t[0], 1)} 
+        if len(p) <= 4:
+            short.add(f"q{v(p)}")
+        if 3 <= len(p) <= 5:
+            short.add(f"e{v(p)}")
+        if len(p) > 3 and p[-1] in "iy":
+            short.add(f"q{v(p[:-1])}")
         if len(p) == 4 and v(p[:2]) == v(p[2:]):
             short.add(f"b{v(p[:2])}")
         stem = re.sub("z?inh[ao]$", "", p)
@@ -409,7 +415,11 @@ def candidates(d: DataFrame, nicknames: list[tuple[str, str]], hot: int = HOT) -
     forms = materialize(like.distinct().join(used, "like").groupBy("part").agg(F.collect_list("like").alias("forms"), F.sum("n").alias("n")), "p4-forms")
     of = at.join(forms, "part").groupBy("id", "suffix").agg(F.array_sort(F.collect_list(F.struct((F.length("part") == 1).alias("initial"), "n", "pos", "part", "forms"))).alias("p"))
     two = of.select("id", "suffix", F.explode(F.col("p")[0]["forms"]).alias("t"), F.when(F.size("p") > 1, F.col("p")[1]["forms"]).otherwise(F.array(F.lit(""))).alias("us"))
-    asked = two.select("id", "suffix", "t", F.explode("us").alias("u"))
+    # two initials would find too many; but then another part, a long one, is whole in both names and is looked up with the first initial
+    asked = two.select("id", "suffix", "t", F.explode("us").alias("u")).where("NOT (length(t) = 1 AND (length(u) = 1 OR endswith(u, '*')))")
+    long = of.select("id", "suffix", F.col("p")[0]["part"].alias("first"), F.explode(F.slice("p", 2, F.size("p"))).alias("r")).where("length(first) > 1 AND length(r.part) > 3")
+    long = long.select("id", "suffix", F.explode("r.forms").alias("t"), F.substring("first", 1, 1).alias("u")).where("length(t) > 1")
+    asked = asked.unionByName(long)
 
     def made(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher(nicknames)

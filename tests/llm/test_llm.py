@@ -379,6 +379,15 @@ def test_links_are_those_of_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in names.links(n, nick, hot=4).collect()} == want
 
 
+def test_candidates_do_not_grow_with_frequent_parts(spark):
+    r = random.Random(2)
+    part = lambda: "".join(r.choice("bcdfglmnprstvx") + r.choice("aeiou") for _ in range(5))
+    many = sorted({f"Maria {part()} {part()} Silva" for _ in range(400)})
+    many += [f"M. {many[0].split()[1]} Silva", many[1].replace("Maria ", "Maira ")]
+    d = names.described(spark.createDataFrame([(names._pack(names.parse(x)),) for x in many], "node string"))
+    assert 2 <= names.candidates(d, []).count() <= 10  # 79,800 pairs have Maria and Silva in common
+
+
 def test_bands_reach_the_recall():
     b = names.bands(0.3, 0.97)
     assert 1 - (1 - 0.3**names.ROWS) ** b >= 0.97 > 1 - (1 - 0.3**names.ROWS) ** (b - 1)
