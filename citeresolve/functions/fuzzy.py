@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher, get_close_matches
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,6 +224,73 @@ def alike(a: str, b: str, least: float = 0.75) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
+#: Word pairs of one frame: a matrix of bounds, and the pairs that pass it.
+PAIRS = 1_000_000
+
+
+def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters in 32 classes as two bit sets with a bit for each of the first four of a class, the number of further letters, and the lengths."""
+    bags, over = np.zeros((len(words), 2), np.uint64), np.zeros(len(words), np.int32)
+    for i, w in enumerate(words):
+        n, bits = [0] * 32, [0, 0]
+        for c in w:
+            k = ord(c) % 32
+            if n[k] < 4:
+                bits[n[k] // 2] |= 1 << (k + 32 * (n[k] % 2))
+            else:
+                over[i] += 1
+            n[k] += 1
+        bags[i] = bits
+    return bags, over, np.array([len(w) for w in words], np.int32)
+
+
+def _shapes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of words of up to 64 letters: the positions of each of 32 letter classes as bits, and the classes by position (32 behind the end)."""
+    at, codes = np.zeros((len(words), 33), np.uint64), np.full((len(words), 64), 32, np.uint8)
+    for i, w in enumerate(words):
+        if len(w) <= 64:
+            for p, c in enumerate(w):
+                codes[i, p] = ord(c) % 32
+                at[i, ord(c) % 32] |= np.uint64(1 << p)
+    return at, codes
+
+
+def alike_pairs(a: list[str], b: list[str]) -> Iterator[list[tuple[str, str]]]:
+    """Every pair of words of `a` and `b` that `alike` holds for, in lists.
+
+    The characters in matching blocks are a common subsequence. Two bounds of its length, the letters in common and the longest
+    common subsequence, are computed for many pairs at once; letters of one class count as one, so no pair is lost.
+    """
+    (x, x_over, x_len), (y, y_over, y_len) = _bags(a), _bags(b)
+    at, codes = _shapes(a)[0], _shapes(b)[1]
+    step = max(1, PAIRS // max(1, len(b)))
+    m = SequenceMatcher(None)
+    for lo in range(0, len(a), step):
+        rows = slice(lo, lo + step)
+        common = np.bitwise_count(x[rows, :1] & y[:, 0]).astype(np.int32) + np.bitwise_count(x[rows, 1:] & y[:, 1]) + np.minimum(x_over[rows, None], y_over)
+        i, j = np.nonzero(8 * common >= 3 * (x_len[rows, None] + y_len))
+        i += lo
+        left = np.full(len(i), -1, np.int64).view(np.uint64)
+        for k in range(min(64, int(y_len[j].max(initial=0)))):
+            u = left & at[i, codes[j, k]]
+            left = (left + u) | (left - u)
+        n = x_len[i]
+        low = np.uint64(2**64 - 1) >> np.clip(64 - n, 0, 63).astype(np.uint64)
+        longest = n - np.bitwise_count(left & low)
+        keep = (8 * longest >= 3 * (n + y_len[j])) | (n == 0) | (n > 64) | (y_len[j] > 64)
+        i, j = i[keep], j[keep]
+        out = []
+        for k in np.argsort(j, kind="stable"):
+            p, q = a[i[k]], b[j[k]]
+            if m.b is not q:
+                m.set_seq2(q)
+            m.set_seq1(p)
+            if m.ratio() >= 0.75:
+                out.append((p, q))
+        if out:
+            yield out
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")

@@ -7,6 +7,9 @@ broadcast only by the optimizer's own size limit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,9 +171,43 @@ def article_mentions(m: DataFrame, table: DataFrame) -> DataFrame:
     return labelled(j, rule, F.col("doc_id"))
 
 
-def ends(words: Column) -> Column:
-    """The first and the last two letters of each word: two words one of which may be a misreading of the other share one of them."""
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.concat(F.lit("^"), F.substring(w, 1, 2)), F.concat(F.right(w, F.lit(2)), F.lit("$"))))))
+#: Parts into which words are dealt; each part of one side meets each of the other in one task.
+PARTS = 16
+
+
+def alike_words(cited: DataFrame, known: DataFrame) -> DataFrame:
+    """(c, r): every pair of distinct words of the columns c and r that resemble each other."""
+    part = lambda df, c: df.select(c).distinct().groupBy(F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("_" + c)).agg(F.collect_list(c).alias(c))
+    met = part(cited, "c").withColumn("_r", F.explode(F.array(*map(F.lit, range(PARTS))))).join(part(known, "r"), "_r").select("c", "r")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            for x, y in zip(p["c"], p["r"]):
+                for pairs in fuzzy.alike_pairs(list(x), list(y)):
+                    yield pd.DataFrame(pairs, columns=["c", "r"])
+
+    n = cited.sparkSession.sparkContext.defaultParallelism
+    return met.repartition(4 * n).mapInPandas(run, "c string, r string")
+
+
+def alike_names(asked: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, nome, r_nome): every name asked for and every known one of the same `by` of which each word asked for resembles one of the known name.
+
+    Distinct words are compared, once. A name is looked up by that of its words which the fewest known names have or resemble; its other words
+    are checked by the words that resemble them.
+    """
+    a, k = asked.where("size(nome) > 0").select(*by, "nome").distinct(), known.select(*by, "r_nome").distinct()
+    names = a.select("nome").distinct()
+    words = names.select("nome", F.explode("nome").alias("c"))
+    used = k.select("r_nome").distinct().select(F.explode("r_nome").alias("r")).groupBy("r").agg(F.count("*").alias("f"))
+    pairs = materialize(alike_words(words, used), "resolve-words")
+    like = pairs.join(used, "r").groupBy("c").agg(F.collect_list("r").alias("rs"), F.sum("f").alias("f"))
+    of = words.join(like, "c").groupBy("nome").agg(F.collect_list("rs").alias("all"), F.min_by("rs", F.struct("f", "c")).alias("rarest"))
+    of = materialize(of.where("size(all) = size(nome)"), "resolve-names")
+    asked_by = a.join(of.select("nome", F.explode("rarest").alias("r")), "nome")
+    met = asked_by.join(k.withColumn("r", F.explode("r_nome")), [*by, "r"]).drop("r")
+    met = met.join(of.where("size(all) > 1").select("nome", "all"), "nome", "left")
+    return met.where(F.col("all").isNull() | F.forall("all", lambda rs: F.arrays_overlap(rs, F.col("r_nome")))).select(*by, "nome", "r_nome").distinct()
 
 
 def described(m: DataFrame) -> DataFrame:
@@ -193,18 +230,18 @@ def described(m: DataFrame) -> DataFrame:
 def descriptive_mentions(m: DataFrame, rulings: DataFrame) -> DataFrame:
     """Court, year, rapporteur and class, if one is named: every word of the name cited must resemble one of the record's; one record is real, none or several are incomplete.
 
-    Distinct names are compared, and only those of one court and year that share the beginning or end of a word.
+    Records are counted by name and class before names meet, so that no list of a name's records is made.
     """
     d = materialize(described(m), "resolve-described")
-    r = rulings.where("relator IS NOT NULL AND ano IS NOT NULL").select("tribunal", "ano", "doc_id", "classe", X.name_tokens(F.col("relator")).alias("r_nome"))
-    asked = d.where("size(nome) > 0 AND ano IS NOT NULL").select(F.explode("tribunais").alias("tribunal"), "ano", "nome").distinct()
-    known = r.select("tribunal", "ano", "r_nome").distinct()
-    x, y = asked.withColumn("_e", F.explode(ends(F.col("nome")))), known.withColumn("_e", F.explode(ends(F.col("r_nome"))))
-    n = d.sparkSession.sparkContext.defaultParallelism
-    alike = x.join(y, ["tribunal", "ano", "_e"]).select("tribunal", "ano", "nome", "r_nome").distinct().repartition(n).where(fuzzy.name_matches("nome", "r_nome"))
-    records = alike.join(r, ["tribunal", "ano", "r_nome"]).groupBy("tribunal", "ano", "nome").agg(F.collect_set(F.struct("doc_id", "classe")).alias("found"))
-    hit = d.select("cit", F.explode("tribunais").alias("tribunal"), "ano", "nome", F.col("classe").alias("c")).join(records, ["tribunal", "ano", "nome"])
-    hit = hit.withColumn("found", F.filter("found", lambda x: F.col("c").isNull() | (x["classe"] == F.col("c")))).groupBy("cit").agg(F.sum(F.size("found")).alias("n"), F.min(F.try_element_at("found.doc_id", F.lit(1))).alias("doc_id"))
+    by = ["tribunal", "ano"]
+    r = rulings.where("relator IS NOT NULL AND ano IS NOT NULL").select(*by, "doc_id", "classe", X.name_tokens(F.col("relator")).alias("r_nome"))
+    known = materialize(r.groupBy(*by, "r_nome", "classe").agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id")), "resolve-known")
+    asked = d.select(F.explode("tribunais").alias("tribunal"), "ano", "nome")
+    records = alike_names(asked, known, by).join(known, [*by, "r_nome"]).groupBy(*by, "nome", "classe").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    records = records.groupBy(*by, "nome").agg(F.collect_list(F.struct("classe", "n", "doc_id")).alias("found"))
+    hit = d.select("cit", F.explode("tribunais").alias("tribunal"), "ano", "nome", F.col("classe").alias("c")).join(records, [*by, "nome"])
+    hit = hit.withColumn("found", F.filter("found", lambda x: F.col("c").isNull() | (x["classe"] == F.col("c"))))
+    hit = hit.groupBy("cit").agg(F.sum(F.aggregate("found.n", F.lit(0).cast("bigint"), lambda x, y: x + y)).alias("n"), F.min(F.array_min("found.doc_id")).alias("doc_id"))
     j = d.join(hit, "cit", "left")
     rule = (
         F.when((F.size("tribunais") == 0) | F.col("ano").isNull() | (F.size("nome") < 1), "incompleta_sem_numero")

@@ -5,6 +5,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
+from citeresolve.functions import fuzzy
 from citeresolve.operators import canon, contract, extract, resolve, review, spans
 from citeresolve.sources import files as sources
 
@@ -293,3 +294,28 @@ def test_plan_pushes_filters_and_prunes_columns(spark, small):
 
     plan = table(spark, small, "documentos").where(F.col("natureza") == "sumula").select("id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(natureza), EqualTo(natureza,sumula)]" in plan and "texto" not in plan.split("ReadSchema")[-1]
+
+
+def test_descriptive_names_that_share_no_end_of_a_word_meet(spark):
+    docs = spark.createDataFrame([(1, "STF", "acordao", 2024, "Narciso Pelbadot", "EMENTA."), (2, "STF", "acordao", 2024, "Narciso Outrem", "EMENTA.")], "id long, tribunal string, natureza string, ano int, relator string, texto string")
+    m = spark.createDataFrame([("a", "julgado do STF de 2024, da relatoria de Belbador", "jurisprudencia", None), ("b", "julgado do STF de 2024, da relatoria de Narciso", "jurisprudencia", None)], "cit string, trecho string, tipo string, contexto string")
+    got = {r["cit"]: (r["regra"], r["id_canonico"]) for r in resolve.descriptive_mentions(resolve.family(m), canon.rulings(docs)).collect()}
+    assert got == {"a": ("real_descritiva", "1"), "b": ("incompleta_descritiva", None)}
+
+
+def test_alike_names_are_all_names_compared_in_groups(spark):
+    r = random.Random(11)
+    parts = ["".join(r.choice("abelmort") for _ in range(r.randrange(3, 11))) for _ in range(12)]
+
+    def name():
+        out = set()
+        for w in r.sample(parts, r.randrange(1, 4)):
+            k = r.randrange(len(w))
+            out.add(r.choice([w, w[:k] + "x" + w[k:], w[:k] + w[k + 1 :] or w]))
+        return sorted(out)
+
+    asked, known = ([(r.choice(["STF", "STJ", None]), r.choice([2001, 2002]), name()) for _ in range(n)] + [("STF", 2001, []), ("STF", None, ["abel"])] for n in (120, 150))
+    a, k = (spark.createDataFrame(x, f"tribunal string, ano int, {c} array<string>") for x, c in ((asked, "nome"), (known, "r_nome")))
+    got = [(x[0], x[1], tuple(x[2]), tuple(x[3])) for x in resolve.alike_names(a, k, ["tribunal", "ano"]).collect()]
+    want = {(t, y, tuple(c), tuple(n)) for t, y, c in asked for u, z, n in known if t and y and (t, y) == (u, z) and fuzzy.names_match(c, n)}
+    assert want and len(got) == len(set(got)) and set(got) == want

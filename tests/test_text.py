@@ -1,5 +1,7 @@
 """Column functions on single values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,18 @@ def test_keys_of_noisy_citations(spark):
     assert got == {t: (c, m) for t, c, m in rows}
     years = spark.createDataFrame([(y,) for y in (0, 29, 30, 88, 2015, 150)], "y int")
     assert [r["z"] for r in years.select(X.year4(F.col("y")).alias("z")).collect()] == [2000, 2029, 1930, 1988, 2015, None]
+
+
+def test_alike_pairs_are_all_pairs_of_words_compared():
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abdeiou") for _ in range(r.choice([3, 5, 8, 11, 20, 70]))) for _ in range(80)} | {"a" * 250, "ab" * 130, "", "xbcdefgy"})
+    other = []
+    for w in words * 4:
+        for _ in range(r.randrange(5)):
+            k = r.randrange(len(w) + 1)
+            w = w[:k] + r.choice(["", "a", "é", "u"]) + w[k + r.randrange(2) :]
+        other.append(w)
+    other = sorted({*other, "abcdefgh", "a" * 260})
+    got = [p for ps in fuzzy.alike_pairs(words, other) for p in ps]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in words for b in other if fuzzy.alike(a, b)}
+    assert ("xbcdefgy", "abcdefgh") in got
