@@ -571,7 +571,10 @@ def fuzzy_name_match(spark, d):
     name = F.regexp_extract("trecho", r"(?:relatoria d[aeo]s?|Rel\.|Relatora?:?)\s+(.+)$", 1)
     year = F.regexp_extract("trecho", r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int")
     m = m.select("cit", F.try_element_at(X.courts_in(F.col("trecho")), F.lit(1)).alias("tribunal"), year.alias("ano"), X.name_tokens(name).alias("c"))
-    return m.join(r, ["tribunal", "ano"]).where(fuzzy.name_matches("c", "r")).groupBy("cit").agg(F.count("*").alias("records"), F.min("doc_id").alias("doc_id"))
+    m, by = materialize(m, "fuzzy-described"), ["tribunal", "ano"]
+    known = materialize(r.groupBy(*by, F.col("r").alias("r_nome")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")), "fuzzy-known")
+    records = resolve.alike_names(m.withColumnRenamed("c", "nome"), known, by).join(known, [*by, "r_nome"]).groupBy(*by, F.col("nome").alias("c")).agg(F.sum("n").alias("records"), F.min("doc_id").alias("doc_id"))
+    return m.join(records, [*by, "c"]).groupBy("cit").agg(F.sum("records").alias("records"), F.min("doc_id").alias("doc_id"))
 
 
 @query()

@@ -1,12 +1,15 @@
 """Interval operators, key tables, resolution, contract, sources and stream on small tables."""
 
 import random
+import re
 import sqlite3
 
 from pyspark.sql import functions as F
 
 from citeresolve.functions import fuzzy
+from citeresolve.functions import text as X
 from citeresolve.operators import canon, contract, extract, resolve, review, spans
+from citeresolve.plans import registry
 from citeresolve.sources import files as sources
 
 
@@ -319,3 +322,19 @@ def test_alike_names_are_all_names_compared_in_groups(spark):
     got = [(x[0], x[1], tuple(x[2]), tuple(x[3])) for x in resolve.alike_names(a, k, ["tribunal", "ano"]).collect()]
     want = {(t, y, tuple(c), tuple(n)) for t, y, c in asked for u, z, n in known if t and y and (t, y) == (u, z) and fuzzy.names_match(c, n)}
     assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_fuzzy_name_match_counts_every_record(spark, small):
+    c, r = registry.cits(spark, small), registry.keys(spark, small)[0].where("relator IS NOT NULL")
+    m = resolve.family(c).where("familia = 'descritivos'").select("cit", "trecho", X.courts_in(F.col("trecho")).alias("t"), X.name_tokens(F.regexp_extract("trecho", r"(?:relatoria d[aeo]s?|Rel\.|Relatora?:?)\s+(.+)$", 1)).alias("c")).collect()
+    known = r.select("tribunal", "ano", "doc_id", X.name_tokens(F.col("relator")).alias("r")).collect()
+    want = {}
+    for x in m:
+        y = re.search(r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", x["trecho"])
+        ids = [k["doc_id"] for k in known if x["t"] and y and k["tribunal"] == x["t"][0] and k["ano"] == int(y.group(1)) and fuzzy.names_match(x["c"], k["r"])]
+        if ids:
+            want[x["cit"]] = (len(ids), min(ids))
+    got = registry.fuzzy_name_match(spark, small)
+    assert want and {x["cit"]: (x["records"], x["doc_id"]) for x in got.collect()} == want
+    # names are compared by their words, not as pairs of a court and a year
+    assert "name_matches" not in got._jdf.queryExecution().toString()
