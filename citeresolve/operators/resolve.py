@@ -7,7 +7,7 @@ broadcast only by the optimizer's own size limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -106,11 +106,11 @@ def candidates(p: DataFrame, rulings: DataFrame) -> DataFrame:
     return c.where("coalesce(size(rel), 0) <= 0").withColumn("other_rel", F.lit(False)).unionByName(named).drop("rel", "r_rel")
 
 
-def processes(m: DataFrame, rulings: DataFrame, around: DataFrame | None = None, beginnings: DataFrame | None = None, salts: int = 8) -> DataFrame:
+def processes(m: DataFrame, rulings: DataFrame, around: DataFrame | Callable[[DataFrame], DataFrame] | None = None, beginnings: DataFrame | None = None, salts: int = 8) -> DataFrame:
     """Numbered cases: candidates by key, filters that let unknown values pass, best candidate by rank.
 
     Mentions with one text are looked up once, so that a record cited over and over is joined once a text; the texts around the
-    mention (`around`: cit, contexto) and of the record (`beginnings`: doc_id, inicio) are fetched only where several records are equally near.
+    mention (`around`: cit, contexto, or what gives them for the mentions of a table) and of the record (`beginnings`: doc_id, inicio) are fetched only where several records are equally near.
     """
     around, beginnings = m if around is None else around, rulings if beginnings is None else beginnings
     p = materialize(features(m), "resolve-features")
@@ -121,7 +121,8 @@ def processes(m: DataFrame, rulings: DataFrame, around: DataFrame | None = None,
     known = p.drop("again").join(top, "key", "left").select("key", "digits", "fixes", "broken", "no_state", "again", "dist", "other_rel", "docs").withColumn("_s", F.explode(F.array(*map(F.lit, range(salts)))))
     j = materialize(mine.join(known, ["key", "_s"]).drop("_s", "key"), "resolve-known")
     tied = j.where("size(docs) > 1").select("cit", F.explode("docs").alias("doc_id"))
-    here = around.join(tied.select("cit").distinct(), "cit", "left_semi").select("cit", X.content_terms(F.col("contexto")).alias("here"))
+    few = tied.select("cit").distinct()
+    here = (around(few) if callable(around) else around.join(few, "cit", "left_semi")).select("cit", X.content_terms(F.col("contexto")).alias("here"))
     there = beginnings.join(tied.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", X.content_terms(F.col("inicio")).alias("there"))
     common = tied.join(here, "cit").join(there, "doc_id").select("cit", "doc_id", F.coalesce(F.size(F.array_intersect("here", "there")), F.lit(0)).alias("common"))
     best = common.groupBy("cit").agg(F.min_by("doc_id", F.struct(-F.col("common"), F.col("doc_id").cast("bigint"))).alias("best"))
@@ -260,9 +261,11 @@ def topic_mentions(m: DataFrame) -> DataFrame:
 FAMILIES = ("processos", "sumulas", "artigos", "descritivos", "temas")
 
 
-def resolve(mentions: DataFrame, rulings: DataFrame, sumulas: DataFrame, dispositivos: DataFrame) -> DataFrame:
+def resolve(mentions: DataFrame, rulings: DataFrame, sumulas: DataFrame, dispositivos: DataFrame, around: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(cit, classificacao, id_canonico, confianca, regra) of every mention (cit, trecho, tipo, contexto[, depois]).
 
+    `around` gives (cit, contexto) for the mentions of a table (cit), where the texts aren't to be fetched for all; without it they are the column.
+
     A mention that can't be read (no text) is incomplete by the rule erro_interno; it takes no other with it.
     """
     m = family(mentions)
@@ -270,7 +273,7 @@ def resolve(mentions: DataFrame, rulings: DataFrame, sumulas: DataFrame, disposi
     failed = labelled(m.where(~F.coalesce(known, F.lit(False))), F.lit("erro_interno"), F.lit(None).cast("string"))
     m = materialize(m.where(known).select("cit", "trecho", "tipo", "folded", "familia", "relator_depois", "cut", "key"), "resolve-mentions")
     r = materialize(rulings.drop("inicio"), "resolve-rulings")
-    parts = [processes(m, r, mentions.select("cit", "contexto"), rulings.select("doc_id", "inicio")), sumula_mentions(m, sumulas), article_mentions(m, dispositivos), descriptive_mentions(m, r), topic_mentions(m), failed]
+    parts = [processes(m, r, around or mentions.select("cit", "contexto"), rulings.select("doc_id", "inicio")), sumula_mentions(m, sumulas), article_mentions(m, dispositivos), descriptive_mentions(m, r), topic_mentions(m), failed]
     out = parts[0].select(*OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*OUT))

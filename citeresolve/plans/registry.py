@@ -33,9 +33,23 @@ def cits(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("cit", F.concat_ws(":", "documento_id", F.col("inicio").cast("string"), F.col("fim").cast("string")))
 
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
+def latest(spark: SparkSession, d: str) -> DataFrame:
+    """What is read of `cits` more than once, written once."""
+    return materialize(cits(spark, d).select("cit", "documento_id", "inicio", "fim", "trecho", "tipo"), "cits")
+
+
+def around(c: DataFrame, docs: DataFrame):
+    """What gives the texts around some of the citations `c`: the documents are joined to those alone."""
+
+    def of(few: DataFrame) -> DataFrame:
+        return c.join(few, "cit", "left_semi").join(docs, "documento_id", "left").select("cit", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"))
+
+    return of
+
+
+def mentions(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
     docs = table(spark, d, "documents").select("documento_id", "text")
-    c = cits(spark, d).join(docs, "documento_id", "left")
+    c = (cits(spark, d) if c is None else c).join(docs, "documento_id", "left")
     after = F.substring(F.col("text"), F.col("fim") + 1, F.lit(160))
     return c.select("cit", "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"), after.alias("depois"))
 
@@ -302,8 +316,9 @@ def resolve_process(spark, d):
 @query(f"WITH {S.CIT}, {GOLD} SELECT cit, classificacao, id_canonico FROM g")
 def resolve_gold(spark, d):
     """Class and record of every listed citation but descriptive ones, against their labels."""
-    r = resolve.resolve(mentions(spark, d), *keys(spark, d)).select("cit", "classificacao", "id_canonico")
-    return undescribed(cits(spark, d)).select("cit").join(r, "cit")
+    c = latest(spark, d)
+    m = undescribed(mentions(spark, d, c))
+    return resolve.resolve(m, *keys(spark, d), around(c, table(spark, d, "documents"))).select("cit", "classificacao", "id_canonico")
 
 
 @query("""

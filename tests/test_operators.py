@@ -338,3 +338,16 @@ def test_fuzzy_name_match_counts_every_record(spark, small):
     assert want and {x["cit"]: (x["records"], x["doc_id"]) for x in got.collect()} == want
     # names are compared by their words, not as pairs of a court and a year
     assert "name_matches" not in got._jdf.queryExecution().toString()
+
+
+def test_texts_around_are_fetched_for_ties_alone(spark):
+    d = spark.createDataFrame([(i, "STJ", "acordao", 2015, None, f"RECURSO ESPECIAL Nº 1.528.{n} - RJ\nEMENTA. {t}") for i, n, t in ((1, 455, "Contrato bancário abusivo."), (2, 455, "Guarda compartilhada."), (3, 456, "Outro."))], sources.CANONICAL)
+    m = spark.createDataFrame([("a", "REsp 1.528.455/RJ", "jurisprudencia", None), ("b", "REsp 1.528.456/RJ", "jurisprudencia", None)], "cit string, trecho string, tipo string, contexto string")
+    asked = []
+
+    def around(few):
+        asked.extend(r["cit"] for r in few.collect())
+        return few.withColumn("contexto", F.lit("sobre guarda compartilhada"))
+
+    got = {r["cit"]: r["id_canonico"] for r in resolve.resolve(m, canon.rulings(d), canon.sumulas(d), canon.dispositivos(d), around).collect()}
+    assert got == {"a": "2", "b": "3"} and asked == ["a"]
