@@ -361,8 +361,10 @@ def resolve_topic(spark, d):
 @query(f"WITH {S.CIT}, {GOLD} SELECT tipo, classificacao, count(*) AS n, count(DISTINCT id_canonico) AS records FROM g GROUP BY ROLLUP (tipo, classificacao)")
 def resolve_summary(spark, d):
     """Counts of classes and records of all listed citations but descriptive ones, against their labels."""
-    r = resolve.resolve(mentions(spark, d), *keys(spark, d)).drop("tipo")
-    j = undescribed(cits(spark, d)).select("cit", "tipo").join(r, "cit")
+    c = latest(spark, d)
+    m = undescribed(mentions(spark, d, c))
+    r = resolve.resolve(m, *keys(spark, d), around(c, table(spark, d, "documents")))
+    j = undescribed(c).select("cit", "tipo").join(r, "cit")
     return j.rollup("tipo", "classificacao").agg(F.count("*").alias("n"), F.count_distinct("id_canonico").alias("records"))
 
 
