@@ -557,8 +557,9 @@ def extract_and_resolve(spark, d):
     cit = F.concat_ws(":", "documento_id", F.col("inicio").cast("string"), F.col("fim").cast("string"))
     after = F.substring(F.col("text"), F.col("fim") + 1, F.lit(160))
     m = s.join(docs, "documento_id").select(cit.alias("cit"), "trecho", "tipo", X.context(F.col("text"), F.col("inicio"), F.col("fim")).alias("contexto"), after.alias("depois"))
-    r = resolve.resolve(m, *keys(spark, d))
-    return s.withColumn("cit", cit).join(r, "cit").drop("cit")
+    s = s.withColumn("cit", cit)
+    r = resolve.resolve(m, *keys(spark, d), around(s, docs))
+    return s.join(r, "cit").drop("cit")
 
 
 @query()
